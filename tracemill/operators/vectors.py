@@ -52,6 +52,8 @@ def grid_join(
     hot group becomes many equal tasks.
     """
     on = list(on)
+    # Both sides may come from one table: new aliases keep their columns apart.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     sizes = (
         left.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("_lparts"))
         .join(right.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("_rparts")), on)
