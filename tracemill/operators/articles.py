@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.config import ARTICLES, Articles
-from tracemill.operators.skew import latest_per, top_per
+from tracemill.operators.skew import latest_per, stage, top_per
 from tracemill.operators.vectors import CHUNK_ROWS, SCORE_DECIMALS, grid_join, nearest, unit_rows
 
 TIERS = ("hot", "warm", "cold")
@@ -116,9 +116,9 @@ def supersede(articles: DataFrame, cfg: Articles = ARTICLES, chunk_rows: int = C
     later. Chunks of one fingerprint meet as matrices and each returns at most
     one candidate per older article.
     """
-    live = articles.where((F.col("fingerprint") != "") & ~F.col("stale")).select(
+    live = stage(articles.where((F.col("fingerprint") != "") & ~F.col("stale")).select(
         "article_id", "fingerprint", F.unix_timestamp("published_at").alias("at"), "embedding"
-    )
+    ))
     id_type = articles.schema["article_id"].dataType.simpleString()
     gap, floor = cfg.supersession_gap_seconds, cfg.cluster_threshold
 

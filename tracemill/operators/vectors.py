@@ -49,47 +49,48 @@ def grid_join(
     """Run ``kernel`` on every pair of bounded chunks that agree on ``on``.
 
     A group with more rows than a chunk is split by a hash on both sides, so a
-    hot group becomes many equal tasks.
+    hot group becomes many equal tasks. Groups that fit in one chunk are packed
+    together, so millions of small groups do not cost a Python call each.
+    Both sides are read more than once: pass staged tables when they are costly.
     """
     on = list(on)
     # Both sides may come from one table: new aliases keep their columns apart.
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    packs = max(1, -(-(left.count() + right.count()) // chunk_rows))
+    name = F.to_json(F.struct(*on))
+    alone = (F.col("_lparts") > 1) | (F.col("_rparts") > 1)
     sizes = (
         left.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("_lparts"))
         .join(right.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("_rparts")), on)
+        .withColumn("_pack", F.when(alone, name).otherwise(F.pmod(F.xxhash64(name), F.lit(packs)).cast("string")))
     )
     cut_left = (
         left.join(sizes, on)
         .withColumn("_l", F.pmod(left_hash, F.col("_lparts")))
-        .withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_rparts") - 1)))
-        .drop("_lparts", "_rparts")
+        .withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rparts") - 1)))
     )
     cut_right = (
         right.join(sizes, on)
         .withColumn("_r", F.pmod(right_hash, F.col("_rparts")))
-        .withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("_lparts") - 1)))
-        .drop("_lparts", "_rparts")
+        .withColumn("_l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lparts") - 1)))
     )
-    cell = [*on, "_l", "_r"]
-    typed = [F.col("_l").cast("long"), F.col("_r").cast("long")]
-    cut_left = cut_left.select(*left.columns, *typed)
-    cut_right = cut_right.select(*right.columns, *typed)
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return kernel(a, b) if len(a) and len(b) else pd.DataFrame()
-
-    empty_safe = _with_empty_frame(meet, schema)
-    return cut_left.groupBy(*cell).cogroup(cut_right.groupBy(*cell)).applyInPandas(empty_safe, schema)
-
-
-def _with_empty_frame(func, schema):
+    cell = ["_pack", "_l", "_r"]
+    cut_left = cut_left.select(*left.columns, *cell)
+    cut_right = cut_right.select(*[F.col(c).alias(c) for c in (*right.columns, *cell)])
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
-    def wrapped(a, b):
-        result = func(a, b)
-        return result if len(result) else pd.DataFrame(columns=names)
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(a) and len(b):
+            others = {key: rows for key, rows in b.groupby(on, sort=False)}
+            for key, rows in a.groupby(on, sort=False):
+                if key in others:
+                    part = kernel(rows, others[key])
+                    if len(part):
+                        found.append(part)
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=names)
 
-    return wrapped
+    return cut_left.groupBy(*cell).cogroup(cut_right.groupBy(*cell)).applyInPandas(meet, schema)
 
 
 def _best_rows(scores: np.ndarray, tie: np.ndarray, k: int, floor: float | None) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +136,7 @@ def nearest(
     )
     asked_once = asked.groupBy(*keys, "_qv").agg(F.first(vec).alias(vec))
 
+    reps, asked_once = stage(reps), stage(asked_once)
     reps, asked_once, on_cell = _cells(reps, asked_once, keys, vec, reach, min_score, chunk_rows)
     key_fields = "".join(f"{c} {asked_once.schema[c].dataType.simpleString()}, " for c in keys)
     schema = f"{key_fields}_qv string, _ids array<{id_type}>, score double"

@@ -8,7 +8,7 @@ from tracemill.functions import text
 from tracemill.operators import articles, documents, relational
 from tracemill.operators.embedding import embed
 from tracemill.registry import query
-from tracemill.registry.tables import table
+from tracemill.registry.tables import hashed_vectors_sql, table
 from tracemill.registry.text import GAZETTEER_SQL, HTML_SQL, TOPICS_SQL, gazetteer, legal_documents, ID_SQL
 from tracemill.sources import readers, sinks
 
@@ -22,19 +22,7 @@ ARTICLES_SQL = f"""
          CASE WHEN d.doc_id % 13 = 4 THEN 'archived' ELSE 'accepted' END AS status
   FROM documents d JOIN topical t ON t.doc_id = d.doc_id JOIN prints p ON p.doc_id = d.doc_id)
 """
-VECTORS_SQL = r"""
-words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+'), lambda w: w <> '') AS w FROM documents),
-pairs AS (
-  SELECT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS pair
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM words WHERE len(w) > 0)),
-hashed AS (SELECT doc_id, ('0x' || substr(md5(pair), 1, 4))::INT AS h FROM pairs),
-cells AS (SELECT doc_id, h % 64 AS i, sum(CASE WHEN h < 32768 THEN 1 ELSE -1 END) AS c FROM hashed GROUP BY 1, 2),
-norms AS (SELECT doc_id, sqrt(sum(c * c)) AS n FROM cells GROUP BY 1),
-vectors AS (
-  SELECT d.doc_id, list(CASE WHEN n.n > 0 THEN CAST(coalesce(c.c, 0) / n.n AS FLOAT)::DOUBLE ELSE 0.0 END ORDER BY r.i) AS e
-  FROM documents d CROSS JOIN (SELECT unnest(range(64)) AS i) r
-  LEFT JOIN norms n ON n.doc_id = d.doc_id LEFT JOIN cells c ON c.doc_id = d.doc_id AND c.i = r.i GROUP BY 1)
-"""
+VECTORS_SQL = hashed_vectors_sql("vectors", "documents", "doc_id", "text")
 
 
 def plain_articles(spark, sf_dir):

@@ -55,3 +55,28 @@ tx AS (
          o_orderstatus = 'F' AS refunded, o_orderpriority <> '5-LOW' AS refund_eligible
   FROM orders)
 """
+
+
+def hashed_vectors_sql(name: str, source: str, key: str, body: str) -> str:
+    """CTEs ending in ``name(key, e)``: the model-free vectors of a text column, for SQL."""
+    return f"""
+{name}_words AS (SELECT {key}, list_filter(regexp_split_to_array(lower({body}), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '') AS w FROM {source}),
+{name}_pairs AS (
+  SELECT {key}, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS pair
+  FROM (SELECT {key}, w, unnest(range(1, greatest(len(w), 2))) AS i FROM {name}_words WHERE len(w) > 0)),
+{name}_hashed AS (SELECT {key}, ('0x' || substr(md5(pair), 1, 4))::INT AS h FROM {name}_pairs),
+{name}_cells AS (SELECT {key}, h % 64 AS i, sum(CASE WHEN h < 32768 THEN 1 ELSE -1 END) AS c FROM {name}_hashed GROUP BY 1, 2),
+{name}_norms AS (SELECT {key}, sqrt(sum(c * c)) AS n FROM {name}_cells GROUP BY 1),
+{name} AS (
+  SELECT d.{key}, list(CASE WHEN n.n > 0 THEN CAST(coalesce(c.c, 0) / n.n AS FLOAT)::DOUBLE ELSE 0.0 END ORDER BY r.i) AS e
+  FROM {source} d CROSS JOIN (SELECT unnest(range(64)) AS i) r
+  LEFT JOIN {name}_norms n ON n.{key} = d.{key} LEFT JOIN {name}_cells c ON c.{key} = d.{key} AND c.i = r.i GROUP BY 1)
+"""
+
+
+def cosine_sql(a: str, b: str) -> str:
+    """Cosine of two list columns, 0 when one has no length."""
+    return (
+        f"(CASE WHEN list_dot_product({a}, {a}) = 0 OR list_dot_product({b}, {b}) = 0 THEN 0.0 "
+        f"ELSE list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) END)"
+    )
