@@ -96,3 +96,48 @@ def latest_version(docs: DataFrame, document_id: str, version: str) -> DataFrame
 def merge_tags(given: Column, found: Column) -> Column:
     """Sorted union of two tag arrays."""
     return F.array_sort(F.array_union(given, found))
+
+
+def chunks(docs: DataFrame, document_id: str, body: str, separator: str = r"\n{2,}", cfg: Retrieval = RETRIEVAL,
+           label_before_flush: bool = True) -> DataFrame:
+    """(document_id, chunk_index, chunk_id, text, section): paragraphs packed up to the chunk size.
+
+    The next chunk starts with the last words of the one before. By default a
+    chunk that is closed by a heading carries that heading's label;
+    ``label_before_flush=False`` gives it the label its own text was under.
+    Each document is one row, folded natively.
+    """
+    def trimmed(value: Column) -> Column:
+        return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+
+    paragraphs = F.filter(F.transform(F.split(body, separator), trimmed), lambda p: p != "")
+    state_type = "struct<done:array<struct<text:string,section:string>>,current:string,section:string>"
+    start = F.from_json(F.lit('{"done": [], "current": "", "section": ""}'), state_type)
+
+    def pack(state: Column, paragraph: Column) -> Column:
+        heading = text.section(paragraph)
+        label = F.when(heading != "", heading).otherwise(state["section"])
+        full = (F.length(state["current"]) + F.length(paragraph) + 1 > cfg.chunk_size) & (state["current"] != "")
+        closed = F.struct(
+            trimmed(state["current"]).alias("text"), (label if label_before_flush else state["section"]).alias("section")
+        )
+        words = F.split(trimmed(state["current"]), r"(?U)\s+")
+        kept = F.greatest(F.size(words) - cfg.chunk_overlap_words, F.lit(0))
+        overlap = F.array_join(F.slice(words, kept + 1, F.lit(cfg.chunk_overlap_words)), " ")
+        return F.struct(
+            F.when(full, F.concat(state["done"], F.array(closed))).otherwise(state["done"]).alias("done"),
+            F.when(full, F.concat(overlap, F.lit("\n\n"), paragraph))
+            .when(state["current"] == "", paragraph)
+            .otherwise(trimmed(F.concat(state["current"], F.lit("\n\n"), paragraph))).alias("current"),
+            label.alias("section"),
+        )
+
+    def finish(state: Column) -> Column:
+        rest = F.struct(trimmed(state["current"]).alias("text"), state["section"].alias("section"))
+        return F.when(trimmed(state["current"]) != "", F.concat(state["done"], F.array(rest))).otherwise(state["done"])
+
+    packed = docs.select(document_id, F.posexplode(F.aggregate(paragraphs, start, pack, finish)).alias("chunk_index", "_c"))
+    return packed.select(
+        F.col(document_id).alias("document_id"), "chunk_index",
+        text.chunk_id(F.col(document_id), F.col("chunk_index")).alias("chunk_id"), "_c.text", "_c.section",
+    )

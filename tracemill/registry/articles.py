@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions import text
-from tracemill.operators import articles, documents, relational
+from tracemill.operators import articles, documents, gate, relational
 from tracemill.operators.embedding import embed
+from tracemill.plans import ingest
 from tracemill.registry import query
 from tracemill.registry.tables import hashed_vectors_sql, table
 from tracemill.registry.text import GAZETTEER_SQL, HTML_SQL, TOPICS_SQL, gazetteer, legal_documents, ID_SQL
@@ -368,3 +369,101 @@ def joi18(spark, sf_dir):
     rows = tiered_vectors(spark, sf_dir)
     hits = articles.search_tiers(rows.withColumnRenamed("article_id", "query_id"), rows, 3, 0.3)
     return articles.hydrate(hits, rows).select("query_id", "rank", "base_id", "title")
+
+
+GATE_SQL = f"""
+{SIMILAR_SQL}, near AS MATERIALIZED (SELECT query_id, base_id, score FROM scored WHERE score >= 0.85),
+line AS MATERIALIZED (SELECT article_id, fingerprint, CAST(epoch(published_at) AS BIGINT) AS at, row_number() OVER (ORDER BY published_at, article_id) AS n FROM arts),
+gate(n, stored, status) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, fp VARCHAR, at BIGINT)[]), ''
+  UNION ALL
+  SELECT j.n, CASE WHEN j.status = 'duplicate' THEN j.stored ELSE list_append(j.stored, {{'id': j.article_id, 'fp': j.fingerprint, 'at': j.at}}) END, j.status
+  FROM (
+    SELECT l.n, l.article_id, l.fingerprint, l.at, g.stored,
+           CASE WHEN l.fingerprint <> '' AND len(list_filter(g.stored, lambda s: s.fp = l.fingerprint AND l.at - s.at < 604800)) = 0 THEN 'accepted'
+                WHEN b.best >= 0.97 THEN 'duplicate' WHEN b.best >= 0.85 THEN 'clustered' ELSE 'accepted' END AS status
+    FROM gate g JOIN line l ON l.n = g.n + 1
+    LEFT JOIN LATERAL (SELECT max(score) AS best FROM near p WHERE p.query_id = l.article_id AND list_contains(list_transform(g.stored, lambda s: s.id), p.base_id)) b ON true) j),
+outcomes AS (SELECT l.article_id, g.status FROM gate g JOIN line l ON l.n = g.n)
+"""
+
+
+@query("dec1_dedup_gate", f"WITH RECURSIVE {GATE_SQL} SELECT article_id, status FROM outcomes")
+def dec1(spark, sf_dir):
+    return gate.dedup_gate(vector_articles(spark, sf_dir)).select("article_id", "status")
+
+
+@query("agg15_gate_outcomes", f"WITH RECURSIVE {GATE_SQL} SELECT status AS label, count(*) AS total FROM outcomes GROUP BY 1")
+def agg15_gate(spark, sf_dir):
+    return gate.dedup_gate(vector_articles(spark, sf_dir)).groupBy(F.col("status").alias("label")).agg(F.count(F.lit(1)).alias("total"))
+
+
+@query("dec2_ingest_articles")
+def dec2(spark, sf_dir):
+    raw = plain_articles(spark, sf_dir).select("article_id", "url", "source", "title", "body", "published_at")
+    done = ingest.ingest_articles(raw, gazetteer(spark, sf_dir), as_of())
+    return done["articles"].select("article_id", "url", "tier", "status", "stale", F.coalesce("superseded_by", F.lit(-1)).alias("superseded_by"))
+
+
+CHUNKS_SQL = r"""
+paras AS (
+  SELECT doc_id, para, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM (
+    SELECT doc_id, i, regexp_replace(p, '^\s+|\s+$', '', 'g') AS para FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) WHERE para <> ''),
+labelled AS (
+  SELECT *, coalesce(last_value(CASE WHEN regexp_matches(para, '^(#+\s+.+|[A-Z][A-Z\s]+:)') THEN regexp_replace(regexp_extract(para, '^(#+\s+.+|[A-Z][A-Z\s]+:)', 1), '^\s+|\s+$', '', 'g') END IGNORE NULLS)
+            OVER (PARTITION BY doc_id ORDER BY n), '') AS section FROM paras),
+fold(doc_id, n, cur, emitted, section) AS (
+  SELECT doc_id, n, para, CAST(NULL AS VARCHAR), section FROM labelled WHERE n = 1
+  UNION ALL
+  SELECT l.doc_id, l.n,
+         CASE WHEN length(f.cur) + length(l.para) + 1 > 1500 THEN array_to_string(regexp_split_to_array(f.cur, '\s+')[-30:], ' ') || chr(10) || chr(10) || l.para ELSE f.cur || chr(10) || chr(10) || l.para END,
+         CASE WHEN length(f.cur) + length(l.para) + 1 > 1500 THEN f.cur END, l.section
+  FROM fold f JOIN labelled l ON l.doc_id = f.doc_id AND l.n = f.n + 1),
+pieces AS (
+  SELECT doc_id, n, emitted AS text, section FROM fold WHERE emitted IS NOT NULL
+  UNION ALL SELECT f.doc_id, f.n + 1, f.cur, f.section FROM fold f JOIN (SELECT doc_id, max(n) AS n FROM fold GROUP BY 1) m ON m.doc_id = f.doc_id AND m.n = f.n),
+chunked AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS chunk_index, text, section FROM pieces)
+"""
+
+
+@query("txt3_chunks", f"WITH RECURSIVE {CHUNKS_SQL} SELECT doc_id, chunk_index, text, section FROM chunked")
+def txt3(spark, sf_dir):
+    made = documents.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", r"\n")
+    return made.select(F.col("document_id").alias("doc_id"), F.col("chunk_index").cast("bigint").alias("chunk_index"), "text", "section")
+
+
+def raw_legal(spark, sf_dir):
+    """Legal documents with the parts of their ids; one in 25 lacks its serial number."""
+    number = F.col("doc_id")
+    kinds = F.array(*[F.lit(k) for k in (*text.DOC_TYPE_CODES, "letter")])
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("lang").alias("country_code"), F.col("source").alias("state_code"), F.lit("d").alias("district_code"), (2000 + number % 20).alias("year"),
+        F.element_at(kinds, (F.floor(number / 3) % 6 + 1).cast("int")).alias("doc_type"), F.when(number % 25 != 7, F.floor(number / 3).cast("string")).alias("serial"),
+        "text", (number % 3 + 1).alias("version"),
+    )
+
+
+LEGAL_SQL = r"""
+named AS (
+  SELECT *, upper(lang) || ':' || upper(source) || ':D:' || (2000 + doc_id % 20) || ':' || CASE (doc_id // 3) % 6 WHEN 0 THEN 'CR' WHEN 1 THEN 'ST' WHEN 2 THEN 'RG' WHEN 3 THEN 'CN' WHEN 4 THEN 'AV' ELSE 'XX' END || ':' || doc_id // 3 AS base_id, doc_id % 3 + 1 AS version
+  FROM documents WHERE doc_id % 25 <> 7),
+newest AS (SELECT base_id, max(version) AS version, max_by(doc_id, version) AS doc_id FROM named GROUP BY 1)
+"""
+
+
+@query("dec12_ingest_documents", f"WITH {LEGAL_SQL} SELECT base_id, base_id || ':v' || version AS document_id, version FROM newest")
+def dec12(spark, sf_dir):
+    done = ingest.ingest_documents(raw_legal(spark, sf_dir), as_of(), separator=r"\n")
+    return done["registry"].select("base_id", "document_id", "version")
+
+
+@query("dec12_ingest_errors", "SELECT doc_id, 'missing required field' AS error FROM documents WHERE doc_id % 25 = 7")
+def dec12_errors(spark, sf_dir):
+    return ingest.ingest_documents(raw_legal(spark, sf_dir), as_of(), separator=r"\n")["errors"].select("doc_id", "error")
+
+
+@query("dec12_ingest_chunks")
+def dec12_chunks(spark, sf_dir):
+    old = ingest.ingest_documents(raw_legal(spark, sf_dir).where("version < 3"), as_of(), separator=r"\n")
+    new = ingest.ingest_documents(raw_legal(spark, sf_dir).where("version = 3"), as_of(), old["chunks"], old["registry"], r"\n")
+    return new["chunks"].groupBy("base_id", "document_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
