@@ -109,16 +109,21 @@ def similar_by_entities(queries: DataFrame, articles: DataFrame, k: int = ARTICL
     return top_per(hits.drop("rank"), ["query_id"], [F.col("score").desc(), F.col("base_id")], k)
 
 
-def supersede(articles: DataFrame, cfg: Articles = ARTICLES, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def supersede(articles: DataFrame, cfg: Articles = ARTICLES, chunk_rows: int = CHUNK_ROWS,
+              newer: DataFrame | None = None) -> DataFrame:
     """(article_id, superseded_by, score): the first newer article that replaces each older one.
 
-    Same non-empty fingerprint, close enough, and at least the minimum gap
+    ``newer`` limits which articles may replace (a batch that just arrived). Same non-empty fingerprint, close enough, and at least the minimum gap
     later. Chunks of one fingerprint meet as matrices and each returns at most
     one candidate per older article.
     """
-    live = stage(articles.where((F.col("fingerprint") != "") & ~F.col("stale")).select(
-        "article_id", "fingerprint", F.unix_timestamp("published_at").alias("at"), "embedding"
-    ))
+    def candidates(df: DataFrame) -> DataFrame:
+        return stage(df.where((F.col("fingerprint") != "") & ~F.col("stale")).select(
+            "article_id", "fingerprint", F.unix_timestamp("published_at").alias("at"), "embedding"
+        ))
+
+    live = candidates(articles)
+    replacing = live if newer is None else candidates(newer)
     id_type = articles.schema["article_id"].dataType.simpleString()
     gap, floor = cfg.supersession_gap_seconds, cfg.cluster_threshold
 
@@ -135,7 +140,7 @@ def supersede(articles: DataFrame, cfg: Articles = ARTICLES, chunk_rows: int = C
         })
 
     found = grid_join(
-        live, live, ["fingerprint"], kernel, f"article_id {id_type}, superseded_by {id_type}, at long, score double",
+        live, replacing, ["fingerprint"], kernel, f"article_id {id_type}, superseded_by {id_type}, at long, score double",
         F.xxhash64("article_id"), F.xxhash64("article_id"), chunk_rows,
     )
     return latest_per(found, ["article_id"], [F.col("at"), F.col("superseded_by")], newest=False).drop("at")

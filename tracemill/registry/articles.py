@@ -373,14 +373,14 @@ def joi18(spark, sf_dir):
 
 GATE_SQL = f"""
 {SIMILAR_SQL}, near AS MATERIALIZED (SELECT query_id, base_id, score FROM scored WHERE score >= 0.85),
-line AS MATERIALIZED (SELECT article_id, fingerprint, CAST(epoch(published_at) AS BIGINT) AS at, row_number() OVER (ORDER BY published_at, article_id) AS n FROM arts),
+line AS MATERIALIZED (SELECT article_id, fingerprint, CAST(epoch(published_at) AS BIGINT) AS t, row_number() OVER (ORDER BY published_at, article_id) AS n FROM arts),
 gate(n, stored, status) AS (
-  SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, fp VARCHAR, at BIGINT)[]), ''
+  SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, fp VARCHAR, t BIGINT)[]), ''
   UNION ALL
-  SELECT j.n, CASE WHEN j.status = 'duplicate' THEN j.stored ELSE list_append(j.stored, {{'id': j.article_id, 'fp': j.fingerprint, 'at': j.at}}) END, j.status
+  SELECT j.n, CASE WHEN j.status = 'duplicate' THEN j.stored ELSE list_append(j.stored, {{'id': j.article_id, 'fp': j.fingerprint, 't': j.t}}) END, j.status
   FROM (
-    SELECT l.n, l.article_id, l.fingerprint, l.at, g.stored,
-           CASE WHEN l.fingerprint <> '' AND len(list_filter(g.stored, lambda s: s.fp = l.fingerprint AND l.at - s.at < 604800)) = 0 THEN 'accepted'
+    SELECT l.n, l.article_id, l.fingerprint, l.t, g.stored,
+           CASE WHEN l.fingerprint <> '' AND len(list_filter(g.stored, lambda s: s.fp = l.fingerprint AND l.t - s.t < 604800)) = 0 THEN 'accepted'
                 WHEN b.best >= 0.97 THEN 'duplicate' WHEN b.best >= 0.85 THEN 'clustered' ELSE 'accepted' END AS status
     FROM gate g JOIN line l ON l.n = g.n + 1
     LEFT JOIN LATERAL (SELECT max(score) AS best FROM near p WHERE p.query_id = l.article_id AND list_contains(list_transform(g.stored, lambda s: s.id), p.base_id)) b ON true) j),
