@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracemill.config import AGENTS, Agents
 from tracemill.operators.skew import (
-    BLOCK_ROWS, latest_per, ordered_fold, overlapping_blocks, running, top_per,
+    BLOCK_ROWS, latest_per, ordered_fold, overlapping_blocks, running, stage, top_per,
 )
 from tracemill.operators.vectors import cosine
 
@@ -138,31 +138,50 @@ SIGNALS = ("exact_duplicate", "semantic_similarity", "budget_exhausted", "no_pro
 
 def detect(steps: DataFrame, fingerprint: str = "args_hash", vec: str | None = None,
            cfg: Agents = AGENTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All detectors at once: ``signals`` (array, in layer order), ``flagged``, ``consecutive``, ``strategy``."""
-    novel = first_seen(steps).withColumn("novelty", (F.col("step") == F.col("first_step")).cast("double"))
-    totals = running(novel, [KEY], "step", {"tokens": (F.sum, F.col("tokens_used"))}, block_rows)
+    """All detectors at once: ``signals`` (array, in layer order), ``flagged``, ``consecutive``, ``strategy``.
+
+    The steps are staged once; the windows of all detectors share one
+    partitioning by session and block.
+    """
+    steps = stage(steps)
+    marked = first_seen(steps).join(exact_repeat(steps, fingerprint, cfg, block_rows), [KEY, "step"])
+    novelty = (F.col("step") == F.col("first_step")).cast("double")
     halo = max(cfg.progress_window - 1, cfg.semantic_window if vec else 0)
+    own_block = F.floor((F.col("step") - 1) / block_rows).alias("_block")
+    before = Window.partitionBy(KEY).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = steps.groupBy(KEY, own_block).agg(F.sum("tokens_used").alias("_sum")).select(
+        KEY, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carried")
+    )
+    # A halo block without rows of its own has no carry and drops out here.
+    blocks = overlapping_blocks(marked, "step", halo, block_rows).join(carried, [KEY, "_block"])
     order = Window.partitionBy(KEY, "_block").orderBy("step")
-    blocks = overlapping_blocks(totals, "step", halo, block_rows).withColumn(
-        "avg_novelty", F.avg("novelty").over(order.rowsBetween(1 - cfg.progress_window, 0))
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = (
+        blocks.withColumn("tokens", F.col("_carried") + F.coalesce(F.sum(F.when(~F.col("_halo"), F.col("tokens_used"))).over(so_far), F.lit(0)))
+        .withColumn("avg_novelty", F.avg(novelty).over(order.rowsBetween(1 - cfg.progress_window, 0)))
     )
     soft = F.lit(False)
     if vec:
         scores = [cosine(F.col(vec), F.lag(vec, b).over(order)) for b in range(1, cfg.semantic_window + 1)]
         blocks = blocks.withColumn("best_score", F.greatest(F.lit(0.0), *[F.coalesce(s, F.lit(0.0)) for s in scores]))
         soft = F.col("best_score") >= cfg.semantic_threshold
-    repeats = exact_repeat(steps, fingerprint, cfg, block_rows)
-    marked = blocks.where(~F.col("_halo")).drop("_block", "_halo").join(repeats, [KEY, "step"])
     exhausted = F.when(F.col("step") >= cfg.max_steps, "steps").when(F.col("tokens") >= cfg.max_tokens, "tokens")
     stuck = (F.col("step") >= cfg.progress_window) & (F.col("avg_novelty") < cfg.progress_threshold)
     cycle = F.col("step") - F.col("first_step") >= cfg.cycle_length
     found = (F.col("exact_repeat"), soft, F.col("exhausted").isNotNull(), stuck, cycle)
     signals = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in zip(SIGNALS, found)]))
     flagged = (
-        marked.withColumn("exhausted", exhausted).withColumn("signals", signals)
+        blocks.where(~F.col("_halo")).drop("_halo", "_carried").withColumn("exhausted", exhausted).withColumn("signals", signals)
         .withColumn("flagged", F.size("signals") > 0)
+        .withColumn("_clean", F.when(~F.col("flagged"), F.col("step")).otherwise(F.lit(0)))
+    )
+    clean = flagged.groupBy(KEY, "_block").agg(F.max("_clean").alias("_max")).select(
+        KEY, "_block", F.coalesce(F.max("_max").over(before), F.lit(0)).alias("_clean_before")
+    )
+    counted = flagged.join(clean, [KEY, "_block"]).withColumn(
+        "consecutive", F.col("step") - F.greatest(F.col("_clean_before"), F.max("_clean").over(so_far))
     )
-    return recovery(consecutive(flagged, "flagged", block_rows), cfg)
+    return recovery(counted.drop("_block", "_clean", "_clean_before"), cfg)
 
 
 def signal_rows(detected: DataFrame) -> DataFrame:

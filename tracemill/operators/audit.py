@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators.skew import BLOCK_ROWS
+from tracemill.operators.skew import BLOCK_ROWS, fold_groups, stage
 
 GENESIS = "0" * 64
 
@@ -51,16 +51,17 @@ def chain(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     names = [f.name for f in keep]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + ", prev_hash string, chain_hash string"
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sequence", kind="stable")
-        previous, before, after = pdf["_seed"].iloc[0], [], []
-        for content in pdf["content_hash"]:
-            before.append(previous)
-            previous = hashlib.sha256((content + previous).encode()).hexdigest()
-            after.append(previous)
+    def link(pdf: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
+        contents, before, after = pdf["content_hash"].tolist(), [], []
+        for first, end in spans:
+            previous = pdf["_seed"].iat[first]
+            for content in contents[first:end]:
+                before.append(previous)
+                previous = hashlib.sha256((content + previous).encode()).hexdigest()
+                after.append(previous)
         return pdf[names].assign(prev_hash=before, chain_hash=after)
 
-    return seeded.groupBy("patient_id", "_block").applyInPandas(link, schema)
+    return fold_groups(stage(seeded), ["patient_id", "_block"], ["sequence"], link, schema)
 
 
 def chain_heads(chained: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -71,15 +72,16 @@ def chain_heads(chained: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     )
     schema = "patient_id " + chained.schema["patient_id"].dataType.simpleString() + ", block long, sequence long, head string, heads_hash string"
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block", kind="stable")
-        previous, tied = GENESIS, []
-        for head in pdf["head"]:
-            previous = hashlib.sha256((head + previous).encode()).hexdigest()
-            tied.append(previous)
+    def link(pdf: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
+        heads_in_order, tied = pdf["head"].tolist(), []
+        for first, end in spans:
+            previous = GENESIS
+            for head in heads_in_order[first:end]:
+                previous = hashlib.sha256((head + previous).encode()).hexdigest()
+                tied.append(previous)
         return pdf.assign(heads_hash=tied)[["patient_id", "block", "sequence", "head", "heads_hash"]]
 
-    return heads.groupBy("patient_id").applyInPandas(link, schema)
+    return fold_groups(stage(heads), ["patient_id"], ["block"], link, schema)
 
 
 def verify_chain(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -118,7 +118,7 @@ LAB_ORDER = ("ts", "lab_id")
 
 
 def _lab_bucket() -> Column:
-    return F.date_trunc("day", "ts")
+    return F.date_trunc("minute", "ts")
 
 
 def lab_edges(labs: DataFrame) -> DataFrame:

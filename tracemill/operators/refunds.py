@@ -16,10 +16,6 @@ from tracemill.config import REFUNDS, Refunds
 from tracemill.functions.dates import age_days
 from tracemill.operators.skew import BLOCK_ROWS, number_rows, ordered_fold
 
-def newest_first() -> list[Column]:
-    return [F.col("created_at").desc(), F.col("transaction_id")]
-
-
 def candidates(
     tx: DataFrame, as_of: Column, days: int = REFUNDS.refund_days, user: int | str | None = None,
     merchant: str | None = None, min_amount: Decimal | None = None, max_amount: Decimal | None = None,
@@ -78,7 +74,7 @@ def select_by_index(cand: DataFrame, session: str, selection: str) -> DataFrame:
     numbered = number_rows(
         cand.withColumn("_newest", -F.unix_micros("created_at")), [session],
         [F.col("_newest"), F.col("transaction_id")],
-        F.floor(F.col("_newest") / (86_400_000_000 * 30)), "position",
+        F.floor(F.col("_newest") / 60_000_000), "position",
     ).drop("_newest")
     wanted = F.transform(F.split(selection, ","), lambda part: F.trim(part).cast("int"))
     everything = F.lower(F.col(selection)) == "all"

@@ -156,6 +156,36 @@ def overlapping_blocks(df: DataFrame, step: str, halo: int, block_rows: int = BL
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores when the source has fewer parts than cores (one small or unsplit file).
+
+    A source with many parts is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores)
+
+
+def fold_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str],
+    fold: Callable[[pd.DataFrame, list[tuple[int, int]]], pd.DataFrame], schema: str, pack_rows: int = 4 * BLOCK_ROWS,
+) -> DataFrame:
+    """``fold(rows, spans)`` on ordered rows, for keys of a bounded size; a span is the rows of one key.
+
+    Keys are packed by hash into groups of about ``pack_rows`` rows, so that
+    many small keys cost one Python call. ``df`` is counted: pass a staged table.
+    """
+    keys, order = list(keys), list(order)
+    packs = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // pack_rows))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*keys, *order], kind="stable", ignore_index=True)
+        changed = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
+        return fold(pdf, list(zip(changed, [*changed[1:], len(pdf)])))
+
+    packed = df.withColumn("_pack", F.pmod(F.xxhash64(*keys), F.lit(packs)))
+    return packed.groupBy("_pack").applyInPandas(run, schema)
+
+
 def ordered_fold(
     df: DataFrame, key: str, step: str, columns: Sequence[str], start: list,
     advance: Callable[[list, pd.DataFrame], tuple[list, list]],
@@ -169,45 +199,38 @@ def ordered_fold(
     only blocks whose predecessor ended in another state are folded again,
     until no block changes. The result equals the serial fold.
     """
-    rows = df.select(key, step, *columns).withColumn(
-        "_block", F.floor((F.col(step) - 1) / block_rows).cast("long")
-    )
+    rows = stage(df.select(key, step, *columns).withColumn("_block", F.floor((F.col(step) - 1) / block_rows).cast("long")))
     key_type = df.schema[key].dataType.simpleString()
     step_type = df.schema[step].dataType.simpleString()
     empty = F.lit(json.dumps(start))
+    block = [key, "_block"]
 
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(step, kind="stable")
-        values, _ = advance(json.loads(pdf["_state"].iloc[0]), pdf)
-        return pd.DataFrame({key: pdf[key].values, step: pdf[step].values, out: values})
+    def emit(pdf: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
+        values = []
+        for first, end in spans:
+            outputs, _ = advance(json.loads(pdf["_state"].iat[first]), pdf.iloc[first:end])
+            values.extend(outputs)
+        return pd.DataFrame({key: pdf[key], step: pdf[step], out: values})
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(step, kind="stable")
-        _, state = advance(json.loads(pdf["_state"].iloc[0]), pdf)
-        return pd.DataFrame({
-            key: pdf[key].iloc[:1].values, "_block": pdf["_block"].iloc[:1].values, "_end": [json.dumps(state)],
-        })
+    def finish(pdf: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
+        ends = [json.dumps(advance(json.loads(pdf["_state"].iat[a]), pdf.iloc[a:b])[1]) for a, b in spans]
+        heads = pdf.iloc[[a for a, _ in spans]]
+        return pd.DataFrame({key: heads[key].values, "_block": heads["_block"].values, "_end": ends})
 
     emitted = f"{key} {key_type}, {step} {step_type}, {out} {out_type}"
-    last = df.agg(F.max(step)).first()[0] or 0
-    if last <= block_rows:
-        return rows.withColumn("_state", empty).groupBy(key).applyInPandas(emit, emitted)
+    if (rows.agg(F.max("_block")).first()[0] or 0) == 0:
+        return fold_groups(rows.withColumn("_state", empty), [key], [step], emit, emitted)
 
-    rows = stage(rows)
-    starts = stage(rows.select(key, "_block").distinct().withColumn("_state", empty))
+    starts = stage(rows.select(*block).distinct().withColumn("_state", empty))
     pending = starts
     while not pending.isEmpty():
-        ends = rows.join(pending, [key, "_block"]).groupBy(key, "_block").applyInPandas(
-            finish, f"{key} {key_type}, _block long, _end string"
-        )
+        ends = fold_groups(rows.join(pending, block), block, [step], finish, f"{key} {key_type}, _block long, _end string")
         handed = ends.select(key, (F.col("_block") + 1).alias("_block"), F.col("_end").alias("_handed"))
         pending = stage(
-            starts.join(handed, [key, "_block"]).where("_handed <> _state")
-            .select(key, "_block", F.col("_handed").alias("_state"))
+            starts.join(handed, block).where("_handed <> _state").select(*block, F.col("_handed").alias("_state"))
         )
         revised = pending.withColumnRenamed("_state", "_revised")
         starts = stage(
-            starts.join(revised, [key, "_block"], "left")
-            .select(key, "_block", F.coalesce("_revised", "_state").alias("_state"))
+            starts.join(revised, block, "left").select(*block, F.coalesce("_revised", "_state").alias("_state"))
         )
-    return rows.join(starts, [key, "_block"]).groupBy(key, "_block").applyInPandas(emit, emitted)
+    return fold_groups(rows.join(starts, block), block, [step], emit, emitted)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.operators.skew import stage, top_per
+from tracemill.operators.skew import small_side, stage, top_per
 
 CHUNK_ROWS = 4_096
 SCORE_DECIMALS = 6
@@ -59,11 +59,11 @@ def grid_join(
     packs = max(1, -(-(left.count() + right.count()) // chunk_rows))
     name = F.to_json(F.struct(*on))
     alone = (F.col("_lparts") > 1) | (F.col("_rparts") > 1)
-    sizes = (
+    sizes = small_side(stage(
         left.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("_lparts"))
         .join(right.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("_rparts")), on)
         .withColumn("_pack", F.when(alone, name).otherwise(F.pmod(F.xxhash64(name), F.lit(packs)).cast("string")))
-    )
+    ))
     cut_left = (
         left.join(sizes, on)
         .withColumn("_l", F.pmod(left_hash, F.col("_lparts")))
@@ -121,10 +121,11 @@ def nearest(
     """
     on = list(on)
     reach = k + 1 if exclude_self else k
-    print_of = F.md5(F.to_json(F.col(vec)))
+    # Two hashes with different seeds: 128 bits tell vectors apart.
+    print_of = F.concat_ws("-", F.xxhash64(vec), F.xxhash64(F.lit(7), F.col(vec)))
     asked = queries.select(*on, query_id, vec).withColumn("_qv", print_of)
     stored = base.select(*on, base_id, vec).withColumn("_bv", print_of)
-    id_type = base.schema[base_id].dataType.simpleString()
+    id_type = base.schema[base_id].dataType.simpleString()  # ids are numbers or strings
     # Every group needs a key, also when the search is global.
     keys = on or ["_all"]
     if not on:
@@ -137,31 +138,38 @@ def nearest(
     asked_once = asked.groupBy(*keys, "_qv").agg(F.first(vec).alias(vec))
 
     reps, asked_once = stage(reps), stage(asked_once)
+    rest = reps.where(F.size("_ids") > 1).select(
+        *keys, F.col("_ids")[0].alias(base_id), F.slice("_ids", 2, reach).alias("_rest")
+    )
+    lone = rest.isEmpty()
+    reps = reps.withColumn("_low", F.col("_ids")[0]).drop("_ids")
     reps, asked_once, on_cell = _cells(reps, asked_once, keys, vec, reach, min_score, chunk_rows)
     key_fields = "".join(f"{c} {asked_once.schema[c].dataType.simpleString()}, " for c in keys)
-    schema = f"{key_fields}_qv string, _ids array<{id_type}>, score double"
+    schema = f"{key_fields}_qv string, {base_id} {id_type}, score double"
 
     def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         scores = np.round(unit_rows(q[vec]) @ unit_rows(b[vec]).T, SCORE_DECIMALS) + 0.0
-        low = np.array([ids[0] for ids in b["_ids"]])
-        rows, cols = _best_rows(scores, low, reach, min_score)
+        low = b["_low"].to_numpy()
+        rows, cols = _best_rows(scores, low.astype(str) if low.dtype == object else low, reach, min_score)
         found = {c: q[c].to_numpy()[rows] for c in keys}
-        found |= {"_qv": q["_qv"].to_numpy()[rows], "_ids": b["_ids"].to_numpy()[cols], "score": scores[rows, cols]}
-        return pd.DataFrame(found)
+        return pd.DataFrame(found | {"_qv": q["_qv"].to_numpy()[rows], base_id: low[cols], "score": scores[rows, cols]})
 
     hits = grid_join(
         asked_once, reps, on_cell, kernel, schema, F.xxhash64("_qv"), F.xxhash64("_bv"), chunk_rows
     )
+    if not lone:
+        # Put the other ids of a group of copies back beside its lowest id.
+        none = F.array().cast(f"array<{id_type}>")
+        hits = hits.join(small_side(rest), [*keys, base_id], "left").select(
+            *keys, "_qv", "score", F.explode(F.concat(F.array(base_id), F.coalesce("_rest", none))).alias(base_id)
+        )
     best_first = [F.col("score").desc(), F.col(base_id)]
-    merged = top_per(
-        hits.select(*keys, "_qv", "score", F.explode("_ids").alias(base_id)),
-        [*keys, "_qv"], best_first, reach, "_rank",
-    )
-    answered = asked.select(*keys, query_id, "_qv").join(merged.drop("_rank"), [*keys, "_qv"])
+    merged = top_per(hits, [*keys, "_qv"], best_first, reach)
+    answered = asked.select(*keys, query_id, "_qv").join(merged, [*keys, "_qv"])
     if exclude_self:
-        answered = answered.where(F.col(query_id) != F.col(base_id))
-    ranked = top_per(answered, [*keys, query_id], best_first, k)
-    return ranked.select(*on, query_id, base_id, "score", "rank")
+        others = answered.where(F.col(query_id) != F.col(base_id)).drop("rank")
+        answered = top_per(others, [*keys, query_id], best_first, k)
+    return answered.select(*on, query_id, base_id, "score", "rank")
 
 
 def _cells(reps, asked, keys, vec, reach, min_score, chunk_rows):

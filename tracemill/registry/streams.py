@@ -66,7 +66,7 @@ SELECT article_id, fingerprint = '' OR coalesce(gap < 604800, false) AS seen FRO
 def str2_batch(spark, sf_dir):
     rows = plain_articles(spark, sf_dir).select("article_id", "fingerprint", "published_at")
     linked = previous_row(
-        rows, ["fingerprint"], [F.col("published_at"), F.col("article_id")], F.date_trunc("day", "published_at"), ["published_at"], "prev"
+        rows, ["fingerprint"], [F.col("published_at"), F.col("article_id")], F.date_trunc("minute", "published_at"), ["published_at"], "prev"
     )
     gap = F.unix_timestamp("published_at") - F.unix_timestamp("prev.published_at")
     return linked.select("article_id", ((F.col("fingerprint") == "") | F.coalesce(gap < 604_800, F.lit(False))).alias("seen"))

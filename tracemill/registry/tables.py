@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.operators.skew import number_rows
+from tracemill.operators.skew import number_rows, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for column, kind in df.dtypes:
         if kind == "timestamp_ntz":
             df = df.withColumn(column, F.col(column).cast("timestamp"))
-    return df
+    # Text costs far more to work on than to move: use all cores even when the file is one piece.
+    return spread(df) if name in TEXT_TABLES else df
+
+
+TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +29,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("props").alias("tool_args"), F.col("props").alias("observation"),
         F.floor(F.col("value") * 50).cast("bigint").alias("tokens_used"),
     )
-    return number_rows(named, ["session_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("day", "ts"))
+    return number_rows(named, ["session_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("minute", "ts"))
 
 
 STEPS_SQL = """

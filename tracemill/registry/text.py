@@ -21,6 +21,7 @@ def re2(pattern: str, ignore_case: bool = False, dot_all: bool = False) -> str:
 
 
 SPACE_TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+SECTION_SQL = SPACE_TRIM.format(r"regexp_extract(line, '^(#+\s+.+|[A-Z][A-Z\s]+:)', 1)")
 CLEAN_SQL = r"trim(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -57,7 +58,7 @@ def txt2(spark, sf_dir):
 
 @query("txt4_section", rf"""
 WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, line, {SPACE_TRIM.format("regexp_extract(line, '^(#+\s+.+|[A-Z][A-Z\s]+:)', 1)")} AS section FROM p
+SELECT doc_id, line, {SECTION_SQL} AS section FROM p
 """)
 def txt4(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
