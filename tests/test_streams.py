@@ -48,7 +48,7 @@ def test_seen_gate_expires_and_renews(spark):
     folder, day = flows.work_folder(spark), 86_400
     rows = [(1, "f", 0), (2, "f", 6 * day), (3, "f", 12 * day), (4, "f", 19 * day), (5, "", 20 * day), (6, "g", 20 * day), (7, "f", 20 * day)]
     df = spark.createDataFrame(rows, "article_id long, fingerprint string, s long").select(
-        "article_id", "fingerprint", F.timestamp_seconds("s").alias("published_at"), F.col("s").cast("double").alias("o")
+        "article_id", "fingerprint", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("published_at"), F.col("s").cast("double").alias("o")
     )
     got = flows.drain(processors.seen_gate(in_files(spark, df, "o", folder)), folder)
     assert {r.article_id: r.seen for r in got.collect()} == {1: False, 2: True, 3: True, 4: False, 5: True, 6: False, 7: True}
@@ -58,7 +58,7 @@ def test_once_stream_replays_and_forgets(spark):
     folder, day = flows.work_folder(spark), 86_400
     rows = [(1, "k", 1.0, 0), (2, "k", 2.0, day), (3, "k", 3.0, 6 * day), (4, "k", 4.0, 7 * day), (5, "k", 5.0, 8 * day)]
     df = spark.createDataFrame(rows, "request_id long, idempotency_key string, amount double, s long").select(
-        "request_id", "idempotency_key", "amount", F.timestamp_seconds("s").alias("requested_at"), F.col("s").cast("double").alias("o")
+        "request_id", "idempotency_key", "amount", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("requested_at"), F.col("s").cast("double").alias("o")
     )
     got = flows.drain(processors.once_stream(in_files(spark, df, "o", folder, 2)), folder)
     assert {r.request_id: (r.result_request, r.replayed) for r in got.collect()} == {
@@ -68,7 +68,7 @@ def test_once_stream_replays_and_forgets(spark):
 def test_stall_stream_signals_once(spark):
     folder = flows.work_folder(spark)
     rows = [("a", "t", "start", 0, 10.0), ("b", "t", "start", 0, 10.0), ("b", "t", "finish", 5, 10.0), ("c", "t", "start", 0, 1e6), ("z", "t", "start", 500, 10.0)]
-    df = spark.createDataFrame(rows, "exec_id string, tool_name string, event string, s long, timeout_seconds double").withColumn("ts", F.timestamp_seconds("s"))
+    df = spark.createDataFrame(rows, "exec_id string, tool_name string, event string, s long, timeout_seconds double").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000))
     df = df.withColumn("o", F.col("s").cast("double")).drop("s")
     got = flows.drain(processors.stall_stream(in_files(spark, df, "o", folder, 2)), folder)
     assert [r.exec_id for r in got.collect()] == ["a"]
@@ -96,6 +96,6 @@ def test_run_once_survives_a_second_run_of_a_batch(spark):
 
 def test_new_urls_across_files(spark):
     folder = flows.work_folder(spark)
-    df = spark.createDataFrame([("u1", 0), ("u2", 1), ("u1", 2)], "url string, s long").select("url", F.timestamp_seconds("s").alias("at"), F.col("s").cast("double").alias("o"))
+    df = spark.createDataFrame([("u1", 0), ("u2", 1), ("u1", 2)], "url string, s long").select("url", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("at"), F.col("s").cast("double").alias("o"))
     got = flows.drain(flows.new_urls(in_files(spark, df, "o", folder), "at"), folder)
     assert sorted(r.url for r in got.collect()) == ["u1", "u2"]
