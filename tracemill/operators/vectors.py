@@ -236,5 +236,8 @@ def _home_limits(asked, placed, keys, vec, pivots, reach, chunk_rows):
         at_home, placed.drop("_angle"), [*keys, "_cell"], kernel, f"{key_fields}_qv string, _worst double",
         F.xxhash64("_qv"), F.xxhash64("_bv"), chunk_rows,
     ).groupBy(*keys, "_qv").agg(F.max("_worst").alias("_worst"))
-    limit = F.coalesce(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "_worst"))), F.lit(float(np.pi)))
+    # least and greatest skip nulls: a query without a bound must be asked for first.
+    limit = F.when(F.col("_worst").isNull(), F.lit(float(np.pi))).otherwise(
+        F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "_worst")))
+    )
     return asked.join(bounds, [*keys, "_qv"], "left").withColumn("_limit", limit).drop("_worst")
