@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import substring_dedup
+from tracemill.llm import jaccard, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.SQL,
+    "op10_jaccard_join": jaccard.SQL,
 }
