@@ -24,8 +24,6 @@ PERCENT = 75
 RARE = 64
 #: Sets of fewer elements index all of them alone; from here on each fourfold size has its own number of classes.
 SMALL = 48
-#: Rounds in which each key's rows meet one pivot, before the rows that are still apart meet each other.
-STAR_ROUNDS = 2
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +112,7 @@ def _index(size: int, percent: int, rare: int, ranges: int, schema: pa.Schema):
         totals = hashcount.unpack(answer, distinct, ranges, totals=True)[back]
         bounds = np.searchsorted(owner, np.arange(table.num_rows + 1))
         ids = table["doc_id"].to_pylist()
-        sets, keys, first, second = [], [], [], []
+        sets, keys, first, second, several = [], [], [], [], []
         with np.errstate(over="ignore"):
             mixed = words.mix(hashes)
             again = words.mix(mixed + np.uint64(1))
@@ -122,11 +120,12 @@ def _index(size: int, percent: int, rare: int, ranges: int, schema: pa.Schema):
                 a, b = bounds[i], bounds[i + 1]
                 shared = ids[i] is not None and (totals[a:b] > 1).any()
                 found = prefix_keys(hashes[a:b], totals[a:b], percent, rare) if shared else []
+                several.append(int((totals[a:b] > 1).sum()))
                 sets.append(hashes[a:b].tobytes() if len(found) else None)
                 keys.append(found.view(np.int64) if len(found) else None)
                 first.append(int(mixed[a:b].sum().view(np.int64)) if len(found) else None)
                 second.append(int(again[a:b].sum().view(np.int64)) if len(found) else None)
-        made = {"doc_id": ids, "n_shingles": np.diff(bounds), "elements": sets, "keys": keys, "first": first, "second": second}
+        made = {"doc_id": ids, "n_shingles": np.diff(bounds), "shared": several, "elements": sets, "keys": keys, "first": first, "second": second}
         if "payload" in table.column_names:
             made["payload"] = table["payload"]
         arrays = [made[f.name].cast(f.type) if isinstance(made[f.name], pa.ChunkedArray) else pa.array(made[f.name], f.type) for f in schema]
@@ -155,41 +154,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link_nodes(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of sets ``rows`` (node, n, elements, keys), one row per distinct set, for nodes with links.
+    """(node, component) of sets ``rows`` (node, n, shared, elements, keys), one per distinct set, for nodes with links.
 
-    Each round every index key names one of its nodes as pivot and the others are checked against it: as many checks as
-    index rows, however many nodes share the key. Nodes that are connected already are never compared again. Keys whose
-    nodes are still apart after the rounds have those compared across components.
+    First every index key names one of its nodes as pivot, the one with the largest part of elements that others hold,
+    and the others are checked against it: as many checks as index rows, however many nodes share the key. Nodes that
+    are connected by then are never compared. What is still apart under a key is compared across components, without the
+    nodes that no other node of the key can match: an overlap is at most the number of elements ``shared`` by several
+    documents, which bounds the size of a partner (``most``).
     """
-    near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    index = rows.select("node", "n", F.explode("keys").alias("key"))
-    shared = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    index = common.stored(index.join(shared.select("key"), "key"), "index")
+    def possible(n: str, shared: str, m: str, other: str):
+        both = F.least(F.col(shared), F.col(other))
+        return 100 * both >= percent * (F.col(n) + F.col(m) - both)
+
+    def ordered(x: str, y: str) -> list:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    most = F.floor(F.col("shared") * (100 + percent) / percent).cast("long") - F.col("n")
+    index = rows.select("node", "n", "shared", most.alias("most"), F.explode("keys").alias("key"))
+    several = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(F.struct(F.col("shared") / F.col("n"), "n", "node", "shared")).alias("pivot"))
+    index = common.stored(index.join(several.where("low <> high").select("key", "pivot"), "key"), "index")
     sets = rows.select("node", "elements")
-    links = labels = None
-    for turn in range(STAR_ROUNDS + 1):
-        left = index.withColumn("component", F.col("node"))
-        if labels is not None:
-            left = index.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pivot = left.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"),
-            (F.min if turn == 0 else F.max)(F.struct("component", "node", "n")).alias("pivot"),
+    star = index.where(F.col("node") != F.col("pivot.node")).where(possible("n", "shared", "pivot.n", "pivot.shared"))
+    star = star.select(*ordered("node", "pivot.node")).distinct()
+    links = common.stored(_verified(star, sets, percent), "links")
+    labels = components(links)
+    placed = index.drop("pivot").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    for _ in range(2):
+        bounds = placed.groupBy("key").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least_n"), F.max("most").alias("best"),
         ).where("low <> high")
-        apart = left.join(pivot.select("key", "pivot"), "key")
-        if turn < STAR_ROUNDS:
-            pairs = apart.where(F.col("component") != F.col("pivot.component")).where(near(F.col("n"), F.col("pivot.n")))
-            pairs = pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
-        else:
-            apart = common.stored(apart.select("key", "node", "n", "component"), "apart")
-            other = apart.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component")])
-            pairs = apart.join(other, "key").where("component < component_b").where(near(F.col("n"), F.col("n_b")))
-            pairs = pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
-        found = common.stored(_verified(pairs.distinct(), sets, percent), "links")
-        links = found if links is None else links.unionAll(found)
-        if turn and found.isEmpty():
-            continue
-        labels = components(links)
-    return labels
+        placed = placed.join(bounds, "key").where("most >= least_n AND n <= best").drop("low", "high", "least_n", "best")
+    placed = common.stored(placed, "apart")
+    other = placed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "shared", "component")])
+    pairs = placed.join(other, "key").where("component < component_b").where(possible("n", "shared", "n_b", "shared_b"))
+    more = common.stored(_verified(pairs.select(*ordered("node", "node_b")).distinct(), sets, percent), "links")
+    return labels if more.isEmpty() else components(links.unionAll(more))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, rare: int = RARE, carry: list[str] | None = None) -> DataFrame:
@@ -208,14 +207,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slots = common.slotted(common.texts_of(docs, id_col, text_col, carry), ranges)
     sent = slots.groupBy("slot").applyInArrow(_send(size, ranges), hashcount.SENT)
     answers = hashcount.repeated(sent, ranges, np.uint32, totals=True)
-    schema = StructType.fromDDL("n_shingles long, elements binary, keys array<long>, first long, second long")
+    schema = StructType.fromDDL("n_shingles long, shared long, elements binary, keys array<long>, first long, second long")
     schema = StructType([slots.schema["doc_id"], *schema.fields, *([slots.schema["payload"]] if carry else [])])
     index = _index(size, percent, rare, ranges, to_arrow_schema(schema))
     rows = common.stored(slots.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(index, schema), "sets")
     keyed = rows.where("keys IS NOT NULL")
     one = ["first", "second", "n_shingles"]
     classes = common.stored(keyed.groupBy(*one).agg(F.min("doc_id").alias("class_id")), "classes")
-    nodes = keyed.join(classes, one).where("doc_id = class_id").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "elements", "keys")
+    nodes = keyed.join(classes, one).where("doc_id = class_id").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "shared", "elements", "keys")
     labels = link_nodes(common.stored(nodes, "nodes"), percent)
     labels = classes.join(labels, F.col("class_id") == F.col("node"), "left").select(*one, "class_id", F.coalesce("component", "class_id").alias("component_id"))
     rest = ["payload"] if carry else []
