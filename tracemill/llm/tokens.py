@@ -1,7 +1,7 @@
 """Token ids of whole texts with a given tokenizer file.
 
-The word tokenizer never joins text across white space, so each distinct run between ASCII white space is encoded once
-and remembered. The memory is bounded: when the newer half is full the older half is forgotten.
+The word tokenizer cuts a text into words, numbers and signs and never joins ids across them, so each distinct part is
+encoded once and remembered. The memory is bounded: when the newer half is full the older half is forgotten.
 """
 
 from __future__ import annotations
@@ -10,16 +10,20 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
 
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 3 << 20
 KEEP = 400_000
-#: Fixed value: the split pattern of the word tokenizers for which the remembered runs are valid.
+#: The split pattern and the word end of the tokenizers for which remembered parts are valid.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
 #: Below this character composition and lower case act on single characters, by rules that no Unicode version changes.
 PLAIN_BELOW = "İ"
+#: Words in one call of the library.
+AT_ONCE = 500
 
 
 def default_path() -> str:
@@ -29,11 +33,19 @@ def default_path() -> str:
 
 
 def plain_pattern() -> re.Pattern:
-    """``WORD_PATTERN`` for texts of characters below ``PLAIN_BELOW``, for the faster standard module."""
+    """``WORD_PATTERN`` for lower-case texts of characters below ``PLAIN_BELOW``, for the faster standard module."""
     letters, numbers, spaces = (
         re.escape("".join(c for c in map(chr, range(ord(PLAIN_BELOW))) if regex.match(kind, c))) for kind in (r"\p{L}", r"\p{N}", r"\s")
     )
-    return re.compile(WORD_PATTERN.replace(r"\p{L}", letters).replace(r"\p{N}", numbers).replace(r"\s", spaces))
+    return re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{spaces}{letters}{numbers}]+")
+
+
+def is_plain(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return max(text) < PLAIN_BELOW
 
 
 class Remembered(dict):
@@ -43,16 +55,15 @@ class Remembered(dict):
         super().__init__()
         self.keep, self.older = keep, {}
 
-    def unknown(self, keys: set) -> set:
-        """Keys in neither half; those of the older half move to the newer."""
-        left = set()
+    def lookup(self, keys: set) -> dict:
+        """The value of each key, None if it is in neither half; those of the older half move to the newer."""
+        get, found = self.get, {}
         for key in keys:
-            value = self.older.get(key)
-            if value is None:
-                left.add(key)
-            else:
+            value = get(key)
+            if value is None and self.older and (value := self.older.get(key)) is not None:
                 self[key] = value
-        return left
+            found[key] = value
+        return found
 
     def shrink(self) -> None:
         if len(self) > self.keep:
@@ -73,45 +84,62 @@ class TextTokenizer:
             spec = json.load(file)
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         norms = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.by_word = steps[0].get("pattern", {}).get("Regex") == WORD_PATTERN and norms == ["NFC", "Replace", "Lowercase"]
+        self.by_word = (
+            steps[0].get("pattern", {}).get("Regex") == WORD_PATTERN and norms == ["NFC", "Replace", "Lowercase"]
+            and spec["model"].get("end_of_word_suffix") == WORD_END
+        )
         self.specials = tuple(t["content"] for t in spec.get("added_tokens", []))
         self.part = Tokenizer.from_file(path)
         self.part.normalizer = None
-        self.part.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.part.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+        for token, number in self.whole.get_vocab().items():
+            self.ends[number] = token.endswith(WORD_END)
         self.pattern = plain_pattern()
-        self.runs, self.parts = Remembered(keep), Remembered(keep // 2)
+        self.known = Remembered(keep)
 
-    def _ids(self, tokenizer, texts: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.whole.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, self.dtype).tobytes() for x in found]
 
-    def _learn(self, runs: set[bytes]) -> None:
-        split, odd = {}, []
-        for run in runs:
-            text = run.decode()
-            if (text.isascii() or max(text) < PLAIN_BELOW) and not any(s in text for s in self.specials):
-                text = text.lower()
-                split[run] = (text,) if text.isalpha() else self.pattern.findall(text)
+    def _parts(self, text: str) -> list:
+        """Parts as lower-case strings; runs between white space that are not plain as they are, as bytes."""
+        if is_plain(text) and not any(s in text for s in self.specials):
+            return self.pattern.findall(text.lower())
+        parts = []
+        for run in text.encode().split():
+            word = run.decode()
+            if is_plain(word) and not any(s in word for s in self.specials):
+                parts += self.pattern.findall(word.lower())
             else:
-                odd.append(run)
-        new = list(self.parts.unknown({p for parts in split.values() for p in parts if p not in self.parts}))
-        self.parts.update(zip(new, self._ids(self.part, new), strict=True))
-        get = self.parts.__getitem__
-        self.runs.update((run, b"".join(map(get, parts))) for run, parts in split.items())
-        self.parts.shrink()
-        self.runs.update(zip(odd, self._ids(self.whole, [run.decode() for run in odd]), strict=True))
+                parts.append(run)
+        return parts
+
+    def _learn(self, parts: list) -> dict:
+        """Ids of new parts. Many plain ones go to the library in one text; their ends are seen in the ids."""
+        odd = [p for p in parts if isinstance(p, bytes)]
+        plain = [p for p in parts if isinstance(p, str)]
+        new = dict(zip(odd, self._ids([p.decode() for p in odd]), strict=True))
+        if plain:
+            found = self.part.encode_batch_fast([" ".join(plain[i:i + AT_ONCE]) for i in range(0, len(plain), AT_ONCE)], add_special_tokens=False)
+            ids = np.concatenate([np.asarray(x.ids, self.dtype) for x in found])
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+            data = ids.tobytes()
+            new.update(zip(plain, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+        return new
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text, ``dtype`` wide."""
         if not self.by_word:
-            return self._ids(self.whole, [t or "" for t in texts])
-        split = [(t or "").encode().split() for t in texts]
-        wanted = {run for words in split for run in words if run not in self.runs}
-        self._learn(self.runs.unknown(wanted))
-        get = self.runs.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        self.runs.shrink()
-        return out
+            return self._ids([t or "" for t in texts])
+        split = [self._parts(t) if t else [] for t in texts]
+        local = self.known.lookup(set(chain.from_iterable(split)))
+        new = self._learn([p for p, ids in local.items() if ids is None])
+        local.update(new)
+        self.known.update(new)
+        self.known.shrink()
+        get = local.__getitem__
+        return [b"".join(map(get, parts)) for parts in split]
 
 
 @lru_cache(maxsize=2)
