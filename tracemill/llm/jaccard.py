@@ -62,38 +62,51 @@ def _level(n: int) -> int:
     return level
 
 
-def prefix_keys(values: np.ndarray, totals: np.ndarray, percent: int = PERCENT, rare: int = RARE) -> np.ndarray:
-    """Index keys of one set: ``values`` with the number of documents that hold each.
+def prefix_keys(values: np.ndarray, totals: np.ndarray, percent: int = PERCENT, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of one set (``values`` with the number of documents that hold each) and what each key bounds.
 
     Elements of a single document can't be shared and give no key. For two sets with at least ``percent`` similarity
-    some key is equal: they meet at the level of the smaller set, which the larger one also serves.
+    some key is equal: they meet at the level of the smaller set, which the larger one also serves. If a key is the
+    first that two sets share, their overlap is at most its bound: the elements from its place on, and one of each
+    frequent class before it. So a pair may be dropped at a key whose bound is too low; if it is similar, it is kept at
+    its first shared key.
     """
     n = len(values)
     need = -(-percent * n // 100)
     order = np.lexsort((values, totals))
     values, totals = values[order], totals[order]
     frequent = totals > rare
-    keys = []
+    keys, bounds = [], []
+
+    def single(length: int, chosen: np.ndarray) -> None:
+        at = np.flatnonzero(chosen[:length] & (totals[:length] > 1))
+        keys.append(words.mix(values[at]))
+        bounds.append(n - at)
+
     for level in sorted({_level(n), _level(need)}):
         if level == 0 or not frequent.any():
-            length = n - need + 1
-            chosen = values[:length][totals[:length] > 1]
-            keys.append(words.mix(chosen))
+            single(n - need + 1, np.ones(n, bool))
             continue
         classes = np.uint64((SMALL << (2 * (level - 1))) // 4)
         kind = np.where(frequent, (values % classes).astype(np.int64), -1)
-        seen = np.zeros(n, np.int64)
+        new = np.zeros(n, np.int64)
         places = np.flatnonzero(frequent)
-        _, new = np.unique(kind[places], return_index=True)
-        seen[places[new]] = 1
-        length = int(np.searchsorted(np.arange(1, n + 1) - np.cumsum(seen), n - need + 1)) + 1
-        keys.append(words.mix(values[:length][(totals[:length] > 1) & ~frequent[:length]]))
+        new[places[np.unique(kind[places], return_index=True)[1]]] = 1
+        seen = np.cumsum(new)
+        length = int(np.searchsorted(np.arange(1, n + 1) - seen, n - need + 1)) + 1
+        single(length, ~frequent)
         places = np.flatnonzero(frequent[:length])
-        places = places[np.lexsort((values[places], kind[places]))]
-        for group in np.split(values[places], np.flatnonzero(np.diff(kind[places])) + 1):
+        places = places[np.lexsort((places, kind[places]))]
+        for group in np.split(places, np.flatnonzero(np.diff(kind[places])) + 1):
             i, j = np.triu_indices(len(group), 1)
-            keys.append(words.mix(words.mix(group[i]) * np.uint64(3) + group[j] + classes))
-    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+            first, second = group[i], group[j]
+            keys.append(words.mix(words.mix(values[first]) * np.uint64(3) + values[second] + classes))
+            bounds.append(n - first + seen[first] - 1)
+    keys, bounds = np.concatenate(keys), np.concatenate(bounds)
+    order = np.lexsort((-bounds, keys))
+    keys, bounds = keys[order], bounds[order]
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)]
+    return keys[first], np.minimum(bounds[first], int((totals > 1).sum()))
 
 
 def _send(size: int, ranges: int):
@@ -112,20 +125,20 @@ def _index(size: int, percent: int, rare: int, ranges: int, schema: pa.Schema):
         totals = hashcount.unpack(answer, distinct, ranges, totals=True)[back]
         bounds = np.searchsorted(owner, np.arange(table.num_rows + 1))
         ids = table["doc_id"].to_pylist()
-        sets, keys, first, second, several = [], [], [], [], []
+        sets, keys, bound, first, second = [], [], [], [], []
         with np.errstate(over="ignore"):
             mixed = words.mix(hashes)
             again = words.mix(mixed + np.uint64(1))
             for i in range(table.num_rows):
                 a, b = bounds[i], bounds[i + 1]
                 shared = ids[i] is not None and (totals[a:b] > 1).any()
-                found = prefix_keys(hashes[a:b], totals[a:b], percent, rare) if shared else []
-                several.append(int((totals[a:b] > 1).sum()))
+                found, most = prefix_keys(hashes[a:b], totals[a:b], percent, rare) if shared else ([], [])
                 sets.append(hashes[a:b].tobytes() if len(found) else None)
                 keys.append(found.view(np.int64) if len(found) else None)
+                bound.append(most if len(found) else None)
                 first.append(int(mixed[a:b].sum().view(np.int64)) if len(found) else None)
                 second.append(int(again[a:b].sum().view(np.int64)) if len(found) else None)
-        made = {"doc_id": ids, "n_shingles": np.diff(bounds), "shared": several, "elements": sets, "keys": keys, "first": first, "second": second}
+        made = {"doc_id": ids, "n_shingles": np.diff(bounds), "elements": sets, "keys": keys, "bounds": bound, "first": first, "second": second}
         if "payload" in table.column_names:
             made["payload"] = table["payload"]
         arrays = [made[f.name].cast(f.type) if isinstance(made[f.name], pa.ChunkedArray) else pa.array(made[f.name], f.type) for f in schema]
@@ -154,13 +167,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link_nodes(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of sets ``rows`` (node, n, shared, elements, keys), one per distinct set, for nodes with links.
+    """(node, component) of sets ``rows`` (node, n, elements, keys, bounds), one per distinct set, for nodes with links.
 
-    First every index key names one of its nodes as pivot, the one with the largest part of elements that others hold,
-    and the others are checked against it: as many checks as index rows, however many nodes share the key. Nodes that
-    are connected by then are never compared. What is still apart under a key is compared across components, without the
-    nodes that no other node of the key can match: an overlap is at most the number of elements ``shared`` by several
-    documents, which bounds the size of a partner (``most``).
+    First every index key names one of its nodes as pivot, the one of which most can be shared, and the others are
+    checked against it: as many checks as index rows, however many nodes share the key. Nodes that are connected by then
+    are never compared. What is still apart under a key is compared across components, without the nodes that no other
+    node of the key can match: the key's bound on the overlap (``shared``) bounds the size of a partner (``most``).
     """
     def possible(n: str, shared: str, m: str, other: str):
         both = F.least(F.col(shared), F.col(other))
@@ -170,7 +182,8 @@ def link_nodes(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     most = F.floor(F.col("shared") * (100 + percent) / percent).cast("long") - F.col("n")
-    index = rows.select("node", "n", "shared", most.alias("most"), F.explode("keys").alias("key"))
+    index = rows.select("node", "n", F.explode(F.arrays_zip("keys", "bounds")).alias("at"))
+    index = index.select("node", "n", F.col("at.bounds").alias("shared"), F.col("at.keys").alias("key")).withColumn("most", most)
     several = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(F.struct(F.col("shared") / F.col("n"), "n", "node", "shared")).alias("pivot"))
     index = common.stored(index.join(several.where("low <> high").select("key", "pivot"), "key"), "index")
     sets = rows.select("node", "elements")
@@ -207,14 +220,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slots = common.slotted(common.texts_of(docs, id_col, text_col, carry), ranges)
     sent = slots.groupBy("slot").applyInArrow(_send(size, ranges), hashcount.SENT)
     answers = hashcount.repeated(sent, ranges, np.uint32, totals=True)
-    schema = StructType.fromDDL("n_shingles long, shared long, elements binary, keys array<long>, first long, second long")
+    schema = StructType.fromDDL("n_shingles long, elements binary, keys array<long>, bounds array<long>, first long, second long")
     schema = StructType([slots.schema["doc_id"], *schema.fields, *([slots.schema["payload"]] if carry else [])])
     index = _index(size, percent, rare, ranges, to_arrow_schema(schema))
     rows = common.stored(slots.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(index, schema), "sets")
     keyed = rows.where("keys IS NOT NULL")
     one = ["first", "second", "n_shingles"]
     classes = common.stored(keyed.groupBy(*one).agg(F.min("doc_id").alias("class_id")), "classes")
-    nodes = keyed.join(classes, one).where("doc_id = class_id").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "shared", "elements", "keys")
+    nodes = keyed.join(classes, one).where("doc_id = class_id").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "elements", "keys", "bounds")
     labels = link_nodes(common.stored(nodes, "nodes"), percent)
     labels = classes.join(labels, F.col("class_id") == F.col("node"), "left").select(*one, "class_id", F.coalesce("component", "class_id").alias("component_id"))
     rest = ["payload"] if carry else []
