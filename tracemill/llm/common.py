@@ -69,3 +69,17 @@ def slotted(texts: DataFrame, count: int) -> DataFrame:
     """
     slot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(4 * count)).cast("int")
     return texts.withColumn("slot", slot).repartition(count, "slot")
+
+
+def drawn(frame: DataFrame, column: str, limit: int, id_col: str = "doc_id") -> DataFrame:
+    """About ``limit`` rows of each value of ``column`` (all where there are fewer), chosen by a hash of the id."""
+    held = {r[column]: r["n"] for r in frame.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).collect()}
+    if not held:
+        return frame.limit(0)
+    share = F.create_map(*[F.lit(x) for value, n in held.items() for x in (value, min(1_000_000, 1_000_000 * limit // n + 1))])
+    return frame.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share[F.col(column)])
+
+
+def held_out(divisor: int, remainder: int, column: str = "doc_id"):
+    """Whether crc32 of the id as text has the remainder; false for a null id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % divisor == remainder, F.lit(False))

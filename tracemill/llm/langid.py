@@ -123,12 +123,9 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> Pro
     About ``sample`` documents a language are used, drawn by a hash of the id. Without labelled text there are none.
     """
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    held = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not held:
+    drawn = common.stored(common.drawn(labelled, "lang", sample).select("text", "lang"), "language-sample")
+    if drawn.isEmpty():
         return Profiles([], {}, size)
-    share = F.create_map(*[F.lit(x) for lang, n in held.items() for x in (lang, min(1_000_000, 1_000_000 * sample // n + 1))])
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).select("text", "lang")
-    drawn = common.stored(drawn, "language-sample")
     kinds = "lang string, code long, n long"
     totals = drawn.mapInArrow(_letter_counts, kinds).groupBy("lang", "code").agg(F.sum("n").alias("n"))
     part = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
@@ -164,15 +161,11 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return common.uncarried(out, carry) if carry else out
 
 
-def held_out(column: str = "doc_id"):
-    return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(False))
-
-
 def learned(docs: DataFrame) -> Profiles:
     """Profiles from the documents outside the held-out fold."""
-    return learn(docs.where(~held_out()).where("doc_id IS NOT NULL").select("doc_id", "text", "lang"))
+    return learn(docs.where(~common.held_out(5, 0)).where("doc_id IS NOT NULL").select("doc_id", "text", "lang"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    return identify(docs, learned(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return identify(docs, learned(docs)).select("doc_id", common.held_out(5, 0).alias("held_out"), "lang_pred", "score")
