@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import contamination, jaccard, langid, packing, records, substring_dedup, toxicity
+from tracemill.llm import contamination, jaccard, langid, packing, quality, records, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_decontamination": contamination.op3_decontamination,
     "op4_binary_records": records.op4_binary_records,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_quality": quality.op6_quality,
     "op8_language_id": langid.op8_language_id,
     "op9_pattern_packing": packing.op9_pattern_packing,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
