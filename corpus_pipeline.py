@@ -1,25 +1,71 @@
-"""Documents to packed training sequences: language, near copies, repeated passages, benchmark passages, packing."""
+"""Documents to packed training sequences: language, near copies, repeated passages, benchmark passages, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents;
+the last returns pieces in sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracemill.llm import common, substring_dedup
+from tracemill.llm import common, contamination, jaccard, langid, packing, substring_dedup, tokens
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Most ids that a stage's list of dropped documents may have to be sent to every task; a longer list is joined by shuffle.
+SENT_IDS = 2_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Documents whose id is not in ``dropped``; rows without an id stay."""
+    dropped = common.stored(dropped.select("doc_id").where("doc_id IS NOT NULL").distinct(), "dropped")
+    if dropped.limit(SENT_IDS + 1).count() <= SENT_IDS:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the predicted language into ``lang``; documents without one (no text or no letter) go."""
+    found = langid.identify(docs, langid.learned(docs), carry=["text", "source", "n_chars"])
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of similar ones, and one of rows that repeat it."""
+    found = jaccard.jaccard_components(docs)
+    kept = without(docs, found.where("doc_id <> component_id"))
+    repeated = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return kept if repeated else kept.dropDuplicates(["doc_id", "text"])
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut repeated passages out of the texts; every document stays."""
+    found = substring_dedup.remove_repeats(docs, carry=["lang", "source"])
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the contamination rule marks go."""
+    found = contamination.decontaminate(docs, common.documents(spark, sf_dir, "benchmark"))
+    return without(docs, found.where("contaminated"))
 
 
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return packing.pack(docs, tokens.default_path())
 
 
-STAGES = []
+STAGES = [
+    ("language", language), ("near_copies", near_copies), ("repeated_passages", repeated_passages),
+    ("benchmark_passages", benchmark_passages), ("packing", packed),
+]
+#: The first and the last stage are no SQL; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
+    """All stages over the documents, each written to the shared folder and read again."""
     docs = common.documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

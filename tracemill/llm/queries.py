@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import contamination, jaccard, langid, packing, quality, records, substring_dedup, toxicity
+from tracemill.llm import contamination, html_extract, jaccard, langid, packing, quality, records, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_html_consensus": html_extract.op2_html_consensus,
     "op3_decontamination": contamination.op3_decontamination,
     "op4_binary_records": records.op4_binary_records,
     "op5_toxicity": toxicity.op5_toxicity,
