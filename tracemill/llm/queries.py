@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import contamination, html_extract, jaccard, langid, packing, quality, records, substring_dedup, toxicity
+from tracemill.llm import contamination, html_extract, jaccard, langid, near_vectors, packing, quality, records, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_binary_records": records.op4_binary_records,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
+    "op7_near_vectors": near_vectors.op7_near_vectors,
     "op8_language_id": langid.op8_language_id,
     "op9_pattern_packing": packing.op9_pattern_packing,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
@@ -23,5 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op3_decontamination": contamination.SQL,
+    "op7_near_vectors": near_vectors.SQL,
     "op10_jaccard_join": jaccard.SQL,
 }
