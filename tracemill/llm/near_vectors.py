@@ -2,8 +2,8 @@
 
 Vectors of one label are dealt to overlapping cluster shards. Each shard builds a graph whose lists are pruned so that a
 neighbour is kept only if no kept one is much closer to it; the lists of all shards are united. A vector is searched
-from the medoid of its own shard: a greedy walk with a small beam, then the range around it is expanded until no new
-vector in it turns up. Links are verified in double precision. A bounded sample is compared with brute force, and the
+from the medoid of its own shard: a greedy walk with a small beam, then the range around what it reached, and around the
+vector itself, is expanded until no new vector in it turns up. Links are verified in double precision. A bounded sample is compared with brute force, and the
 overlap grows until the recall is reached.
 """
 
@@ -102,8 +102,14 @@ def _product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", left, right)
 
 
-def range_search(vectors: np.ndarray, lists: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query place, vector place) of at least ``threshold``, from the medoid on; a block of queries at a time."""
+def range_search(vectors: np.ndarray, near: list[np.ndarray], queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query place, vector place) of about ``threshold``, from the medoid on; a block of queries at a time.
+
+    The walk uses lists of bounded length; the expansion uses them whole, for the middle of a group of copies may be the
+    only neighbour of thousands.
+    """
+    lists, sizes = padded_lists(near, vectors), np.array([len(x) for x in near], np.int64)
+    flat, starts = np.concatenate([*near, np.zeros(0, np.int64)]).astype(np.int64), np.cumsum(sizes) - sizes
     small = vectors.astype(np.float32)
     medoid = int(np.argmax(small @ small.mean(axis=0)))
     found_q, found_v, low = [], [], threshold - MARGIN
@@ -122,17 +128,21 @@ def range_search(vectors: np.ndarray, lists: np.ndarray, queries: np.ndarray, th
                 break
             beam = new
         seen = np.zeros((count, len(vectors)), bool)
-        q, v = np.repeat(np.arange(count), beam.shape[1]), beam.ravel()
+        # a query that is in the graph also starts from its own place, so a group that the walk misses is still found
+        q, v = np.repeat(np.arange(count), beam.shape[1] + 1), np.concatenate([beam, own[:, None]], axis=1).ravel()
         while len(q):
             fresh = ~seen[q, v]
             key = np.unique(q[fresh] * len(vectors) + v[fresh])
             q, v = key // len(vectors), key % len(vectors)
             seen[q, v] = True
-            near = _product(small[own[q]], small[v]) >= low
-            q, v = q[near], v[near]
-            found_q.append(own[q])
-            found_v.append(v)
-            q, v = np.repeat(q, lists.shape[1]), lists[v].ravel()
+            value = np.concatenate([_product(small[own[q[a:a + 65536]]], small[v[a:a + 65536]]) for a in range(0, len(q), 65536)] or [np.zeros(0)])
+            hit = value >= threshold - 1e-5
+            found_q.append(own[q[hit]])
+            found_v.append(v[hit])
+            q, v = q[value >= low], v[value >= low]
+            count_ = sizes[v]
+            first = np.repeat(starts[v] - (np.cumsum(count_) - count_), count_)
+            q, v = np.repeat(q, count_), flat[first + np.arange(len(first))]
     return (np.concatenate(found_q), np.concatenate(found_v)) if found_q else (np.zeros(0, int), np.zeros(0, int))
 
 
@@ -152,7 +162,7 @@ def _search(threshold: float):
             near = np.array(near or [], np.int64)
             at = np.minimum(np.searchsorted(nodes, near, sorter=order), len(nodes) - 1)
             lists.append(order[at[nodes[order[at]] == near]] if len(near) else near)
-        q, v = range_search(vectors, padded_lists(lists, vectors), np.flatnonzero(primary), threshold)
+        q, v = range_search(vectors, lists, np.flatnonzero(primary), threshold)
         size = np.sqrt(_product(raw, raw))
         exact = np.zeros(len(q), bool)
         for a in range(0, len(q), 1 << 16):
