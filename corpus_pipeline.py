@@ -26,7 +26,7 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the predicted language into ``lang``; documents without one (no text or no letter) go."""
-    found = langid.identify(docs, langid.learned(docs), carry=["text", "source", "n_chars"])
+    found = langid.identify(docs, langid.learned(docs), carry=["source", "n_chars"], keep_text=True)
     return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 

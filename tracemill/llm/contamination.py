@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from tracemill.llm import common, words
 
@@ -62,7 +62,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = common.texts_of(docs, id_col, text_col, carry)
     schema = StructType.fromDDL(SEGMENT)
     if carry:
-        schema = schema.add("payload", f"array<{texts.schema['payload'].dataType.simpleString()}>")
+        schema = schema.add("payload", ArrayType(texts.schema["payload"].dataType))
     return common.stored(texts.mapInArrow(_segments(bool(carry), to_arrow_schema(schema)), schema), "index")
 
 
@@ -215,16 +215,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     """
     index = build_index(docs, id_col, text_col, carry)
     state = index.withColumn("mask", F.lit(b"")).withColumn("found", F.transform("docs", lambda _: F.array().cast("array<string>")))
-    for turn, part in enumerate(item_parts(items, item_col, item_text_col)):
-        phrases = Phrases(part, window)
-        if len(phrases.vocabulary):
-            state = common.stored(state, "hits") if turn else state
-            phrases.count(index)
-            state = state.mapInArrow(_search(phrases, slack), state.schema)
     schema = StructType.fromDDL("doc_id long, n_words long, n_hit long, items array<string>, items_sha256 string")
     if carry:
         schema = schema.add("payload", index.schema["payload"].dataType.elementType)
-    out = state.mapInArrow(_documents(bool(carry), to_arrow_schema(schema)), schema)
+    rows, last = _documents(bool(carry), to_arrow_schema(schema)), None
+    for part in item_parts(items, item_col, item_text_col):
+        phrases = Phrases(part, window)
+        if len(phrases.vocabulary):
+            state = common.stored(state.mapInArrow(last, state.schema), "hits") if last else state
+            phrases.count(index)
+            last = _search(phrases, slack)
+    # the last search and the rows run in one Python process per task
+    out = state.mapInArrow((lambda batches: rows(last(batches))) if last else rows, schema)
     out = out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.expr(f"n_hit > 0 AND {int(share)} * n_hit >= n_words"))
     return common.uncarried(out, carry) if carry else out
 

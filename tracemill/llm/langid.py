@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracemill.llm import common
 
@@ -140,8 +141,8 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> Pro
     return Profiles(alphabet, {k: np.array(v) for k, v in profiles.items()}, size)
 
 
-def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Add the language of every whole text: doc_id, lang_pred, score, and the ``carry`` columns; no shuffle.
+def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep_text: bool = False) -> DataFrame:
+    """The language of every whole text: doc_id, text on request, lang_pred, score, and the ``carry`` columns; no shuffle.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text when there are no profiles. Texts
     whose n-grams stand in no profile get the first language and score 0. Rows are judged one by one, so repeated rows
@@ -151,12 +152,13 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
         profiles.prepare()
         for batch in batches:
             found = [profiles.predict(t) for t in batch["text"].to_pylist()]
-            batch = batch.drop_columns(["text"])
+            batch = batch if keep_text else batch.drop_columns(["text"])
             batch = batch.append_column("lang_pred", pa.array([x for x, _ in found], pa.string()))
             yield batch.append_column("score", pa.array([y for _, y in found], pa.float64()))
 
     texts = common.texts_of(docs, id_col, text_col, carry)
-    kinds = texts.drop("text").schema.add("lang_pred", "string").add("score", "double")
+    kept = [f for f in texts.schema if keep_text or f.name != "text"]
+    kinds = StructType([*kept, *StructType.fromDDL("lang_pred string, score double")])
     out = texts.mapInArrow(predict, kinds)
     return common.uncarried(out, carry) if carry else out
 

@@ -15,8 +15,8 @@ from itertools import chain
 import numpy as np
 import regex
 
-BLOCK_CHARS = 3 << 20
-KEEP = 400_000
+BLOCK_CHARS = 1 << 20
+KEEP = 200_000
 #: The split pattern and the word end of the tokenizers for which remembered parts are valid.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
@@ -89,8 +89,7 @@ class TextTokenizer:
             and spec["model"].get("end_of_word_suffix") == WORD_END
         )
         self.specials = tuple(t["content"] for t in spec.get("added_tokens", []))
-        self.part = Tokenizer.from_file(path)
-        self.part.normalizer = None
+        self.part = Tokenizer(self.whole.model)
         self.part.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.whole.get_vocab_size(), bool)
         for token, number in self.whole.get_vocab().items():

@@ -16,7 +16,7 @@ BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 LENGTH_SALT = np.uint64(0xA0761D6478BD642F)
 #: Text bytes handled at once; a longer text is still taken whole.
-BLOCK_BYTES = (2 << 20) - 2
+BLOCK_BYTES = (1 << 20) - 2
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
