@@ -129,7 +129,7 @@ class Network:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
     """Fit on about ``sample`` documents of each label, drawn by a hash of the id; None without both labels."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    picked = common.drawn(known, "quality", sample)
+    picked = F.broadcast(common.drawn(known, "quality", sample))  # bounded by the sample, so no text is shuffled
     rows = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text").join(picked, "doc_id").select("text", "quality", "doc_id").toArrow().sort_by("doc_id")
     target = np.array(rows["quality"].to_pylist(), np.float64)
     if len(np.unique(target)) < 2:

@@ -117,10 +117,11 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
     share = known.agg(F.avg("toxic").alias("p"), F.count("*").alias("n")).first()
     prior = min(0.5, max(0.001, prior if prior is not None else share["p"] or 0.0))
     texts = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text")
-    marked = texts.join(known, "doc_id", "left").select("doc_id", "text", (F.coalesce("toxic", F.lit(0)) == 1).alias("positive"))
-    toxic = common.drawn(marked.where("positive"), "positive", positives)
-    plain = common.drawn(marked.withColumn("positive", F.lit(False)), "positive", unlabelled)
-    sample = common.stored(toxic.unionAll(plain).select("text", "positive"), "toxic-sample")
+    # the ids are bounded by the parameters, so they are sent to the texts and no text is shuffled
+    chosen = F.broadcast(common.drawn(known.where("toxic = 1"), "toxic", positives).select("doc_id"))
+    toxic = texts.join(chosen, "doc_id").select("text", F.lit(True).alias("positive"))
+    plain = common.drawn(texts.withColumn("positive", F.lit(False)), "positive", unlabelled).select("text", "positive")
+    sample = common.stored(toxic.unionAll(plain), "toxic-sample")
     sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(True):
         return Model(np.zeros(0, np.int64), np.zeros(0), -30.0)
@@ -128,17 +129,17 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
     p, u = F.col("p") / sizes[True], F.col("u") / max(1, sizes.get(False, 0))
     deviations = (p - u) / F.sqrt((u + F.lit(1.0 / sizes[True])) / F.lit(float(sizes[True])))
     best = counts.where(F.col("p") >= max(3, SUPPORT * sizes[True])).withColumn("z", deviations).where((F.col("z") >= DEVIATIONS) & (prior * p >= PURITY * u)).orderBy(F.desc("z"), "feature").limit(kept).collect()
-    chosen = np.sort(np.array([r["feature"] for r in best], np.int64))
+    kept_ = np.sort(np.array([r["feature"] for r in best], np.int64))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [np.flatnonzero(np.isin(chosen, x, assume_unique=True)).astype(np.int32) for x in features(batch["text"])]
+            at = [np.flatnonzero(np.isin(kept_, x, assume_unique=True)).astype(np.int32) for x in features(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["positive"], pa.array(at, pa.list_(pa.int32()))], names=["positive", "at"])
 
     held = sample.mapInArrow(places, "positive boolean, at array<int>").toArrow()
     rows = [np.asarray(x, np.int64) for x in held["at"].to_pylist()]
-    weights, bias = nnpu_fit(rows, np.array(held["positive"].to_pylist(), bool), prior, len(chosen))
-    return Model(chosen, weights, bias)
+    weights, bias = nnpu_fit(rows, np.array(held["positive"].to_pylist(), bool), prior, len(kept_))
+    return Model(kept_, weights, bias)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
