@@ -167,16 +167,16 @@ def _within(node: Node, other: Node) -> bool:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One vote per page, its weight the root of the container's characters, summed per task."""
+    """One vote per page, summed per task."""
     for batch in batches:
-        total: dict[tuple[str, str], float] = {}
+        total: dict[tuple[str, str], int] = {}
         for host, source in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
             best = Page(source or "").best()
             if best.path and best.chars:
-                total[host, best.path] = total.get((host, best.path), 0.0) + best.chars ** 0.5
+                total[host, best.path] = total.get((host, best.path), 0) + 1
         keys = list(total)
         yield pa.RecordBatch.from_pydict({
-            "host": pa.array([h for h, _ in keys], pa.string()), "path": pa.array([p for _, p in keys], pa.string()), "votes": pa.array([total[k] for k in keys], pa.float64()),
+            "host": pa.array([h for h, _ in keys], pa.string()), "path": pa.array([p for _, p in keys], pa.string()), "votes": pa.array([total[k] for k in keys], pa.int64()),
         })
 
 
@@ -199,8 +199,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     per host) are joined on the host; Spark broadcasts them only below its size limit and splits hot hosts beyond.
     """
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"), host_of(pages[url_col]).alias("host"))
-    votes = rows.select("host", "html").mapInArrow(_votes, "host string, path string, votes double").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    winners = common.stored(votes.groupBy("host").agg(F.min_by("path", F.struct(-F.round("votes", 6), "path")).alias("path")), "host-paths")
+    votes = rows.select("host", "html").mapInArrow(_votes, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    winners = common.stored(votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("path")), "host-paths")
     schema = rows.select("page_id", "url").schema.add("text", "string")
     return rows.join(winners, "host", "left").select("page_id", "url", "html", "path", "host").mapInArrow(_texts, schema).withColumn("n_chars", F.length("text").cast("long"))
 
