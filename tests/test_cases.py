@@ -180,7 +180,17 @@ def test_nested_call_fingerprints(spark):
     want = [hashlib.sha256(("t:" + json.dumps(reference_form(a), sort_keys=True)).encode()).hexdigest() for a in args]
     assert got == want
     flat = spark.createDataFrame([("t", '{"b": 1, "a": " x "}')], "tool string, args string")
-    assert flat.select(keys.flat_call_fingerprint(F.col("tool"), F.col("args")).alias("v")).first().v == got[0]
+    assert flat.select(keys.call_fingerprint(F.col("tool"), F.col("args")).alias("v")).first().v == got[0]
+
+
+def test_fingerprint_tells_values_apart(spark):
+    pairs = [("1.50001", "1.500012", True), ("[2,1]", "[1,2]", True), ("true", '"true"', False), ("12", '"12"', False), ('" é "', '"é"', True), ('{"b":1,"a":[{}]}', '{"a":[{}],"b":1}', True), ("[[2],[1]]", "[[1],[2]]", False)]
+    rows = [(f'{{"k":{a}}}', f'{{"k":{b}}}', same) for a, b, same in pairs] + [(None, "{}", True), ("{broken", "{}", False)]
+    df = spark.createDataFrame(rows, "a string, b string, same boolean")
+    name = F.lit("t")
+    got = df.select("a", "same", (keys.call_fingerprint(name, F.col("a")) == keys.call_fingerprint(name, F.col("b"))).alias("equal"))
+    assert all(r.same == r.equal for r in got.collect())
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_feed_file(spark, tmp_path):

@@ -32,7 +32,7 @@ def test_velocity_stream_equals_batch(spark):
 
 def test_loop_stream_equals_batch(spark):
     folder = flows.work_folder(spark)
-    rows = steps(spark, SF_DIR).withColumn("args_hash", keys.flat_call_fingerprint(F.col("tool_name"), F.col("tool_args")))
+    rows = steps(spark, SF_DIR).withColumn("args_hash", keys.call_fingerprint(F.col("tool_name"), F.col("tool_args")))
     rows = rows.withColumn("session_id", F.lit(1).cast("long")).withColumn("o", F.unix_timestamp("ts").cast("double"))
     feed = rows.select("session_id", "event_id", "ts", "args_hash", "observation", "tokens_used", "o")
     got = flows.drain(processors.loop_stream(in_files(spark, feed, "o", folder)), folder)

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def idempotency_key(user: Column, transaction: Column, session: Column) -> Column:
@@ -32,41 +27,70 @@ def anonymous_id(value: Column, salt: str) -> Column:
     return F.concat(F.lit("[ID:"), F.substring(F.sha2(F.concat(value, F.lit(salt)), 256), 1, 12), F.lit("]"))
 
 
-def flat_call_fingerprint(tool: Column, args_json: Column) -> Column:
-    """sha256 of tool and arguments for flat JSON objects of numbers and strings, fully native.
+def _escaped(text: Column) -> Column:
+    """A JSON string in ASCII, as a quoted Column."""
+    quoted = F.to_json(text.cast("variant"))
+    unit = lambda code: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
+
+    def one(char: Column) -> Column:
+        code = F.ascii(char)
+        high = F.lit(0xD800) + F.floor((code - 0x10000) / 1024).cast("int")
+        return F.when(code < 128, char).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(F.lit(0xDC00) + (code - 0x10000) % 1024)))
+
+    return F.when(quoted.rlike("[^\\x00-\\x7F]"), F.array_join(F.transform(F.split(quoted, ""), one), "")).otherwise(quoted)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
-    Keys are sorted and strings trimmed; values keep their JSON text, so whole
-    numbers and strings match :func:`call_fingerprint`.
+
+def canonical_json(value: Column, depth: int = 4) -> Column:
+    """One text for every spelling of a JSON value (a variant column), by built-ins alone.
+
+    Object keys are sorted, strings trimmed, fractions rounded to four places, and lists of plain values sorted by their
+    text. Values nested deeper than ``depth`` keep their own spelling.
     """
-    values = F.from_json(args_json, "map<string,string>")
-    pairs = F.transform(F.array_sort(F.map_entries(values)), lambda e: F.concat(
-        F.lit('"'), e["key"], F.lit('": '),
-        F.when(e["value"].rlike(r"^-?\d+$"), e["value"])
-        .otherwise(F.concat(F.lit('"'), F.trim(e["value"]), F.lit('"'))),
-    ))
-    return F.sha2(F.concat(tool, F.lit(":{"), F.array_join(pairs, ", "), F.lit("}")), 256)
-
-
-def _normal_form(value):
-    if isinstance(value, dict):
-        return {name: _normal_form(value[name]) for name in sorted(value)}
-    if isinstance(value, list):
-        items = [_normal_form(v) for v in value]
-        scalars = all(isinstance(v, (str, int, float, bool)) for v in items)
-        return sorted(items, key=str) if scalars else items
-    if isinstance(value, str):
-        return value.strip()
-    return round(value, 4) if isinstance(value, float) else value
-
-
-@F.pandas_udf(T.StringType())
-def call_fingerprint(tool: pd.Series, args_json: pd.Series) -> pd.Series:
-    """sha256 of tool and deeply normalised JSON arguments (Arrow batches, for nested arguments)."""
-    def one(name: str, text: str) -> str:
-        body = json.dumps(_normal_form(json.loads(text or "{}")), sort_keys=True)
-        return hashlib.sha256(f"{name}:{body}".encode()).hexdigest()
-
-    return pd.Series([one(n, t) for n, t in zip(tool, args_json)])
+    return _bound(value, lambda v: _canonical(v, depth))
+
+
+def _trimmed(value: Column) -> Column:
+    return F.regexp_replace(value.cast("string"), r"(?U)^\s+|\s+$", "")
+
+
+def _canonical(value: Column, depth: int) -> Column:
+    kind = F.schema_of_variant(value)
+    fraction = F.round(value.cast("double"), 4).cast("string")
+    plain = F.when(kind == "STRING", _escaped(_trimmed(value))).when(kind.rlike("^(DECIMAL\\(\\d+,[^0]|DOUBLE|FLOAT)"), fraction).otherwise(F.to_json(value))
+    if not depth:
+        return plain
+
+    def entry(item: Column, place: Column) -> Column:
+        own = F.schema_of_variant(item)
+        text = F.when(own == "BOOLEAN", F.initcap(item.cast("string"))).when(own == "STRING", _trimmed(item))
+        return _bound(_canonical(item, depth - 1), lambda made: F.struct(
+            F.coalesce(text, made).alias("by"), place.alias("place"), made.alias("made"), own.rlike("^(OBJECT|ARRAY|VOID)").alias("nested"),
+        ))
+
+    def fields(held: Column) -> Column:
+        names = F.array_sort(F.map_keys(held))
+        values = F.transform(names, lambda k: F.element_at(held, k))
+        return F.array_join(F.zip_with(names, values, lambda k, v: F.concat(_escaped(k), F.lit(": "), _canonical(v, depth - 1))), ", ")
+
+    def items(held: Column) -> Column:
+        return F.array_join(F.transform(F.when(F.exists(held, lambda x: x["nested"]), held).otherwise(F.array_sort(held)), lambda x: x["made"]), ", ")
+
+    return (
+        F.when(kind.startswith("OBJECT"), F.concat(F.lit("{"), _bound(value.try_cast("map<string,variant>"), fields), F.lit("}")))
+        .when(kind.startswith("ARRAY"), F.concat(F.lit("["), _bound(F.transform(value.try_cast("array<variant>"), entry), items), F.lit("]")))
+        .otherwise(plain)
+    )
+
+
+def call_fingerprint(tool: Column, args_json: Column) -> Column:
+    """sha256 of tool and canonical arguments; missing ones are an empty object, broken JSON counts as it stands."""
+    text = F.when(F.coalesce(args_json, F.lit("")) == "", "{}").otherwise(args_json)
+    return F.sha2(F.concat(tool, F.lit(":"), F.coalesce(canonical_json(F.try_parse_json(text)), text)), 256)
 
 
 def content_hash(**parts: Column) -> Column:

@@ -19,7 +19,7 @@ VECTOR_CFG = replace(AGENTS, semantic_threshold=0.25)
 
 def fingerprinted(spark, sf_dir):
     return steps(spark, sf_dir).withColumn(
-        "args_hash", keys.flat_call_fingerprint(F.col("tool_name"), F.col("tool_args"))
+        "args_hash", keys.call_fingerprint(F.col("tool_name"), F.col("tool_args"))
     )
 
 
@@ -392,7 +392,7 @@ SELECT event_id, sha256(event_type || ':{"k": ' || json_extract_string(props, '$
 """)
 def txt12(spark, sf_dir):
     return table(spark, sf_dir, "events").select(
-        "event_id", keys.flat_call_fingerprint(F.col("event_type"), F.col("props")).alias("args_hash")
+        "event_id", keys.call_fingerprint(F.col("event_type"), F.col("props")).alias("args_hash")
     )
 
 

@@ -146,7 +146,7 @@ WITH RECURSIVE {DETECT_SQL} SELECT session_id, step, signals, CAST(consecutive A
 """)
 def str8_stream(spark, sf_dir):
     steps = stream(spark, sf_dir, "events").select(
-        F.col("user_id").alias("session_id"), "event_id", "ts", keys.flat_call_fingerprint(F.col("event_type"), F.col("props")).alias("args_hash"),
+        F.col("user_id").alias("session_id"), "event_id", "ts", keys.call_fingerprint(F.col("event_type"), F.col("props")).alias("args_hash"),
         F.col("props").alias("observation"), F.floor(F.col("value") * 50).cast("bigint").alias("tokens_used"),
     )
     return flows.drain(processors.loop_stream(steps), flows.work_folder(spark))
