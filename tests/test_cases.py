@@ -148,20 +148,31 @@ def test_quality_weight_and_flags(spark):
     assert [tuple(r) for r in pairs.select(regressed, improved).collect()] == [(True, False), (False, False), (False, True), (False, False)]
 
 
-def test_audit_blocks_and_planted_faults(spark):
+def test_audit_chain_and_planted_faults(spark):
     rows = [("p", i, f"e{i}", "query", "system", '{"k": %d}' % i) for i in range(1, 12)]
     log = spark.createDataFrame(rows, "patient_id string, sequence long, entry_id string, event_type string, requester_id string, payload_json string")
     plain = audit.chain(log).orderBy("sequence").collect()
     body = json.dumps({"entry_id": "e1", "sequence": 1, "event_type": "query", "patient_id": "p", "requester_id": "system", "payload": {"k": 1}}, sort_keys=True)
     content = hashlib.sha256(body.encode()).hexdigest()
     assert plain[0].content_hash == content and plain[0].chain_hash == hashlib.sha256((content + "0" * 64).encode()).hexdigest()
-    for block in (4, 4096):
-        chained = audit.chain(log, block)
-        assert audit.verify_chain(chained, block).count() == 0
-        changed = chained.withColumn("payload_json", F.when(F.col("sequence") == 6, '{"k": 0}').otherwise(F.col("payload_json")))
-        assert {(r.sequence, r.kind) for r in audit.verify_chain(changed, block).collect()} == {(6, "content hash mismatch"), (6, "chain hash broken")}
-        assert {r.sequence for r in audit.verify_chain(chained.where("sequence <> 3"), block).collect()} == {4}
-    assert audit.chain_heads(audit.chain(log, 4), 4).count() == 3
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows_per_batch in ("2", "3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_batch)
+            assert audit.chain(log).orderBy("sequence").collect() == plain
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    chained, heads = audit.chain(log), audit.chain_heads(audit.chain(log))
+    assert audit.verify_chain(chained, heads).count() == 0
+    changed = chained.withColumn("payload_json", F.when(F.col("sequence") == 6, '{"k": 0}').otherwise(F.col("payload_json")))
+    assert {(r.sequence, r.kind) for r in audit.verify_chain(changed, heads).collect()} == {(6, "content hash mismatch"), (6, "chain hash broken")}
+    for gone in ({1}, {3}, {7}, {11}, {2, 3, 4}, {1, 2}, {9, 10, 11}, set(range(1, 12))):
+        found = audit.verify_chain(chained.where(~F.col("sequence").isin(*gone)), heads).collect()
+        after = max(gone) + 1
+        assert {(r.sequence, r.kind) for r in found} == ({(11, "tail missing")} if after > 11 else {(after, "chain hash broken"), (after, "prev hash mismatch")})
+    first = audit.chain(log.where("sequence <= 5"))
+    more = audit.chain(log.where("sequence > 5"), audit.chain_heads(first))
+    assert first.unionAll(more).orderBy("sequence").collect() == plain
 
 
 def reference_form(value):

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators.skew import BLOCK_ROWS, fold_groups, stage
-
 GENESIS = "0" * 64
 
 
@@ -28,81 +27,71 @@ def entry_hash() -> Column:
     return F.sha2(body, 256)
 
 
-def block_seed(patient: Column, block: Column) -> Column:
-    """First previous hash of a block: genesis for the first, a hash of patient and block for later ones."""
-    return F.when(block == 0, F.lit(GENESIS)).otherwise(
-        F.sha2(F.concat_ws(":", patient.cast("string"), block.cast("string")), 256)
-    )
-
-
-def chain(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add content, previous and chain hash: one chain per patient, cut into blocks of ``block_rows`` entries.
+def chain(log: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Add content, previous and chain hash: one chain per patient, in the order of ``sequence``.
 
-    A hash chain is serial, so a patient with very many entries is chained
-    block by block in parallel, each block from its own seed;
-    :func:`chain_heads` then ties the blocks together. Up to ``block_rows``
-    entries this is the plain chain. ``sequence`` is dense per patient.
+    Content hashes are native and parallel. A chain is serial by nature, so one task walks a patient's entries in order;
+    only digests go through it, batch by batch, and nothing but the last hash is kept. ``heads`` (see
+    :func:`chain_heads`) are the ends of what is stored: a new batch continues there and costs its own entries only.
+    ``sequence`` is dense per patient and goes on from its head.
     """
-    hashed = log.withColumn("content_hash", entry_hash()).withColumn(
-        "_block", F.floor((F.col("sequence") - 1) / block_rows)
-    )
-    seeded = hashed.withColumn("_seed", block_seed(F.col("patient_id"), F.col("_block")))
-    keep = [f for f in hashed.schema.fields if f.name != "_block"]
-    names = [f.name for f in keep]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + ", prev_hash string, chain_hash string"
-
-    def link(pdf: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
-        contents, before, after = pdf["content_hash"].tolist(), [], []
-        for first, end in spans:
-            previous = pdf["_seed"].iat[first]
-            for content in contents[first:end]:
+    hashed = log.withColumn("content_hash", entry_hash())
+    digests = hashed.select("patient_id", "sequence", "content_hash")
+    if heads is None:
+        digests = digests.withColumn("seed", F.lit(GENESIS))
+    else:
+        ends = heads.select("patient_id", F.col("head").alias("seed"))
+        digests = digests.join(ends, "patient_id", "left").withColumn("seed", F.coalesce("seed", F.lit(GENESIS)))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patient, previous = None, None
+        for batch in batches:
+            before, after = [], []
+            for name, content, seed in zip(*[batch[c].to_pylist() for c in ("patient_id", "content_hash", "seed")], strict=True):
+                if previous is None or name != patient:
+                    patient, previous = name, seed
                 before.append(previous)
                 previous = hashlib.sha256((content + previous).encode()).hexdigest()
                 after.append(previous)
-        return pdf[names].assign(prev_hash=before, chain_hash=after)
-
-    return fold_groups(stage(seeded), ["patient_id", "_block"], ["sequence"], link, schema)
+            yield pa.RecordBatch.from_arrays(
+                [batch["patient_id"], batch["sequence"], pa.array(before, pa.string()), pa.array(after, pa.string())],
+                names=["patient_id", "sequence", "prev_hash", "chain_hash"],
+            )
 
+    kinds = dict(digests.dtypes)
+    schema = f"patient_id {kinds['patient_id']}, sequence {kinds['sequence']}, prev_hash string, chain_hash string"
+    links = digests.repartition("patient_id").sortWithinPartitions("patient_id", "sequence").mapInArrow(link, schema)
+    return hashed.join(links, ["patient_id", "sequence"]).select(*hashed.columns, "prev_hash", "chain_hash")
 
-def chain_heads(chained: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Last chain hash per patient and block, chained again per patient (one row per block)."""
-    block = F.floor((F.col("sequence") - 1) / block_rows)
-    heads = chained.groupBy("patient_id", block.alias("block")).agg(
-        F.max_by("chain_hash", "sequence").alias("head"), F.max("sequence").alias("sequence")
-    )
-    schema = "patient_id " + chained.schema["patient_id"].dataType.simpleString() + ", block long, sequence long, head string, heads_hash string"
-
-    def link(pdf: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
-        heads_in_order, tied = pdf["head"].tolist(), []
-        for first, end in spans:
-            previous = GENESIS
-            for head in heads_in_order[first:end]:
-                previous = hashlib.sha256((head + previous).encode()).hexdigest()
-                tied.append(previous)
-        return pdf.assign(heads_hash=tied)[["patient_id", "block", "sequence", "head", "heads_hash"]]
 
-    return fold_groups(stage(heads), ["patient_id"], ["block"], link, schema)
+def chain_heads(chained: DataFrame) -> DataFrame:
+    """The end of each patient's chain: patient_id, sequence, head, and a seal over the head."""
+    heads = chained.groupBy("patient_id").agg(F.max("sequence").alias("sequence"), F.max_by("chain_hash", "sequence").alias("head"))
+    return heads.withColumn("heads_hash", F.sha2(F.concat("head", F.lit(GENESIS)), 256))
 
 
-def verify_chain(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Violations (patient_id, sequence, kind): content hash, chain hash, previous hash.
+def verify_chain(log: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Violations (patient_id, sequence, kind): content hash, chain hash, previous hash, missing tail, changed head.
 
-    Each entry is checked against the stored chain hash of the entry before it
-    (an equi join on the sequence), so no task reads a whole chain. A missing
-    entry breaks the chain and the previous hash of the next one.
+    Each entry is checked against the stored chain hash of the entry before it (an equi join on the sequence), so no task
+    reads a whole chain. Only entry 1 may follow nothing, so a missing entry or run breaks the next one. With ``heads``
+    the end of each chain must be there too: a deleted tail, or a patient deleted whole, is reported at its last entry.
     """
     earlier = log.select("patient_id", (F.col("sequence") + 1).alias("sequence"), F.col("chain_hash").alias("_stored"))
-    block = F.floor((F.col("sequence") - 1) / block_rows)
-    starts = (F.col("sequence") - 1) % block_rows == 0
     joined = log.join(earlier, ["patient_id", "sequence"], "left").withColumn(
-        "_prev", F.when(starts, block_seed(F.col("patient_id"), block)).otherwise(F.coalesce("_stored", F.lit("")))
+        "_prev", F.when(F.col("sequence") == 1, F.lit(GENESIS)).otherwise(F.coalesce("_stored", F.lit("")))
     ).withColumn("_content", entry_hash())
     kinds = F.array_compact(F.array(
         F.when(F.col("content_hash") != F.col("_content"), "content hash mismatch"),
         F.when(F.col("chain_hash") != F.sha2(F.concat("_content", "_prev"), 256), "chain hash broken"),
         F.when(F.col("prev_hash") != F.col("_prev"), "prev hash mismatch"),
     ))
-    return joined.select("patient_id", "sequence", F.explode(kinds).alias("kind"))
+    found = joined.select("patient_id", "sequence", F.explode(kinds).alias("kind"))
+    if heads is None:
+        return found
+    ends = heads.select("patient_id", "sequence", "head").join(log.select("patient_id", "sequence", "chain_hash"), ["patient_id", "sequence"], "left")
+    kind = F.when(F.col("chain_hash").isNull(), "tail missing").when(F.col("chain_hash") != F.col("head"), "head mismatch")
+    return found.unionAll(ends.select("patient_id", "sequence", kind.alias("kind")).where("kind IS NOT NULL"))
 
 
 def list_entries(log: DataFrame, patient=None, limit: int = 100) -> DataFrame:
