@@ -64,7 +64,6 @@ class Evaluation:
     default_judge_score: float = 1.5
     per_task_type: int = 100
     seed: int = 42
-    log_limit: int = 10_000
 
 
 @dataclass(frozen=True)

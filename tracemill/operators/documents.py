@@ -48,20 +48,17 @@ def with_entities(docs: DataFrame, key: str, body: str, gazetteer: DataFrame, **
 
 
 def volatility(docs: DataFrame, title: str, body: str, editorial: DataFrame | None = None,
-               max_keywords: int = 10_000) -> DataFrame:
+               per_pattern: int = 10_000) -> DataFrame:
     """Topics, volatility and tier; editorial keywords in the title count when there is a fingerprint.
 
-    The editorial list is kept by hand. It is read into one pattern when it is
-    counted to be small, else joined as rows.
+    The editorial list is kept by hand. It is read into patterns of ``per_pattern`` keywords each.
     """
     marked = docs.withColumn("topics", text.topics(F.col(body)))
     volatile = text.is_volatile(F.col("topics"), F.col(body))
     if editorial is not None:
-        words = [r[0] for r in editorial.select(F.lower("keyword")).distinct().limit(max_keywords + 1).collect()]
-        if len(words) > max_keywords:
-            raise ValueError(f"more than {max_keywords} editorial keywords; split the list")
-        if words:
-            pattern = "|".join(re.escape(w) for w in sorted(words))
+        words = sorted(r[0] for r in editorial.where("keyword IS NOT NULL").select(F.lower("keyword")).distinct().collect())
+        for first in range(0, len(words), per_pattern):
+            pattern = "|".join(re.escape(w) for w in words[first:first + per_pattern])
             volatile = volatile | ((F.col("fingerprint") != "") & F.lower(title).rlike(pattern))
     return marked.withColumn("volatile", volatile).withColumn("tier", text.tier(F.col("volatile")))
 

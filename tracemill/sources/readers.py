@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.config import ARTICLES, EVALUATION
+from tracemill.config import ARTICLES
 from tracemill.functions.text import html_to_text
 from tracemill.operators.skew import latest_per
 
@@ -110,8 +110,8 @@ LOG_SIGNALS = "copied boolean, re_asked_within_60s boolean, edit_distance_after_
 LOG_CASES = "array<struct<input_data:string,expected_output:string,timeout_seconds:double>>"
 
 
-def load_logs(logs: DataFrame, task_type: str | None = None, limit: int | None = EVALUATION.log_limit) -> DataFrame:
-    """Newest log entries with their JSON columns decoded; missing signals and cases get defaults."""
+def load_logs(logs: DataFrame, task_type: str | None = None, limit: int | None = None) -> DataFrame:
+    """All log entries, or the newest ``limit``, with their JSON columns decoded; missing signals and cases get defaults."""
     rows = logs.where(F.col("task_type") == task_type) if task_type else logs
     if limit is not None:
         rows = rows.orderBy(F.col("created_at").desc(), F.col("id")).limit(limit)
