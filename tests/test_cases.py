@@ -194,6 +194,15 @@ def test_nested_call_fingerprints(spark):
     assert flat.select(keys.call_fingerprint(F.col("tool"), F.col("args")).alias("v")).first().v == got[0]
 
 
+def test_correction_without_a_tool_name(spark):
+    from tracemill.operators import agents
+
+    rows = [(None, 1, 0, ["exact_duplicate"], True), ("x", 1, 0, ["exact_duplicate"], True)]
+    df = spark.createDataFrame(rows, "tool_name string, step int, first_step int, signals array<string>, flagged boolean")
+    got = {r.tool_name: r.message for r in agents.correction(df).collect()}
+    assert "called your last tool call with" in got[None] and "called 'x' with" in got["x"]
+
+
 def test_fingerprint_tells_values_apart(spark):
     pairs = [("1.50001", "1.500012", True), ("[2,1]", "[1,2]", True), ("true", '"true"', False), ("12", '"12"', False), ('" é "', '"é"', True), ('{"b":1,"a":[{}]}', '{"a":[{}],"b":1}', True), ("[[2],[1]]", "[[1],[2]]", False)]
     rows = [(f'{{"k":{a}}}', f'{{"k":{b}}}', same) for a, b, same in pairs] + [(None, "{}", True), ("{broken", "{}", False)]

@@ -52,9 +52,13 @@ def path_verdict(path: Column, guard: Guard = GUARD, strict: bool = False) -> Co
     )
 
 
+#: Fixed value: what counts as the host.
+HOST = r"(?:https?://)?([a-zA-Z0-9.\-]+)"
+
+
 def host_of(url: Column) -> Column:
     """Host part of a URL or bare domain, lower case; empty when there is none."""
-    return F.lower(F.regexp_extract(url, r"(?:https?://)?([a-zA-Z0-9.\-]+)", 1))
+    return F.lower(F.regexp_extract(url, HOST, 1))
 
 
 def host_verdict(url: Column, guard: Guard = GUARD) -> Column:

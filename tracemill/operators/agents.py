@@ -248,6 +248,7 @@ OTHER_TEXT = _HEAD + (
     "A loop pattern was detected at step %s. Your recent actions are not advancing the task. "
     "Please reconsider your approach."
 )
+NO_TOOL_TEXT = "your last tool call"
 # End of fixed values.
 
 
@@ -255,7 +256,7 @@ def correction(detected: DataFrame) -> DataFrame:
     """Correction message for each flagged step, chosen by its last signal."""
     last = F.try_element_at("signals", F.lit(-1))
     step = F.col("step").cast("string")
-    tool = F.concat(F.lit("'"), F.col("tool_name"), F.lit("'"))
+    tool = F.when(F.coalesce("tool_name", F.lit("")) == "", NO_TOOL_TEXT).otherwise(F.concat(F.lit("'"), F.col("tool_name"), F.lit("'")))
     score = F.format_number("best_score", 2) if "best_score" in detected.columns else F.lit("0.00")
     distance = (F.col("step") - F.col("first_step")).cast("string")
     message = (

@@ -103,6 +103,7 @@ def ship(card: DataFrame, cfg: Evaluation = EVALUATION) -> DataFrame:
     def percent(value: Column) -> Column:
         return F.format_string("%.1f%%", value * 100)
 
+    # The texts of the reasons, here and below.
     drops = (
         ("code_gen_old", "code_gen_new", cfg.code_gen_drop, "Code gen pass rate dropped ", True),
         ("bug_fix_old", "bug_fix_new", cfg.bug_fix_drop, "Bug fix pass rate dropped ", True),
