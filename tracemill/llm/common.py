@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,8 +16,8 @@ _own: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session gets a temporary folder; a cluster session is an error, because no folder of one
-    machine would do.
+    Where it is unset, a local session gets a temporary folder until the process ends; a cluster session is an error,
+    because no folder of one machine would do.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -24,7 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.applicationId not in _own:
-        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
+        folder = tempfile.mkdtemp(prefix="llm-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[context.applicationId] = f"file://{folder}"
     return _own[context.applicationId]
 
 
