@@ -236,3 +236,16 @@ def test_upsert_and_insert(spark):
     new = spark.createDataFrame([(1, "b", 1), (2, "c", 5), (2, "d", 4)], "k int, v string, o int")
     assert {(r.k, r.v) for r in relational.upsert(old, new, ["k"], [F.col("o")]).collect()} == {(1, "b"), (2, "c")}
     assert {(r.k, r.v) for r in relational.insert_absent(old, new, ["k"], [F.col("o")]).collect()} == {(1, "a"), (2, "d")}
+
+
+def test_evaluation_covers_every_entry_unless_a_sample_is_asked_for(spark):
+    logs = spark.range(150).select("id", F.lit("code_generation").alias("task_type"), F.lit("old").alias("old_output"), F.lit(0.5).alias("weight"),
+                                   F.lit(True).alias("has_cases"), F.array(F.lit(1.0), F.lit(0.0)).alias("old_vec"))
+    outputs = logs.select("id", F.lit("new").alias("output"), F.array(F.lit(0.0), F.lit(1.0)).alias("new_vec"))
+    runs = logs.select("id", F.explode(F.array(F.lit("old"), F.lit("new"))).alias("side")).withColumn(
+        "outcome", F.when(F.col("side") == "old", "passed").otherwise("failed"))
+    marks = spark.createDataFrame([], "id long, side string, ordering int, correctness int, clarity int, completeness int")
+    results, card = evaluation.evaluate(logs, outputs, runs, marks)
+    row = card.first()
+    assert results.where("regressed").count() == 150 and (row.total, row.regressions, row.weighted_regression) == (150, 150, 75.0)
+    assert evaluation.evaluate(logs, outputs, runs, marks, sample=100)[1].first().total == 100

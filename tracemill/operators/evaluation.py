@@ -1,4 +1,4 @@
-"""Model-upgrade evaluation: sample, pair, score, summarise, decide."""
+"""Model-upgrade evaluation: sample on request, pair, score, summarise, decide."""
 
 from __future__ import annotations
 
@@ -136,20 +136,20 @@ def high_signal_first(entries: DataFrame) -> DataFrame:
 
 
 def evaluate(logs: DataFrame, outputs: DataFrame, runs: DataFrame, scores: DataFrame,
-             cfg: Evaluation = EVALUATION) -> tuple[DataFrame, DataFrame]:
-    """(results, card): one run from the sample to the decision.
+             cfg: Evaluation = EVALUATION, sample: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results, card): one run from the logs to the decision, over all entries or a ``sample`` of so many per task type.
 
     ``logs``: (id, task_type, old_output, weight, has_cases, old_vec);
     ``outputs``: (id, output, new_vec); ``runs`` and ``scores`` as for
     :func:`pass_rate` and :func:`judge_average`.
     """
-    sample = stratified(logs, "task_type", cfg.per_task_type, F.col("id"), cfg.seed)
+    if sample is not None:
+        logs = stratified(logs, "task_type", sample, F.col("id"), cfg.seed)
     vectors = outputs.select("id", "new_vec")
-    paired = pair_outputs(sample, outputs).join(vectors, "id", "left")
+    paired = pair_outputs(logs, outputs).join(vectors, "id", "left")
     filtered = similarity_filter(paired, "old_vec", "new_vec", "old_output", "new_output", cfg.similarity_threshold)
-    # Only sampled entries need outcomes.
     ids = filtered.select("id")
-    rates = pass_rate(runs.join(ids, "id", "left_semi"))
-    judged = judge_average(ids, scores.join(ids, "id", "left_semi"), cfg)
-    results = task_results(filtered, rates, judged, cfg)
+    if sample is not None:  # only sampled entries need outcomes
+        runs, scores = (df.join(ids, "id", "left_semi") for df in (runs, scores))
+    results = task_results(filtered, pass_rate(runs), judge_average(ids, scores, cfg), cfg)
     return results, ship(scorecard(results), cfg)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracemill.config import EVALUATION
 from tracemill.functions.scores import priority, quality_weight
 from tracemill.operators import evaluation
 from tracemill.operators.embedding import embed
@@ -185,10 +186,10 @@ card AS (
 """
 
 
-def evaluated(spark, sf_dir):
+def evaluated(spark, sf_dir, sample=None):
     entries = embed(logs(spark, sf_dir), F.col("old_output"), "old_vec")
     new = embed(outputs(spark, sf_dir), F.col("output"), "new_vec")
-    return evaluation.evaluate(entries, new, runs(spark, sf_dir), scores(spark, sf_dir))
+    return evaluation.evaluate(entries, new, runs(spark, sf_dir), scores(spark, sf_dir), sample=sample)
 
 
 @query("dec19_task_results", f"""
@@ -252,7 +253,7 @@ WITH {SHIP_SQL} SELECT total, regressions, improvements, CASE WHEN holds <> '' T
   CASE WHEN holds <> '' THEN -1 WHEN regressions = 0 THEN 1 ELSE 0 END AS decision_gauge FROM reasons
 """)
 def dec18(spark, sf_dir):
-    return evaluated(spark, sf_dir)[1].select("total", "regressions", "improvements", "decision", "decision_gauge")
+    return evaluated(spark, sf_dir, EVALUATION.per_task_type)[1].select("total", "regressions", "improvements", "decision", "decision_gauge")
 
 
 @query("snk7_run_results", f"WITH {RESULTS_SQL} SELECT id, 'run-1' AS run_id, regressed FROM results")
