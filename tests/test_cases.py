@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracemill.config import EVALUATION
 from tracemill.functions import dates, keys, scores, text
-from tracemill.operators import audit, clinical, documents, evaluation, refunds, relational
+from tracemill.operators import audit, clinical, documents, evaluation, graph, refunds, relational
 from tracemill.sources import readers
 
 
@@ -249,3 +249,22 @@ def test_evaluation_covers_every_entry_unless_a_sample_is_asked_for(spark):
     row = card.first()
     assert results.where("regressed").count() == 150 and (row.total, row.regressions, row.weighted_regression) == (150, 150, 75.0)
     assert evaluation.evaluate(logs, outputs, runs, marks, sample=100)[1].first().total == 100
+
+
+def test_evidence_is_told_apart_by_its_whole_content(spark):
+    kind = "patient_id long, content string, place long"
+    found = spark.createDataFrame([(1, "x" * 100 + "a", 0), (1, "x" * 100 + "b", 1), (1, "x" * 100 + "a", 2)], kind)
+    assert sorted(r.place for r in clinical.merge_evidence(found, found.limit(0)).collect()) == [0, 1]
+    assert [r.place for r in clinical.merge_evidence(found, found.limit(0), max_chars=100).collect()] == [0]
+
+
+def test_rules_see_drugs_beyond_the_newest_twenty(spark):
+    rule = next(r for r in clinical.rule_table(spark).collect() if r.metric is None)
+    names = [rule.drug_a, *[f"other{i}" for i in range(30)], rule.drug_b]
+    nodes = spark.createDataFrame([(f"n{i}", "drug", n, None, None, None, dt.date(2024, 1, 1)) for i, n in enumerate(names)],
+                                  "node_id string, kind string, name string, code string, value double, unit string, date date")
+    edges = spark.createDataFrame([(1, f"n{i}", "PRESCRIBED", dt.date(2024, 1, 1) + dt.timedelta(i)) for i in range(len(names))],
+                                  "patient_id long, node_id string, edge string, date date")
+    hits = spark.createDataFrame([], "patient_id long, source_id string, content string, confidence double, place int")
+    _, warnings = graph.hybrid(nodes, edges, hits, clinical.rule_table(spark), clinical.alias_table(spark))
+    assert rule.rule_id in [r.rule_id for r in warnings.collect()]

@@ -227,10 +227,10 @@ def consults(evidence: DataFrame, warnings: DataFrame, key: str = "patient_id")
     )
 
 
-def merge_evidence(graph: DataFrame, vector: DataFrame, key: str = "patient_id") -> DataFrame:
-    """Both evidence tables, one row per key and first 100 characters: graph before vector, then by place."""
+def merge_evidence(graph: DataFrame, vector: DataFrame, key: str = "patient_id", max_chars: int | None = None) -> DataFrame:
+    """Both evidence tables, one row per key and content (or its first ``max_chars``): graph before vector, then by place."""
     both = graph.withColumn("_part", F.lit(0)).unionByName(vector.withColumn("_part", F.lit(1)), allowMissingColumns=True)
-    start = both.withColumn("_start", F.substring("content", 1, 100))
+    start = both.withColumn("_start", F.substring("content", 1, max_chars) if max_chars else F.col("content"))
     return latest_per(start, [key, "_start"], [F.col("_part"), F.col("place")], newest=False).drop("_start", "_part")
 
 

@@ -142,16 +142,19 @@ def graph_summary(nodes: DataFrame, edges: DataFrame, drugs: int = 10, egfr: int
     )
 
 
-def hybrid(nodes: DataFrame, edges: DataFrame, hits: DataFrame, rules: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+def hybrid(nodes: DataFrame, edges: DataFrame, hits: DataFrame, rules: DataFrame, aliases: DataFrame,
+           newest_drugs: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(evidence, warnings) per patient: graph summary, rule warnings and vector hits, merged.
 
-    ``hits``: (patient_id, source_id, content, confidence, place).
+    ``hits``: (patient_id, source_id, content, confidence, place). The rules
+    get every drug of a patient, or only those of the ``newest_drugs`` prescriptions.
     """
     summary = graph_summary(nodes, edges).select(
         "patient_id", F.lit("kg_traversal").alias("source_type"), F.concat(F.lit("kg:"), F.col("patient_id").cast("string")).alias("source_id"),
         F.col("summary").alias("content"), F.lit(0.92).alias("confidence"), F.lit(0).alias("place"),
     )
-    drugs = active_drugs(nodes, edges).select("patient_id", F.col("name").alias("drug"))
+    taken = active_drugs(nodes, edges, newest_drugs) if newest_drugs else _linked(nodes, edges, "PRESCRIBED")
+    drugs = taken.select("patient_id", F.col("name").alias("drug")).distinct()
     newest = latest_labs(lab_nodes(nodes, edges)).where(F.lower("test_name").isin("egfr", "creatinine"))
     warnings = interactions(drugs, newest, rules, aliases)
     line = F.concat(

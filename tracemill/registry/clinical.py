@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracemill.config import CLINICAL
 from tracemill.functions import dates, scores, text
 from tracemill.operators import clinical, graph, retrieval
 from tracemill.plans import patients
@@ -475,8 +476,8 @@ def vector_hits(spark, sf_dir):
     )
 
 
-def hybrid(spark, sf_dir):
-    return graph.hybrid(*built(spark, sf_dir), vector_hits(spark, sf_dir), clinical.rule_table(spark), clinical.alias_table(spark))
+def hybrid(spark, sf_dir, newest_drugs=None):
+    return graph.hybrid(*built(spark, sf_dir), vector_hits(spark, sf_dir), clinical.rule_table(spark), clinical.alias_table(spark), newest_drugs)
 
 
 @query("dec15_hybrid_evidence", f"""
@@ -497,7 +498,7 @@ SELECT DISTINCT c.patient_id, r.rule_id FROM classes c JOIN rules r ON r.drug_a
 WHERE CASE WHEN metric = '' THEN EXISTS (SELECT 1 FROM classes o WHERE o.patient_id = c.patient_id AND o.drug_class = r.drug_b) ELSE coalesce(n.egfr < threshold, false) END
 """)
 def dec15_warnings(spark, sf_dir):
-    return hybrid(spark, sf_dir)[1].select("patient_id", "rule_id")
+    return hybrid(spark, sf_dir, CLINICAL.active_drugs)[1].select("patient_id", "rule_id")  # as its SQL
 
 
 @query("dec13_ingest_patients", f"""
