@@ -37,6 +37,24 @@ def test_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got.collect()) and html_extract.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["content with-sidebar", "no-sidebar", "main-content has-sidebar", "post legal", "lead alert", "share-your-story", "sidebar", "comments-open"])
+def test_a_wrapper_of_the_text_is_not_noise(name):
+    text = "plain words of the text " * 20
+    for body in (f"<article>{text}</article>", text) if name != "comments-open" else (f"<article>{text}</article>",):
+        page = html_extract.Page(f"<body><div class='menu'>m</div><div id=page class='{name}'>{body}</div><div class='ad'>Buy</div>")
+        assert page.text(None) == text.strip()
+
+
+def test_headers_of_the_text_stay_and_texts_beside_it_go():
+    long = "many words of readers " * 40
+    for name in ("entry-header", "article-header"):
+        assert html_extract.Page(f"<article><div class='{name}'><h1>Title</h1></div><p>first line</article>").text(None) == "Title first line"
+    beside = f"<div id=comments><article class=comment>{long}</article></div><div class='related posts'><article>teaser</article></div>"
+    assert html_extract.Page(f"<body><main><article><p>the first line of the text{beside}</article></main>").text(None) == "the first line of the text"
+    assert html_extract.Page(f"<body><p>the first line<div class=comments>{long}</div>").text(None) == "the first line"
+    assert html_extract.Page(f"<body><p>the first line<div class=sidebar hidden>{long}</div>").text(None) == "the first line"
+
+
 def test_given_pages_keep_their_article(spark):
     import html
     import re

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,12 +28,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIPPED = frozenset("nav header footer aside form script style noscript template iframe object svg canvas button select textarea dialog head menu".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 CONTAINERS = frozenset("article main section div td body".split())
-#: Words of a class or id which name what is no part of an article.
+#: Class words or ids that are, or begin with, a name of what is no part of an article; those of them that name texts of readers.
 NOISE = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|header|masthead|comments?|respond|"
+    r"(?:^| )(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|header|masthead|comments?|respond|"
     r"replies|disqus|cookies?\w*|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|widget\w*|"
     r"pagination|pager|toolbar|copyright|legal|disclaimer|alert)(?:$|[-_ ])"
 )
+READERS = re.compile(r"(?:^| )(?:comments?|respond|replies|disqus)(?:$|[-_ ])")
 DEPTH = 100
 TITLE_HEADER = ("article", "main")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -53,26 +55,71 @@ class Node:
     chars: int = 0
     linked: int = 0
     skips: bool = False
-
-
-def general(tag: str, attributes: str) -> tuple[str, bool]:
-    """``tag.class`` with numbers taken off the class words, and whether class, id or role name something else than content."""
+    hushes: bool = False
+    readers: bool = False
+    #: Where it begins and ends in the page, and how much text outside links came before these places.
+    begin: int = 0
+    end: int = 0
+    before: int = 0
+    until: int = 0
+
+
+def general(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """``tag.class`` with numbers taken off the class words; whether class, id or role name something else than content;
+    whether they name texts of readers; whether the element is hidden.
+    """
     found = {name.lower(): a or b or c for name, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
     classes = [re.sub(r"[-_]?\d+", "", x.lower()) for x in html.unescape(found.get("class", "")).split()]
     named = " ".join([*classes, found.get("id", "").lower()])
     noise = bool(NOISE.search(named)) or found.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert")
-    noise = noise or "hidden" in found or re.search(r"(?:^|\s)hidden(?:\s|$)", ATTRIBUTE.sub("", attributes)) is not None or "display:none" in found.get("style", "").replace(" ", "").lower()
-    return ".".join([tag, *sorted(set(filter(None, classes)))]), noise
+    hidden = "hidden" in found or re.search(r"(?:^|\s)hidden(?:\s|$)", ATTRIBUTE.sub("", attributes)) is not None or "display:none" in found.get("style", "").replace(" ", "").lower()
+    return ".".join([tag, *sorted(set(filter(None, classes)))]), noise, READERS.search(named) is not None, hidden
+
+
+def wrappers(named: list[Node], articles: list[Node], chars: int) -> frozenset[int]:
+    """Places of the elements named as noise that hold the longest article or main, or most of the page's text outside links.
+
+    Those named for texts of readers must hold every article and most of the text: such texts are often articles and long.
+    """
+    own: dict[int, int] = {}  # text of an article without that of articles in it
+    above: list[Node] = []
+    for a in articles:
+        while above and above[-1].end <= a.begin:
+            above.pop()
+        own[a.begin] = a.until - a.before
+        if above:
+            own[above[-1].begin] -= own[a.begin]
+        above.append(a)
+    places = sorted(p for p, n in own.items() if n > 0)
+    longest = [p for p in places if own[p] == max(own.values())]
+
+    def holds(node: Node, of: list[int]) -> int:
+        return bisect_left(of, node.end) - bisect_left(of, node.begin)
+
+    def kept(node: Node) -> bool:
+        most = 2 * (node.until - node.before) > chars
+        if node.readers:
+            return most and 0 < len(places) == holds(node, places)
+        return most or holds(node, longest) > 0
+
+    return frozenset(n.begin for n in named if kept(n))
 
 
 class Page:
-    """Text blocks of a page under each of its containers, without skipped elements and noise."""
+    """Text blocks of a page under each of its containers, without skipped elements and noise that is no wrapper of the text."""
 
     def __init__(self, source: str):
+        kept = self._read(source, frozenset())
+        if kept:
+            self._read(source, kept)
+
+    def _read(self, source: str, kept: frozenset[int]) -> frozenset[int]:
+        """Read the page with the noise at the ``kept`` places; the places of what should be kept."""
         self.nodes: list[Node] = []
         self.root = Node("", "", False, None)
         stack, quiet, buffer, links, at = [self.root], 0, [], 0, 0
         holders = [self.root]  # open containers; beyond DEPTH of them a container counts as part of its parent
+        named, articles, hushed, chars = [], [], 0, 0  # without what is skipped by its tag or hidden
 
         def flush() -> None:
             text = " ".join(html.unescape("".join(buffer)).split())
@@ -84,12 +131,14 @@ class Page:
                     n.linked += len(text) if links else 0
 
         def close(index: int) -> None:
-            nonlocal quiet, links
+            nonlocal quiet, hushed, links
             if any(n.tag in BLOCKS for n in stack[index:]):
                 flush()
             for n in reversed(stack[index:]):
                 links -= n.tag == "a"
                 quiet -= n.skips
+                hushed -= n.hushes
+                n.end, n.until = at, chars
                 if n is holders[-1]:
                     holders.pop()
             del stack[index:]
@@ -99,6 +148,8 @@ class Page:
             text = source[at:found.start() if found else len(source)]
             if text and not quiet:
                 buffer.append(text)
+            if text and not hushed and not links:
+                chars += len(text.strip())
             if not found:
                 break
             at = found.end()
@@ -124,15 +175,22 @@ class Page:
                     close(i)
             if tag in VOID:
                 continue
-            step, noise = general(tag, found[3])
+            step, noise, readers, hidden = general(tag, found[3])
             holds = tag in CONTAINERS and len(holders) <= DEPTH
-            node = Node(tag, f"{stack[-1].path}/{step}" if holds else stack[-1].path, noise, stack[-1])
+            node = Node(tag, f"{stack[-1].path}/{step}" if holds else stack[-1].path, noise, stack[-1], readers=readers, begin=found.start(), before=chars)
             if found[3].rstrip().endswith("/") and tag not in CONTAINERS:
                 continue
             stack.append(node)
             links += tag == "a"
             inner_header = tag == "header" and any(n.tag in TITLE_HEADER for n in stack[:-1])
-            if (tag in SKIPPED and not inner_header) or (noise and tag not in ("html", "body", "article", "main")):
+            bare = tag in ("html", "body", "article", "main")
+            node.hushes = (tag in SKIPPED and not inner_header) or (hidden and not bare)
+            hushed += node.hushes
+            if noise and not bare and not hushed:
+                named.append(node)
+            if tag in TITLE_HEADER and not hushed:
+                articles.append(node)
+            if node.hushes or (noise and not bare and node.begin not in kept):
                 node.skips = True
                 quiet += 1
             if tag in CONTAINERS and not quiet and len(holders) <= DEPTH:
@@ -142,6 +200,9 @@ class Page:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
                 at = end.start() if end else len(source)
         flush()
+        for n in stack:
+            n.end, n.until = len(source), chars
+        return wrappers(named, articles, chars) if named else frozenset()
 
     def best(self) -> Node:
         """The container with the most text outside links; the deepest of equals. Semantic ones count double."""
