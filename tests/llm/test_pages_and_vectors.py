@@ -55,6 +55,14 @@ def test_headers_of_the_text_stay_and_texts_beside_it_go():
     assert html_extract.Page(f"<body><p>the first line<div class=sidebar hidden>{long}</div>").text(None) == "the first line"
 
 
+def test_a_page_of_a_second_template_keeps_its_text(spark):
+    long = "words of the second template " * 20
+    first = [page("t.example", i, f"<body><div class=story><p>{long} {i}</div>") for i in range(5)]
+    second = [page("t.example", i, f"<body><div class=story>box</div><section class=text><p>{long} {i}</section>") for i in range(10, 13)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(first + second, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(f"{long} {i}".split()) for i, _, _ in first + second}
+
+
 def test_given_pages_keep_their_article(spark):
     import html
     import re

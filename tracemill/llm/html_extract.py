@@ -2,7 +2,8 @@
 
 Each page's containers are scored; the best one votes for its generalised path (tags with their class words, without
 numbers). Votes are summed per host in Spark, and every page is cut again with the path that won on its host; a page
-without such a container keeps its own best one.
+without such a container keeps its own best one, and so does a page of another template: one whose containers of the
+winning path hold little beside its best one, whose path other pages of the host voted for too.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ NOISE = re.compile(
 )
 READERS = re.compile(r"(?:^| )(?:comments?|respond|replies|disqus)(?:$|[-_ ])")
 DEPTH = 100
+#: Containers of the winning path worth less than this share of the page's best one hardly hold its text.
+FAIR = 0.25
 TITLE_HEADER = ("article", "main")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -205,18 +208,27 @@ class Page:
         return wrappers(named, articles, chars) if named else frozenset()
 
     def best(self) -> Node:
-        """The container with the most text outside links; the deepest of equals. Semantic ones count double."""
-        def value(node: Node) -> tuple[float, int]:
-            own = max(0, node.chars - 2 * node.linked)
-            return own * (2.0 if node.tag == "article" else 1.5 if node.tag == "main" else 0.5 if node.tag == "body" else 1.0), node.path.count("/")
-
-        return max(self.nodes, key=value, default=self.root)
+        """The container with the most text outside links; the deepest of equals."""
+        return max(self.nodes, key=lambda n: (_worth(n), n.path.count("/")), default=self.root)
 
     def text(self, path: str | None) -> str:
         """Blocks of all containers with the path, in page order; of the page's own best one without a match."""
+        return self.texts(path)[0]
+
+    def texts(self, path: str | None) -> tuple[str, str | None, str | None]:
+        """The text of :meth:`text`; path and text of the own best container if that one holds too little beside it."""
         chosen = [n for n in self.nodes if n.path == path and n.blocks]
         outer = [n for n in chosen if not any(m is not n and _within(n, m) for m in chosen)]
-        return " ".join(" ".join(n.blocks) for n in (outer or [self.best()]))
+        best = self.best()
+        text = " ".join(" ".join(n.blocks) for n in (outer or [best]))
+        if not outer or sum(map(_worth, outer)) >= FAIR * _worth(best):
+            return text, None, None
+        return text, best.path, self.text(best.path)
+
+
+def _worth(node: Node) -> float:
+    """Text outside links; semantic containers count double."""
+    return max(0, node.chars - 2 * node.linked) * (2.0 if node.tag == "article" else 1.5 if node.tag == "main" else 0.5 if node.tag == "body" else 1.0)
 
 
 def _within(node: Node, other: Node) -> bool:
@@ -243,8 +255,11 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [Page(source or "").text(path) for source, path in zip(batch["html"].to_pylist(), batch["path"].to_pylist(), strict=True)]
-        yield batch.drop_columns(["html", "path", "host"]).append_column("text", pa.array(texts, pa.string()))
+        texts = [Page(source or "").texts(path) for source, path in zip(batch["html"].to_pylist(), batch["path"].to_pylist(), strict=True)]
+        out = batch.drop_columns(["html", "path"])
+        for name, column in zip(("text", "path", "other"), zip(*texts, strict=True) if texts else ((), (), ()), strict=True):
+            out = out.append_column(name, pa.array(column, pa.string()))
+        yield out
 
 
 def host_of(url):
@@ -255,15 +270,24 @@ def host_of(url):
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page, with the container path that wins on its host.
 
+    A page on which that path holds under FAIR of its own best container is cut with the path of that one instead, if
+    at least two pages of the host voted for it.
+
     A null or empty page has an empty text. Pages without a host share one vote of their own. Equal votes: the first
     path. Repeated rows and null ids stay rows of their own. An empty table gives an empty result. The winners (one row
     per host) are joined on the host; Spark broadcasts them only below its size limit and splits hot hosts beyond.
     """
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"), host_of(pages[url_col]).alias("host"))
     votes = rows.select("host", "html").mapInArrow(_votes, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    votes = common.stored(votes, "host-votes")
     winners = common.stored(votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("path")), "host-paths")
-    schema = rows.select("page_id", "url").schema.add("text", "string")
-    return rows.join(winners, "host", "left").select("page_id", "url", "html", "path", "host").mapInArrow(_texts, schema).withColumn("n_chars", F.length("text").cast("long"))
+    schema = rows.select("page_id", "url", "host").schema.add("text", "string").add("path", "string").add("other", "string")
+    cut = rows.join(winners, "host", "left").select("page_id", "url", "html", "path", "host").mapInArrow(_texts, schema)
+    # pages without another path are spread over names that no path has
+    cut = cut.withColumn("path", F.coalesce("path", F.pmod(F.xxhash64("page_id", "url"), F.lit(4096)).cast("string")))
+    shared = votes.where("votes >= 2").select("host", "path", F.lit(True).alias("shared"))
+    text = F.when(F.col("shared"), F.col("other")).otherwise(F.col("text"))
+    return cut.join(shared, ["host", "path"], "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op2_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
