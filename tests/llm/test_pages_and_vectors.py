@@ -114,6 +114,17 @@ def test_vector_links(spark, monkeypatch, shard):
     assert near_vectors.link(table.limit(0))[0].count() == 0
 
 
+def test_the_driver_gets_no_vectors_of_labels_of_one_shard_and_few_of_others(spark, monkeypatch):
+    seen, fitted = [], near_vectors.centroids
+    monkeypatch.setattr(near_vectors, "SHARD", 200)
+    monkeypatch.setattr(near_vectors, "centroids", lambda vectors, *rest: seen.append(len(vectors)) or fitted(vectors, *rest))
+    vectors = np.random.default_rng(3).normal(size=(1000, 8)).tolist()
+    rows = [(i, v, label) for i, (v, label) in enumerate(zip(vectors + vectors[:100] * 2, [0] * 1000 + [1] * 100 + [2] * 100, strict=True))]
+    found, audit = near_vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert audit.first().recall >= near_vectors.RECALL and found.count() == 1200
+    assert len(seen) == 1 and 5 <= seen[0] < 500
+
+
 def test_pruned_lists_keep_no_neighbour_behind_a_closer_one():
     vectors = near_vectors.unit(np.random.default_rng(1).normal(size=(300, 8)))
     lists = near_vectors.pruned_lists(vectors)

@@ -29,6 +29,8 @@ BEAM, WALK = 8, 40
 MARGIN = 0.04
 #: Vectors per label that centroids are fitted on; queries of the audit; the recall it asks for.
 SAMPLE, AUDITED, RECALL = 4000, 200, 0.99
+#: Vectors that one centroid is fitted on, so a label of few shards sends few.
+FITTED = 64
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -192,14 +194,16 @@ def _search(threshold: float):
     return search
 
 
-def _assign(centers: dict[int, np.ndarray], first: dict[int, int], overlap: int):
+def _assign(centers: dict[int, np.ndarray | None], first: dict[int, int], overlap: int):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = np.asarray(batch["label"])
             for label in np.unique(labels):
                 at = np.flatnonzero(labels == label)
                 own = batch.take(pa.array(at))
-                near = np.argsort(-(unit(matrix(own["vector"])) @ centers[int(label)].T), axis=1, kind="stable")[:, :overlap] + first[int(label)]
+                held = centers[int(label)]
+                near = np.zeros((len(at), 1), np.int64) if held is None else np.argsort(-(unit(matrix(own["vector"])) @ held.T), axis=1, kind="stable")[:, :overlap]
+                near = near + first[int(label)]
                 for rank in range(near.shape[1]):
                     out = own.select(["node", "weight", "vector"]).append_column("shard", pa.array(near[:, rank], pa.int32()))
                     out = out.append_column("home", pa.array(near[:, 0], pa.int32()))
@@ -236,7 +240,8 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLA
     vectors of different lengths are never compared. Repeated ids are vectors of their own under one name. An empty
     table gives an empty result. The second result is one row: audited queries, true links, found links, recall.
 
-    The driver holds centroids only: at most one per SHARD distinct vectors, fitted on at most SAMPLE of each label.
+    The driver holds centroids of labels of more than one shard only: one per SHARD distinct vectors, fitted on FITTED
+    times as many of the label's vectors and at most about SAMPLE, so there are no more centroids than that.
     """
     spark = vectors.sparkSession
     rows, nodes = _nodes(vectors, id_col, vector_col, label_col)
@@ -246,27 +251,32 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLA
     for (label, size), i in group.items():
         case = F.when((F.col("label") == label) & (F.col("size") == size), i).otherwise(case)
     nodes = nodes.withColumn("label", case)
-    held: dict[int, list[bytes]] = {}
-    for r in common.drawn(nodes, "label", SAMPLE, "node").select("label", "vector", "node").orderBy("label", "node").collect():
-        held.setdefault(r["label"], []).append(r["vector"])
+    counts = {i: -(-r["n"] // SHARD) for i, r in enumerate(kinds)}
+    share = {i: 1_000_000 * min(SAMPLE, FITTED * counts[i]) // r["n"] + 1 for i, r in enumerate(kinds) if counts[i] > 1}
+    held: dict[int, list[bytes]] = {i: [] for i in share}
+    if share:
+        shares = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
+        drawn = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < shares[F.col("label")])
+        for r in drawn.select("label", "vector", "node").orderBy("label", "node").collect():
+            held[r["label"]].append(r["vector"])
     centers, first, shards = {}, {}, 0
-    for r, number in zip(kinds, range(len(kinds)), strict=True):
-        own = held.get(number) or [x["vector"] for x in nodes.where(F.col("label") == number).orderBy("node").limit(1).collect()]
-        centers[number] = centroids(unit(matrix(pa.array(own, pa.binary()))), -(-r["n"] // SHARD))
+    for number, count in counts.items():
+        own = held.get(number)
+        centers[number] = centroids(unit(matrix(pa.array(own, pa.binary()))), count) if own else None
         first[number] = shards
-        shards += len(centers[number])
-    widest = max((len(c) for c in centers.values()), default=1)
+        shards += len(centers[number]) if own else 1
+    widest = max((1 if c is None else len(c) for c in centers.values()), default=1)
     while True:
         found, across = _linked(spark, nodes, centers, first, overlap, threshold)
-        counts = found.select(F.col("a").alias("node"), F.col("add_a").alias("n")).unionAll(
+        totals = found.select(F.col("a").alias("node"), F.col("add_a").alias("n")).unionAll(
             across.select(F.col("a").alias("node"), F.col("add_a").alias("n"))).unionAll(across.select(F.col("b").alias("node"), F.col("add_b").alias("n")))
-        counts = common.stored(counts.groupBy("node").agg(F.sum("n").alias("others")), "link-counts")
-        report = audit(nodes, counts, threshold)
+        totals = common.stored(totals.groupBy("node").agg(F.sum("n").alias("others")), "link-counts")
+        report = audit(nodes, totals, threshold)
         if report["recall"] >= RECALL or overlap >= widest:
             break
         overlap *= 2
     labels = components(found.select("a", "b").unionAll(across.select("a", "b")))
-    per_node = nodes.join(counts, "node", "left").join(labels, "node", "left").select(
+    per_node = nodes.join(totals, "node", "left").join(labels, "node", "left").select(
         "node", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     names = common.stored(rows.where("vector IS NOT NULL AND vec_id IS NOT NULL").groupBy("label", "vector").agg(F.min("vec_id").alias("node")), "names")
     with_node = rows.where("vector IS NOT NULL AND vec_id IS NOT NULL").join(names, ["label", "vector"]).select("vec_id", "node")
