@@ -3,7 +3,8 @@
 The elements of a document are its distinct shingles, ordered from rare to frequent. Two similar documents share at
 least one element in their prefixes; extending a prefix by one element for each class of frequent elements in it makes
 them share a rare element or two elements of one class. Rare elements are indexed one by one, frequent ones by pairs
-within their class, so no index key of a frequent element alone exists. Documents with equal sets are one node.
+within their class, so no index key of a frequent element alone exists, except for short sets (under SMALL elements, or
+with a needed overlap under SMALL): they index every element of their prefix alone. Documents with equal sets are one node.
 """
 
 from __future__ import annotations
