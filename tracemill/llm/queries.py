@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import contamination, html_extract, jaccard, langid, near_vectors, packing, quality, records, substring_dedup, toxicity
+from tracemill.llm import contamination, html_extract, jaccard, langid, near_vectors, packing, quality, records, secret_scan, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": langid.op8_language_id,
     "op9_pattern_packing": packing.op9_pattern_packing,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_secret_scan": secret_scan.op11_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op3_decontamination": contamination.SQL,
     "op7_near_vectors": near_vectors.SQL,
     "op10_jaccard_join": jaccard.SQL,
+    "op11_secret_scan": secret_scan.SQL,
 }
