@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import contamination, html_extract, jaccard, langid, near_vectors, packing, quality, records, secret_scan, substring_dedup, toxicity
+from tracemill.llm import alignment, contamination, html_extract, jaccard, langid, near_vectors, packing, quality, records, secret_scan, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pattern_packing": packing.op9_pattern_packing,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op11_secret_scan": secret_scan.op11_secret_scan,
+    "op12_token_alignment": alignment.op12_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
