@@ -49,10 +49,15 @@ def brute(pair, rows):
                 links.append((i, b[k]))
                 k += 1
         common, groups = sorted({y for _, y in sa} & {y for _, y in sb}), []
-        begin = 0
-        for end in common:
-            groups.append("|".join(",".join(str(i) for i, (x, y) in zip(ids, own, strict=True) if x >= begin and y <= end) for ids, own in ((a, sa), (b, sb))))
-            begin = end
+        for ids, own in ((a, sa), (b, sb)):
+            cut, cuts = [], []
+            for i, (_, y) in zip(ids, own, strict=True):
+                cut.append(str(i))
+                if y == common[len(cuts)]:
+                    cuts.append(",".join(cut))
+                    cut = []
+            groups.append(cuts)
+        groups = ["|".join(g) for g in zip(*groups, strict=True)]
         linked.append(links)
         shown.append((len(a), len(b), groups))
     count = Counter(p for links in linked for p in set(links))
@@ -98,7 +103,7 @@ def test_align_tokens(spark, pair):
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(odd_texts(300))]
     rows += [(7, "the same words again", None, None, None), (7, "the same words again", None, None, None), (None, "no id here", "x", "y", 1)]
     rows += [(1000 + i, "tokens overlap here and there, unbelievably often " * (1 + i % 3), "en", "hot", 0) for i in range(60)]
-    rows.append((2000, " ".join(f"Wörter{i % 997} andéquite{i}long" for i in range(40_000)), "de", "long", 0))
+    rows.append((2000, " ".join(f"Wörter{i % 997} andéquite{i}long" for i in range(20_000)), "de", "long", 0))
     docs = spark.createDataFrame([(*r, f"p{i}", b"x") for i, r in enumerate(rows)], SCHEMA + ", slot string, groups binary").repartition(5)
     got = alignment.align_tokens(docs, *alignment.default_paths(), groups=True, carry=["slot"])
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups", "slot"]
