@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import alignment, contamination, html_extract, jaccard, langid, near_vectors, packing, quality, records, secret_scan, substring_dedup, toxicity
+from tracemill.llm import alignment, collocations, contamination, html_extract, jaccard, langid, near_vectors, packing, quality, records, secret_scan, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op11_secret_scan": secret_scan.op11_secret_scan,
     "op12_token_alignment": alignment.op12_token_alignment,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -29,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op7_near_vectors": near_vectors.SQL,
     "op10_jaccard_join": jaccard.SQL,
     "op11_secret_scan": secret_scan.SQL,
+    "op13_collocations": collocations.SQL,
 }
