@@ -84,17 +84,18 @@ def routes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: int) -
 
 def packed(kind: int, keys: pa.Array, counts: np.ndarray, target: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row per range."""
+    if not len(keys):
+        return
     order = np.argsort(target, kind="stable")
     keys, counts, target = keys.take(pa.array(order)), counts[order], target[order]
     cut = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])[:len(target)])
     data, offsets = buffers(keys)
     rows = []
-    for a, b in zip(cut, np.append(cut[1:], len(target)), strict=True):
+    for a, b in zip(cut, [*cut[1:], len(target)], strict=True):
         own = np.full(offsets[b] - offsets[a] + b - a, LINE, np.uint8)  # a line end after each key
         own[np.arange(offsets[b] - offsets[a]) + np.repeat(np.arange(b - a), np.diff(offsets[a:b + 1]))] = data[offsets[a]:offsets[b]]
         rows.append((int(target[a]), kind, own.tobytes(), counts[a:b].astype("<i8").tobytes()))
-    columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
 
 def unpacked(table: pa.Table, kind: int) -> tuple[pa.Array, np.ndarray]:
@@ -155,7 +156,7 @@ def _sum_edges(count: int, least: int):
         parts = list(packed(NODES, nodes, flow, routes(node_data, node_offsets[:-1], node_offsets[1:], count)))
         kept = keys.take(pa.array(often))
         data, offsets, at = tabs(kept)
-        parts += packed(EDGES, kept, counts[often], routes(data, offsets[:-1], at[:, 2], count) if len(often) else np.zeros(0, np.int64))
+        parts += packed(EDGES, kept, counts[often], routes(data, offsets[:-1], at[:, 2], count))
         return pa.Table.from_batches(parts, _PACKED)
 
     return add
