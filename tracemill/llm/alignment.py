@@ -11,13 +11,15 @@ import hashlib
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from tracemill.llm import common, hashcount, tokens
 
@@ -28,6 +30,10 @@ KEEP, KEEP_CHARS, AT_ONCE = 100_000, 48, 400
 #: Spreads the first id of a pair over 32 bits, one to one, so that all pairs of an id meet in one range.
 SPREAD = np.uint64(0x9E3779B1)
 PARTS_AT_ONCE = 1 << 18
+LOWER = np.uint64(0xFFFFFFFF)
+BLOCK_CHARS = 2 << 20
+SENT = "block long, target int, hashes binary, counts binary"
+ANSWER = "block long, target int, places binary, totals binary"
 COLUMNS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -196,7 +202,7 @@ def align(lengths_a: np.ndarray, lengths_b: np.ndarray, n_a: np.ndarray, n_b: np
 
 
 class Slot:
-    """The texts of a slot as numbers of their distinct parts, and those parts encoded and aligned."""
+    """Some texts as numbers of their distinct parts, and those parts encoded and aligned."""
 
     def __init__(self, pair: TokenPair, texts: list[str | None]):
         number: dict[str, int] = {}
@@ -222,25 +228,22 @@ class Slot:
         self.n_links = np.bincount(owner[link_a], minlength=len(encoded))
         self.first = np.cumsum(self.n_links) - self.n_links
 
-    def texts_with(self) -> np.ndarray:
-        """For each distinct pair the number of texts in which it is linked; some texts at a time."""
-        total, bounds = np.zeros(len(self.keys), np.int64), np.concatenate([[0], np.cumsum(self.size)])
-        step = max(1, len(self.size) * PARTS_AT_ONCE // max(1, len(self.parts)))
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pairs of each text, with their links there: bounds by text, places in ``keys``, numbers of links."""
+        bounds, found, links, step = np.concatenate([[0], np.cumsum(self.size)]), [], [], max(1, len(self.size) * PARTS_AT_ONCE // max(1, len(self.parts)))
         for begin in range(0, len(self.size), step):
-            some = slice(bounds[begin], bounds[min(begin + step, len(self.size))])
-            parts, text = self.parts[some], np.repeat(np.arange(begin, min(begin + step, len(self.size))), self.size[begin:begin + step])
-            # parts once per text first, then their links
-            distinct = np.unique(text.astype(np.uint64) << np.uint64(32) | parts.astype(np.uint64))
-            part = (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            end = min(begin + step, len(self.size))
+            text = np.repeat(np.arange(begin, end, dtype=np.uint64), self.size[begin:end])
+            # parts once per text first, with their number, then their links
+            distinct, often = np.unique(text << np.uint64(32) | self.parts[bounds[begin]:bounds[end]].astype(np.uint64), return_counts=True)
+            part = (distinct & LOWER).astype(np.int64)
             width = self.n_links[part]
-            links = self.link[ranges(self.first[part], width)].astype(np.uint64)
-            seen = np.unique(np.repeat(distinct >> np.uint64(32), width) << np.uint64(32) | links)
-            total += np.bincount((seen & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(self.keys))
-        return total
-
-    def by_part(self, values: np.ndarray) -> np.ndarray:
-        """Values of links, summed for each part."""
-        return np.diff(np.concatenate([[0], np.cumsum(values)])[np.append(self.first, len(values))])
+            linked = np.repeat(distinct & ~LOWER, width) | self.link[ranges(self.first[part], width)].astype(np.uint64)
+            seen, back = np.unique(linked, return_inverse=True)
+            found.append(seen)
+            links.append(np.bincount(back, weights=np.repeat(often, width), minlength=len(seen)).astype(np.int64))
+        found, links = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (found, links))
+        return np.searchsorted(found >> np.uint64(32), np.arange(len(self.size) + 1)), (found & LOWER).astype(np.int64), links.astype(np.int64)
 
     def by_text(self, values: np.ndarray) -> list[int]:
         """Values of parts, summed for each text."""
@@ -269,12 +272,39 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a.astype(np.uint64) * SPREAD & np.uint64(0xFFFFFFFF)) << np.uint64(32)) | b.astype(np.uint64)
 
 
-def _send(paths: tuple[str, str], count: int):
-    def send(table: pa.Table) -> pa.Table:
-        slot = Slot(token_pair(*paths), table["text"].to_pylist())
-        texts = slot.texts_with()
-        held = np.flatnonzero(texts)
-        return hashcount.pack(table["slot"][0].as_py(), slot.keys[held], texts[held], count, np.uint64)
+def _encode(paths: tuple[str, str], schema: pa.Schema):
+    """Encode and align blocks of texts: all that does not hang on other texts, and the pairs with their links."""
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = int(TaskContext.get().partitionId()) << 32
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            for begin, end in tokens.blocks(texts, BLOCK_CHARS):
+                slot = Slot(token_pair(*paths), texts[begin:end])
+                groups = slot.groups()
+                bounds, pairs, links = slot.pairs()
+                held, pairs = np.unique(pairs, return_inverse=True)
+                rows = {
+                    "doc_id": batch["doc_id"][begin:end], "n_a": slot.by_text(slot.n_a), "n_b": slot.by_text(slot.n_b), "n_groups": slot.by_text(slot.n_groups),
+                    "n_links": slot.by_text(slot.n_links), "groups_sha256": [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], "groups": groups,
+                } | ({"payload": batch["payload"][begin:end]} if "payload" in batch.schema.names else {})
+                kinds = schema.field("texts").type.value_type
+                made = pa.StructArray.from_arrays([rows[f.name].cast(f.type) if isinstance(rows[f.name], pa.Array) else pa.array(rows[f.name], f.type) for f in kinds], fields=list(kinds))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, end - begin], pa.int32()), made).cast(schema.field("texts").type),
+                    pa.array([slot.keys[held].tobytes()], pa.binary()), pa.array([np.bincount(pairs, minlength=len(held)).astype("<u4").tobytes()], pa.binary()),
+                    pa.array([bounds.astype("<u4").tobytes()], pa.binary()), pa.array([pairs.astype("<u4").tobytes()], pa.binary()), pa.array([links.astype("<u4").tobytes()], pa.binary()),
+                ], schema=schema)
+                block += 1
+
+    return encode
+
+
+def _send(count: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, keys, counts in zip(*[batch[c].to_pylist() for c in ("block", "keys", "counts")], strict=True):
+                sent = hashcount.pack(0, np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<u4"), count, np.uint64)
+                yield from pa.table({"block": pa.array([block] * len(sent), pa.int64()), **{c: sent[c] for c in ("target", "hashes", "counts")}}).to_batches()
 
     return send
 
@@ -295,14 +325,14 @@ def count_pairs(table: pa.Table) -> pa.Table:
     highest = np.repeat(np.maximum.reduceat(total, first), np.diff(np.append(first, len(distinct))))
     best, total = (total == highest)[back], total[back]
     return pa.Table.from_pydict({
-        "slot": table["slot"].combine_chunks(), "target": table["target"].combine_chunks(),
+        "block": table["block"].combine_chunks(), "target": table["target"].combine_chunks(),
         "places": pa.array([np.packbits(best[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
         "totals": pa.array([total[a:b].astype(np.uint32 if total.max() <= hashcount.TOP else np.uint64).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
     })
 
 
 def _totals(answer: pa.Table, distinct: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Total and best bit of each of the slot's distinct keys."""
+    """Total and best bit of each of a block's distinct keys."""
     cut = np.searchsorted(hashcount.targets(distinct, count), np.arange(count + 1))
     total, best, seen = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), bool), 0
     for target, bits, counted in zip(*[answer[c].to_pylist() for c in ("target", "places", "totals")], strict=True):
@@ -311,24 +341,17 @@ def _totals(answer: pa.Table, distinct: np.ndarray, count: int) -> tuple[np.ndar
         best[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8))[:b - a]
         seen += b - a
     if seen != len(distinct):
-        raise RuntimeError("the counts of a slot do not belong to its texts: the input changed between two reads")
+        raise RuntimeError("the counts of a block do not belong to its pairs")
     return total, best
 
 
-def _score(paths: tuple[str, str], count: int, schema: pa.Schema):
+def _score(count: int, schema: pa.Schema):
     def score(table: pa.Table, answer: pa.Table) -> pa.Table:
-        slot = Slot(token_pair(*paths), table["text"].to_pylist())
-        held = np.flatnonzero(slot.texts_with())
-        total, best = np.zeros(len(slot.keys), np.int64), np.zeros(len(slot.keys), bool)
-        total[held], best[held] = _totals(answer, slot.keys[held], count)
-        groups = slot.groups()
-        made = {
-            "doc_id": table["doc_id"], "n_a": slot.by_text(slot.n_a), "n_b": slot.by_text(slot.n_b), "n_groups": slot.by_text(slot.n_groups),
-            "n_links": slot.by_text(slot.n_links), "n_best": slot.by_text(slot.by_part(best[slot.link])),
-            "count_sum": slot.by_text(slot.by_part(total[slot.link])), "groups": groups,
-            "groups_sha256": [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups],
-        } | ({"payload": table["payload"]} if "payload" in schema.names else {})
-        return pa.Table.from_arrays([c.cast(f.type) if isinstance(c := made[f.name], pa.ChunkedArray) else pa.array(c, f.type) for f in schema], schema=schema)
+        keys, bounds, pairs, links = (np.frombuffer(table[c][0].as_py(), t) for c, t in (("keys", np.uint64), ("bounds", "<u4"), ("pairs", "<u4"), ("links", "<u4")))
+        total, best = _totals(answer, keys, count)
+        texts = table["texts"].combine_chunks()[0].values
+        sums = {name: np.diff(np.concatenate([[0], np.cumsum(links * values[pairs])])[bounds]) for name, values in (("n_best", best), ("count_sum", total))}
+        return pa.Table.from_arrays([pa.array(sums[f.name], f.type) if f.name in sums else texts.field(f.name).cast(f.type) for f in schema], schema=schema)
 
     return score
 
@@ -343,18 +366,25 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, groups: bool = False
     count_sum (counts over links), groups_sha256 (of ``a1,a2|b1;a3|b2``), with ``groups`` that string itself, and the
     ``carry`` columns.
 
+    Each text is encoded once: blocks of texts are written to the shared folder with their pairs, each pair goes once per
+    block to be counted, and the counts come back to the blocks.
+
     Null and empty texts, and those whose tokens do not give back space + text byte by byte (such as texts with U+2581,
     or after normalisation), have no tokens: zeros, and '' unhashed. Repeated rows and equal ids are rows that count of
     their own; null ids are kept. An empty table gives an empty result.
     """
     count = common.partitions(docs.sparkSession)
-    slots = common.slotted(common.texts_of(docs, id_col, text_col, carry), count)
-    sent = slots.groupBy("slot").applyInArrow(_send((path_a, path_b), count), hashcount.SENT)
-    answers = sent.repartitionById(count, sent["target"]).groupBy("target").applyInArrow(count_pairs, hashcount.ANSWER)
+    texts = common.texts_of(docs, id_col, text_col, carry)
     schema = StructType.fromDDL(COLUMNS + (", groups string" if groups else ""))
     if carry:
-        schema = schema.add("payload", slots.schema["payload"].dataType)
-    out = slots.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_score((path_a, path_b), count, to_arrow_schema(schema)), schema)
+        schema = schema.add("payload", texts.schema["payload"].dataType)
+    own = StructType([f for f in schema if f.name not in ("n_best", "count_sum")])
+    blocks = StructType.fromDDL("block long, texts array<int>, keys binary, counts binary, bounds binary, pairs binary, links binary")
+    blocks["texts"].dataType = ArrayType(own)
+    stored = common.stored(texts.mapInArrow(_encode((path_a, path_b), to_arrow_schema(blocks)), blocks), "aligned")
+    sent = stored.select("block", "keys", "counts").mapInArrow(_send(count), SENT)
+    answers = sent.repartitionById(count, sent["target"]).groupBy("target").applyInArrow(count_pairs, ANSWER)
+    out = stored.drop("counts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(count, to_arrow_schema(schema)), schema)
     return common.uncarried(out, carry) if carry else out
 
 
