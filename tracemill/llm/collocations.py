@@ -25,25 +25,39 @@ UNKNOWN = "und"
 BREAKS = words.byte_class(*[(ord(c), ord(c)) for c in ".,;:!?"], (0x0A, 0x0D))
 WORD = ~(BREAKS | words.byte_class((0x20, 0x20), (0x09, 0x09)))
 #: Text counted together before it is sent; keys hashed together to choose their range.
-BLOCK_BYTES, ROUTE_BYTES = 4 << 20, 1 << 20
+BLOCK_BYTES, ROUTE_BYTES, MOVED_BYTES = 4 << 20, 1 << 20, 1 << 18
 #: Words whose counts may be sent to every task; more are joined by shuffle.
-SENT_WORDS = 2_000_000
+SENT_WORDS = 200_000
 TAB, LINE = 9, 10
 #: A key is ``lang \\t word \\t word \\t word``, the language percent-encoded; keys of a row are joined by line ends.
-PACKED = "target int, kind int, keys binary, counts binary"
+PACKED = "target int, edges binary, edges_counts binary, nodes binary, nodes_counts binary"
 GRAPH = "kind string, id long, lang string, w1 string, w2 string, w3 string, a long, flow long"
-_PACKED = pa.schema([("target", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_PACKED = pa.schema([("target", pa.int32()), *[(c, pa.binary()) for c in ("edges", "edges_counts", "nodes", "nodes_counts")]])
 _GRAPH = pa.schema([("kind", pa.string()), ("id", pa.int64()), *[(c, pa.string()) for c in ("lang", "w1", "w2", "w3")], ("a", pa.int64()), ("flow", pa.int64())])
-NODES, EDGES = 0, 1
+
+
+def move(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, out: np.ndarray, places: np.ndarray) -> None:
+    """Copy slices of one byte buffer to places of another, some at a time."""
+    begin, ends = 0, np.cumsum(sizes)
+    while begin < len(sizes):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - sizes[begin] + MOVED_BYTES, side="right")))
+        size = sizes[begin:end]
+        after = np.cumsum(size)
+        within = np.arange(after[-1]) - np.repeat(after - size, size)
+        out[within + np.repeat(places[begin:end], size)] = data[within + np.repeat(starts[begin:end], size)]
+        begin = end
+
+
+def as_keys(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
 
 
 def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """Slices of a byte buffer as an Arrow array."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    taken = data[np.arange(total) + np.repeat(starts - ends + sizes, sizes)]
-    offsets = np.concatenate([[0], ends]).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(taken.tobytes())])
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    taken = np.empty(offsets[-1], np.uint8)
+    move(data, starts, sizes, taken, offsets[:-1])
+    return as_keys(taken, offsets)
 
 
 def buffers(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,30 +96,29 @@ def routes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: int) -
     return out
 
 
-def packed(kind: int, keys: pa.Array, counts: np.ndarray, target: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per range."""
-    if not len(keys):
-        return
-    order = np.argsort(target, kind="stable")
-    keys, counts, target = keys.take(pa.array(order)), counts[order], target[order]
-    cut = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])[:len(target)])
-    data, offsets = buffers(keys)
-    rows = []
-    for a, b in zip(cut, [*cut[1:], len(target)], strict=True):
-        own = np.full(offsets[b] - offsets[a] + b - a, LINE, np.uint8)  # a line end after each key
-        own[np.arange(offsets[b] - offsets[a]) + np.repeat(np.arange(b - a), np.diff(offsets[a:b + 1]))] = data[offsets[a]:offsets[b]]
-        rows.append((int(target[a]), kind, own.tobytes(), counts[a:b].astype("<i8").tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+def packed(parts: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One row per range, from keys, counts and ranges of the edges, and of the nodes if there are any."""
+    rows: dict[int, list] = {}
+    for kind, (keys, counts, target) in enumerate(parts):
+        order = np.argsort(target, kind="stable")
+        keys, counts, target = keys.take(pa.array(order)), counts[order], target[order]
+        cut = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])[:len(target)])
+        data, offsets = buffers(keys)
+        lined = np.full(len(data[:offsets[-1]]) + len(keys), LINE, np.uint8)  # a line end after each key
+        move(data, offsets[:-1], np.diff(offsets), lined, offsets[:-1] + np.arange(len(keys)))
+        for a, b in zip(cut, [*cut[1:], len(target)], strict=True) if len(target) else ():
+            rows.setdefault(int(target[a]), [b""] * 4)[2 * kind:2 * kind + 2] = lined[offsets[a] + a:offsets[b] + b].tobytes(), counts[a:b].astype("<i8").tobytes()
+    columns = zip(*[(t, *r) for t, r in rows.items()], strict=True) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
 
 
-def unpacked(table: pa.Table, kind: int) -> tuple[pa.Array, np.ndarray]:
-    """Keys and counts of all rows of a kind."""
-    rows = table.filter(pc.equal(table["kind"], kind))
-    data = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.uint8)
-    counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), "<i8")
-    ends = np.flatnonzero(data == LINE)
-    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    return gather(data, starts, ends - starts), counts
+def unpacked(table: pa.Table, kind: str) -> tuple[pa.Array, np.ndarray]:
+    """Keys and counts of all rows."""
+    data = np.frombuffer(b"".join(table[kind].to_pylist()), np.uint8)
+    counts = np.frombuffer(b"".join(table[f"{kind}_counts"].to_pylist()), "<i8")
+    lines = data == LINE
+    offsets = np.concatenate([[0], np.flatnonzero(lines) - np.arange(len(counts))])
+    return as_keys(data[~lines], offsets), counts
 
 
 def block_edges(lang: str, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -123,8 +136,7 @@ def block_edges(lang: str, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     size = ends - starts
     place = np.cumsum(size + 2 - goes_on) - (size + 2 - goes_on)
     flat = np.full(place[-1] + size[-1] + 2, TAB, np.uint8)
-    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    flat[within + np.repeat(place, size)] = data[within + np.repeat(starts, size)]
+    move(data, starts, size, flat, place)
     last = np.arange(len(size)) + goes_on + then
     keys, counts = summed(gather(flat, place, place[last] + size[last] + 2 - goes_on - then - place))
     return pc.binary_join_element_wise(pa.scalar(f"{quote(lang, safe='')}\t".encode(), pa.large_binary()), keys, pa.scalar(b"", pa.large_binary())), counts
@@ -140,7 +152,7 @@ def _edges(count: int):
                 found = [block_edges(langs[a], batch["text"][a:b]) for a, b in zip(cut, [*cut[1:], end], strict=True)]
                 keys = pa.concat_arrays([k for k, _ in found])
                 data, offsets = buffers(keys)
-                yield from packed(EDGES, keys, np.concatenate([c for _, c in found]), routes(data, offsets[:-1], offsets[1:], count))
+                yield packed([(keys, np.concatenate([c for _, c in found]), routes(data, offsets[:-1], offsets[1:], count))])
 
     return edges
 
@@ -148,16 +160,17 @@ def _edges(count: int):
 def _sum_edges(count: int, least: int):
     """Add up the edges of one range; the flow they give their nodes, and those counted often enough, go to the nodes."""
     def add(table: pa.Table) -> pa.Table:
-        keys, counts = summed(*unpacked(table, EDGES))
+        keys, counts = summed(*unpacked(table, "edges"))
         data, offsets, at = tabs(keys)
         nodes, flow = summed(gather(data, offsets[:-1], at[:, 2] - offsets[:-1]), counts)
         node_data, node_offsets = buffers(nodes)
         often = np.flatnonzero((counts >= least) & (offsets[1:] - at[:, 2] > 1))
-        parts = list(packed(NODES, nodes, flow, routes(node_data, node_offsets[:-1], node_offsets[1:], count)))
         kept = keys.take(pa.array(often))
         data, offsets, at = tabs(kept)
-        parts += packed(EDGES, kept, counts[often], routes(data, offsets[:-1], at[:, 2], count))
-        return pa.Table.from_batches(parts, _PACKED)
+        batch = packed([
+            (kept, counts[often], routes(data, offsets[:-1], at[:, 2], count)), (nodes, flow, routes(node_data, node_offsets[:-1], node_offsets[1:], count)),
+        ])
+        return pa.Table.from_batches([batch], _PACKED)
 
     return add
 
@@ -165,11 +178,11 @@ def _sum_edges(count: int, least: int):
 def _sum_nodes(least: int):
     """Counts of the pairs of one range from their flow, its share of the counts of words, and its frequent edges."""
     def add(table: pa.Table) -> pa.Table:
-        nodes, flow = summed(*unpacked(table, NODES))
+        nodes, flow = summed(*unpacked(table, "nodes"))
         data, offsets, at = tabs(nodes)
         single, share = summed(gather(data, offsets[:-1], at[:, 1] - offsets[:-1]), flow)
         often = np.flatnonzero((flow >= least) & (offsets[1:] - at[:, 1] > 1))
-        edges, counts = unpacked(table, EDGES)
+        edges, counts = unpacked(table, "edges")
         order = pc.sort_indices(edges)  # the same numbers when a task runs again
         edges, counts = edges.take(order), counts[order.to_numpy()]
         data, offsets, at = tabs(edges)
@@ -200,9 +213,9 @@ def build_graph(docs: DataFrame, least: int = LEAST, text_col: str = "text", lan
     Rows of three kinds: ``edge`` (triples counted ``least`` times or more: a, and flow, the count of the pair it leaves),
     ``node`` (pairs counted as often: a), ``word`` (shares of the count of w1, to be added up). Languages are percent-encoded.
     """
-    count = 4 * common.partitions(docs.sparkSession)
+    count = common.partitions(docs.sparkSession)
     texts = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit(UNKNOWN)).alias("lang"), docs[text_col].alias("text"))
-    sent = texts.mapInArrow(_edges(count), PACKED)
+    sent = texts.mapInArrow(_edges(4 * count), PACKED)
     flows = sent.groupBy("target").applyInArrow(_sum_edges(count, least), PACKED)
     return common.stored(flows.groupBy("target").applyInArrow(_sum_nodes(least), GRAPH), "graph")
 
