@@ -49,5 +49,5 @@ def test_stages_return_documents(spark):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and set(queries.QUERIES) | {"pipeline"} <= names
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} and set(queries.QUERIES) | {"pipeline"} <= names
     assert set(queries.ORACLES) <= set(queries.QUERIES)

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructType
 
-from tracemill.llm import common, hashcount, tokens
+from tracemill.llm import common, hashcount, memory, tokens
 
 #: White space, then other characters, up to a space that follows one of those: neither tokenizer joins across that place.
 UNIT = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?|\s+")
 #: Parts remembered in each of two halves, those of at most so many characters; parts sent to the libraries at once.
-KEEP, KEEP_CHARS, AT_ONCE = 100_000, 48, 400
+KEEP, KEEP_CHARS, AT_ONCE = 250_000, 48, 400
 #: Spreads the first id of a pair over 32 bits, one to one, so that all pairs of an id meet in one range.
 SPREAD = np.uint64(0x9E3779B1)
 PARTS_AT_ONCE = 1 << 18
@@ -85,6 +85,8 @@ class TokenPair:
             and norm.name == "identity" and norm.add_dummy_prefix and not norm.remove_extra_whitespaces
             and not any(re.search("[^▁]▁", p) for p in pieces)
         )
+        #: ids as text with each sign that may follow in a group
+        self.names = [[np.array([f"{i}{sign}" for i in range(size)], object) for sign in signs] for size, signs in ((size_a, ",|"), (size_b, ",;"))]
         self.space = np.array([self.b.piece_to_id("▁")], "<u4").tobytes()
         self.known = tokens.Remembered(keep)
 
@@ -137,6 +139,9 @@ def token_pair(path_a: str, path_b: str) -> TokenPair:
     return TokenPair(path_a, path_b)
 
 
+memory.remembered(token_pair.cache_clear)
+
+
 def gallop(short: np.ndarray, long: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """For each value of ``short`` the first place in the ascending ``long`` that holds no less.
 
@@ -249,7 +254,7 @@ class Slot:
         """Values of parts, summed for each text."""
         return np.diff(np.concatenate([[0], np.cumsum(values[self.parts])])[np.concatenate([[0], np.cumsum(self.size)])]).tolist()
 
-    def groups(self) -> list[str]:
+    def groups(self, names: list[list[np.ndarray]]) -> list[str]:
         """``a1,a2|b1;a3|b2`` of each text, from the groups of its parts."""
         last = [np.zeros(len(ids), bool) for ids in self.ids]
         for ends, cut in zip(last, (self.cut_a, self.cut_b), strict=True):
@@ -258,8 +263,8 @@ class Slot:
         out = np.empty(size_a + size_b, object)
         before_b = np.concatenate([[0], self.cut_b + 1])
         at = np.arange(size_a) + before_b[np.cumsum(last[0]) - last[0]], np.arange(size_b) + (np.append(self.cut_a, size_a) + 1)[np.cumsum(last[1]) - last[1]]
-        for place, ids, ends, (inner, final) in zip(at, self.ids, last, (",|", ",;"), strict=True):
-            out[place] = [f"{i}{final if e else inner}" for i, e in zip(ids.tolist(), ends.tolist(), strict=True)]
+        for place, ids, ends, (inner, final) in zip(at, self.ids, last, names, strict=True):
+            out[place[~ends]], out[place[ends]] = inner[ids[~ends]], final[ids[ends]]
         bounds = np.concatenate([[0], np.cumsum(self.n_a + self.n_b)]).tolist()
         out = out.tolist()
         strings = ["".join(out[a:b])[:-1] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -279,8 +284,9 @@ def _encode(paths: tuple[str, str], schema: pa.Schema):
         for batch in batches:
             texts = batch["text"].to_pylist()
             for begin, end in tokens.blocks(texts, BLOCK_CHARS):
-                slot = Slot(token_pair(*paths), texts[begin:end])
-                groups = slot.groups()
+                pair = token_pair(*paths)
+                slot = Slot(pair, texts[begin:end])
+                groups = slot.groups(pair.names)
                 bounds, pairs, links = slot.pairs()
                 held, pairs = np.unique(pairs, return_inverse=True)
                 rows = {
@@ -381,7 +387,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, groups: bool = False
     own = StructType([f for f in schema if f.name not in ("n_best", "count_sum")])
     blocks = StructType.fromDDL("block long, texts array<int>, keys binary, counts binary, bounds binary, pairs binary, links binary")
     blocks["texts"].dataType = ArrayType(own)
-    stored = common.stored(texts.mapInArrow(_encode((path_a, path_b), to_arrow_schema(blocks)), blocks), "aligned")
+    stored = common.stored(texts.mapInArrow(memory.bounded("alignment", _encode((path_a, path_b), to_arrow_schema(blocks))), blocks), "aligned")
     sent = stored.select("block", "keys", "counts").mapInArrow(_send(count), SENT)
     answers = sent.repartitionById(count, sent["target"]).groupBy("target").applyInArrow(count_pairs, ANSWER)
     out = stored.drop("counts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(count, to_arrow_schema(schema)), schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracemill.llm import common, words
+from tracemill.llm import common, memory, words
 
 LEAST, COVER, TOP = 10, 50, 2000
 UNKNOWN = "und"
@@ -215,9 +215,9 @@ def build_graph(docs: DataFrame, least: int = LEAST, text_col: str = "text", lan
     """
     count = common.partitions(docs.sparkSession)
     texts = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit(UNKNOWN)).alias("lang"), docs[text_col].alias("text"))
-    sent = texts.mapInArrow(_edges(4 * count), PACKED)
-    flows = sent.groupBy("target").applyInArrow(_sum_edges(count, least), PACKED)
-    return common.stored(flows.groupBy("target").applyInArrow(_sum_nodes(least), GRAPH), "graph")
+    sent = texts.mapInArrow(memory.bounded("edges", _edges(4 * count)), PACKED)
+    flows = sent.groupBy("target").applyInArrow(memory.bounded("edges", _sum_edges(count, least)), PACKED)
+    return common.stored(flows.groupBy("target").applyInArrow(memory.bounded("edges", _sum_nodes(least)), GRAPH), "graph")
 
 
 def unary_paths(edges: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructType
 
-from tracemill.llm import common, words
+from tracemill.llm import common, memory, words
 
 WINDOW = 13
 #: Hit words from this share of all words on make a document contaminated: 20 * hits >= words.
@@ -63,7 +63,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = StructType.fromDDL(SEGMENT)
     if carry:
         schema = schema.add("payload", ArrayType(texts.schema["payload"].dataType))
-    return common.stored(texts.mapInArrow(_segments(bool(carry), to_arrow_schema(schema)), schema), "index")
+    return common.stored(texts.mapInArrow(memory.bounded("contamination", _segments(bool(carry), to_arrow_schema(schema))), schema), "index")
 
 
 def item_parts(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, np.ndarray]]]:
@@ -226,7 +226,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
             phrases.count(index)
             last = _search(phrases, slack)
     # the last search and the rows run in one Python process per task
-    out = state.mapInArrow((lambda batches: rows(last(batches))) if last else rows, schema)
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(last(batches) if last else batches)
+
+    out = state.mapInArrow(memory.bounded("contamination", judged), schema)
     out = out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.expr(f"n_hit > 0 AND {int(share)} * n_hit >= n_words"))
     return common.uncarried(out, carry) if carry else out
 

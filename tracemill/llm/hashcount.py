@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tracemill.llm import memory
+
 SENT = "slot int, target int, hashes binary, counts binary"
 ANSWER = "slot int, target int, places binary, totals binary"
 _SENT = pa.schema([("slot", pa.int32()), ("target", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
@@ -77,7 +79,7 @@ def count_range(width: type, totals: bool):
 
 def repeated(sent: DataFrame, ranges: int, width: type = np.uint64, totals: bool = False) -> DataFrame:
     """For each slot and range the places of hashes that occur more than once in all, with totals on request."""
-    return sent.repartitionById(ranges, sent["target"]).groupBy("target").applyInArrow(count_range(width, totals), ANSWER)
+    return sent.repartitionById(ranges, sent["target"]).groupBy("target").applyInArrow(memory.bounded(None, count_range(width, totals)), ANSWER)
 
 
 def unpack(answer: pa.Table, hashes: np.ndarray, ranges: int, totals: bool = False) -> np.ndarray:

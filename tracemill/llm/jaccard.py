@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tracemill.llm import common, hashcount, words
+from tracemill.llm import common, hashcount, memory, words
 from tracemill.llm.components import components
 
 SHINGLE = 5
@@ -164,7 +164,7 @@ def _similar(percent: int):
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_similar(percent), "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(memory.bounded("jaccard", _similar(percent)), "a long, b long")
 
 
 def link_nodes(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -219,12 +219,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     ranges = common.partitions(spark)
     slots = common.slotted(common.texts_of(docs, id_col, text_col, carry), ranges)
-    sent = slots.groupBy("slot").applyInArrow(_send(size, ranges), hashcount.SENT)
+    sent = slots.groupBy("slot").applyInArrow(memory.bounded("jaccard", _send(size, ranges)), hashcount.SENT)
     answers = hashcount.repeated(sent, ranges, np.uint32, totals=True)
     schema = StructType.fromDDL("n_shingles long, elements binary, keys array<long>, bounds array<long>, first long, second long")
     schema = StructType([slots.schema["doc_id"], *schema.fields, *([slots.schema["payload"]] if carry else [])])
     index = _index(size, percent, rare, ranges, to_arrow_schema(schema))
-    rows = common.stored(slots.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(index, schema), "sets")
+    rows = common.stored(slots.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(memory.bounded("jaccard", index), schema), "sets")
     keyed = rows.where("keys IS NOT NULL")
     one = ["first", "second", "n_shingles"]
     classes = common.stored(keyed.groupBy(*one).agg(F.min("doc_id").alias("class_id")), "classes")

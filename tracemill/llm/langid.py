@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracemill.llm import common
+from tracemill.llm import common, memory
 
 #: N-grams in a profile, of a language or a document.
 PROFILE = 400
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     texts = common.texts_of(docs, id_col, text_col, carry)
     kept = [f for f in texts.schema if keep_text or f.name != "text"]
     kinds = StructType([*kept, *StructType.fromDDL("lang_pred string, score double")])
-    out = texts.mapInArrow(predict, kinds)
+    out = texts.mapInArrow(memory.bounded("language", predict), kinds)
     return common.uncarried(out, carry) if carry else out
 
 

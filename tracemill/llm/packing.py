@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm import common, tokens
+from tracemill.llm import common, memory, tokens
 
 SIZE = 4096
 END_ID = 1
@@ -220,7 +220,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = E
     gives an empty result. The driver sees the histogram alone; the plan holds some thousand rows, bounded by ``size``.
     """
     schema = PIECE + (", ids binary" if with_ids else "")
-    pieces = common.stored(common.texts_of(docs, id_col, text_col).mapInArrow(_pieces(tokenizer_path, end_id, size, with_ids), schema), "pieces")
+    pieces = common.stored(common.texts_of(docs, id_col, text_col).mapInArrow(memory.bounded("tokens", _pieces(tokenizer_path, end_id, size, with_ids)), schema), "pieces")
     per_task = common.stored(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     counts = np.zeros(size + 1, np.int64)
     for row in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect():
@@ -232,7 +232,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = E
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     kinds = dict(ranked.dtypes)
     out = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", sequence_id long, offset long"
-    return ranked.select(*columns, "rank").mapInArrow(_placed(rows), out)
+    return ranked.select(*columns, "rank").mapInArrow(memory.bounded(None, _placed(rows)), out)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tracemill.llm import common, hashcount, words
+from tracemill.llm import common, hashcount, memory, words
 
 WIDTH = 35
 
@@ -95,11 +95,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ranges = common.partitions(spark)
     slots = common.slotted(common.texts_of(docs, id_col, text_col, carry), ranges)
-    answers = hashcount.repeated(slots.groupBy("slot").applyInArrow(_send(width, ranges), hashcount.SENT), ranges)
+    answers = hashcount.repeated(slots.groupBy("slot").applyInArrow(memory.bounded("substrings", _send(width, ranges)), hashcount.SENT), ranges)
     schema = StructType.fromDDL("text string, n_words long, n_removed long, removed array<array<int>>, kept_sha256 string")
     schema = StructType([slots.schema["doc_id"], *schema.fields, *([slots.schema["payload"]] if carry else [])])
     arrow = to_arrow_schema(schema)
-    out = slots.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_remove(width, ranges, arrow), schema)
+    out = slots.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(memory.bounded("substrings", _remove(width, ranges, arrow)), schema)
     return common.uncarried(out, carry) if carry else out
 
 

@@ -15,8 +15,10 @@ from itertools import chain
 import numpy as np
 import regex
 
+from tracemill.llm import memory
+
 BLOCK_CHARS = 1 << 20
-KEEP = 200_000
+KEEP = 150_000
 #: The split pattern and the word end of the tokenizers for which remembered parts are valid.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
@@ -147,6 +149,9 @@ def tokenizer(path: str) -> TextTokenizer:
     return TextTokenizer(path)
 
 
+memory.remembered(tokenizer.cache_clear)
+
+
 def blocks(texts: list[str | None], limit: int = BLOCK_CHARS):
     """Ranges of texts with about ``limit`` characters together, at least one text each."""
     begin, size = 0, 0

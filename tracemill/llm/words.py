@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from tracemill.llm import memory
+
 BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 LENGTH_SALT = np.uint64(0xA0761D6478BD642F)
@@ -21,6 +23,9 @@ BLOCK_BYTES = (1 << 20) - 2
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+memory.remembered(_powers.clear)
+
+
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     """A table over the 256 byte values, true for those in one of the inclusive ranges."""
     table = np.zeros(256, bool)
@@ -51,7 +56,7 @@ def powers(base: np.uint64, count: int) -> tuple[np.ndarray, np.ndarray]:
                 full[0] = 1
                 made.append(np.multiply.accumulate(full))
         kept = (made[0], made[1])
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _powers[int(base)] = kept
     return kept[0][:count], kept[1][:count]
 
