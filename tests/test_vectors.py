@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.operators import articles, vectors
+from tracemill.operators import articles, vector_index, vectors
 
 
 def clustered(count=260, dims=12, seed=5):
@@ -31,9 +31,10 @@ def brute(data, ids, k, floor, groups=None, self_ok=True):
 
 
 @pytest.mark.parametrize("floor", [None, 0.85])
-@pytest.mark.parametrize("chunk_rows", [16, 4096])
+@pytest.mark.parametrize(("chunk_rows", "sent"), [(16, 0), (4096, 0), (4096, 50_000)])
 @pytest.mark.parametrize("grouped", [False, True])
-def test_nearest_equals_brute_force(spark, floor, chunk_rows, grouped):
+def test_nearest_equals_brute_force(spark, monkeypatch, floor, chunk_rows, sent, grouped):
+    monkeypatch.setattr(vectors, "SENT_QUERIES", sent)
     data = clustered()
     groups = [0 if i % 3 else i % 5 for i in range(len(data))]
     rows = [(i, groups[i], data[i].tolist()) for i in range(len(data))]
@@ -69,3 +70,42 @@ def rows_for_supersede(spark):
 def test_supersede_takes_the_first_newer_article_after_the_gap(spark, chunk_rows):
     got = {r.article_id: r.superseded_by for r in articles.supersede(rows_for_supersede(spark), chunk_rows=chunk_rows).collect()}
     assert got == {1: 3, 2: 4, 3: 4}
+
+
+@pytest.mark.parametrize("cell_rows", [8, 4096])
+@pytest.mark.parametrize("floor", [None, 0.85])
+def test_index_equals_brute_force(spark, tmp_path, cell_rows, floor):
+    data = clustered()
+    df = spark.createDataFrame([(i, f"n{i}", data[i].tolist()) for i in range(len(data))], "id long, note string, vec array<float>").repartition(5)
+    vector_index.build(df, str(tmp_path / "index"), "id", "vec", cell_rows)
+    assert vector_index.stored_vectors(spark, str(tmp_path / "index")).select("id", "note").distinct().count() == len(data)
+    got = {}
+    for r in vector_index.search(spark, str(tmp_path / "index"), df.withColumnRenamed("id", "query_id"), 7, "id", "vec", min_score=floor).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    want = brute(data, list(range(len(data))), 7, floor)
+    for q, rows in want.items():
+        assert [(i, pytest.approx(s, abs=2e-6)) for i, s in rows] == [(i, s) for _, i, s in sorted(got.get(q, []))], q
+    few = vector_index.search(spark, str(tmp_path / "index"), df.withColumnRenamed("id", "query_id"), 7, "id", "vec", probes=2).count()
+    assert 0 < few <= sum(len(r) for r in brute(data, list(range(len(data))), 7, None).values())
+
+
+def test_index_prunes_at_the_scan(spark, tmp_path):
+    """Clusters far apart: a query reads the folders of its own cells only, and no vector is shuffled."""
+    rng = np.random.default_rng(1)
+    data = np.repeat(np.eye(12)[:8], 50, axis=0) + 0.02 * rng.normal(size=(400, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, vec array<double>")
+    vector_index.build(df, str(tmp_path / "index"), "id", "vec", 25)
+    found = vector_index.search(spark, str(tmp_path / "index"), df.where("id = 3").withColumnRenamed("id", "query_id"), 5, "id", "vec")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "coarse" in plan.split("PartitionFilters: [")[1].split("]")[0] and "cell" in plan.split("PushedFilters: [")[1]
+    read = set(found.inputFiles())
+    files = set(vector_index.stored_vectors(spark, str(tmp_path / "index")).inputFiles())
+    assert {r.id for r in found.collect()} <= set(range(50)) and found.count() == 5 and len(files) >= 2 and read <= files
+    assert vector_index.search(spark, str(tmp_path / "index"), df.limit(0).withColumnRenamed("id", "query_id"), 5, "id", "vec").count() == 0
+
+
+def test_index_of_nothing(spark, tmp_path):
+    df = spark.createDataFrame([], "id long, vec array<double>")
+    vector_index.build(df, str(tmp_path / "index"), "id", "vec")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vec array<double>")
+    assert vector_index.search(spark, str(tmp_path / "index"), asked, 5, "id", "vec").count() == 0

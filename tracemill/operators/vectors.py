@@ -2,10 +2,12 @@
 
 Nothing here pairs rows one by one. Both sides are cut into chunks of a bounded
 size; a chunk of queries and a chunk of vectors meet in one task as two
-matrices, and only the best or matching rows leave the task. When the vectors
-are many they are first grouped around pivots, and a query visits only the
-groups that can hold a match by the triangle inequality on angles, so the
-result stays exact.
+matrices, and only the best or matching rows leave the task. A counted, small
+number of queries goes to every task as one matrix instead, so that vectors are
+read where they lie and only the best rows of each partition are shuffled. When
+both sides are many the vectors are first grouped around pivots, and a query
+visits only the groups that can hold a match by the triangle inequality on
+angles, so the result stays exact.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from tracemill.operators.skew import small_side, stage, top_per
 
 CHUNK_ROWS = 4_096
 SCORE_DECIMALS = 6
+#: Queries, and numbers in their vectors, that may go to every task; more meet the vectors in chunks.
+SENT_QUERIES, SENT_NUMBERS = 50_000, 4_000_000
+#: Queries scored together against one batch of vectors, and found rows a task holds before it cuts them.
+SCORED_AT_ONCE, HELD_ROWS = 256, 500_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -108,6 +114,53 @@ def _best_rows(scores: np.ndarray, tie: np.ndarray, k: int, floor: float | None)
     return rows[chosen], cols[chosen]
 
 
+def few_queries(asked: DataFrame, vec: str) -> pd.DataFrame | None:
+    """The rows of ``asked`` if they are few enough to be sent to every task."""
+    rows = asked.limit(SENT_QUERIES + 1).toPandas()
+    return rows if len(rows) <= SENT_QUERIES and sum(len(v) for v in rows[vec]) <= SENT_NUMBERS else None
+
+
+def sent_search(
+    base: DataFrame, labels: pd.DataFrame, matrix: np.ndarray, asked: dict[tuple, np.ndarray], on: Sequence[str],
+    base_id: str, vec: str, reach: int, min_score: float | None, schema: str,
+) -> DataFrame:
+    """Best ``reach`` rows of each partition of ``base`` for each query, beside the query's row of ``labels``.
+
+    ``asked`` holds the numbers of the queries (rows of ``matrix``, of unit length) that a row with this key answers.
+    Nothing of ``base`` is shuffled; a task holds one batch and at most about HELD_ROWS found rows.
+    """
+    on = list(on)
+
+    def best(number: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((ids.astype(str) if ids.dtype == object else ids, -scores, number))
+        number, ids, scores = number[order], ids[order], scores[order]
+        first = np.arange(len(number)) - np.searchsorted(number, number, side="left") < reach
+        return number[first], ids[first], scores[first]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for pdf in batches:
+            groups = pdf.groupby(on, sort=False).indices.items() if on else [((), np.arange(len(pdf)))]
+            for key, rows in groups:
+                numbers = asked.get(key if isinstance(key, tuple) else (key,))
+                if numbers is None or not len(rows):
+                    continue
+                found, ids = unit_rows(pdf[vec].iloc[rows]), pdf[base_id].to_numpy()[rows]
+                tie = ids.astype(str) if ids.dtype == object else ids
+                for begin in range(0, len(numbers), SCORED_AT_ONCE):
+                    some = numbers[begin:begin + SCORED_AT_ONCE]
+                    scores = np.round(matrix[some] @ found.T, SCORE_DECIMALS) + 0.0
+                    at, cols = _best_rows(scores, tie, reach, min_score)
+                    held.append((some[at], ids[cols], scores[at, cols]))
+            if sum(len(h[0]) for h in held) > HELD_ROWS:
+                held = [best(*map(np.concatenate, zip(*held, strict=True)))]
+        if held:
+            number, ids, scores = best(*map(np.concatenate, zip(*held, strict=True)))
+            yield labels.iloc[number].reset_index(drop=True).assign(**{base_id: ids, "score": scores})
+
+    return base.select(*on, base_id, vec).mapInPandas(scan, schema)
+
+
 def nearest(
     queries: DataFrame, base: DataFrame, k: int, min_score: float | None = None,
     on: Sequence[str] = (), query_id: str = "query_id", base_id: str = "base_id", vec: str = "vec",
@@ -131,11 +184,21 @@ def nearest(
     if not on:
         asked, stored = asked.withColumn("_all", F.lit(0)), stored.withColumn("_all", F.lit(0))
 
+    asked_once = asked.groupBy(*keys, "_qv").agg(F.first(vec).alias(vec))
+    best_first = [F.col("score").desc(), F.col(base_id)]
+    key_fields = "".join(f"{c} {asked.schema[c].dataType.simpleString()}, " for c in keys)
+    schema = f"{key_fields}_qv string, {base_id} {id_type}, score double"
+    few = few_queries(asked_once, vec) if sendable(asked, stored, keys) else None
+    if few is not None:
+        asked_by = {k if isinstance(k, tuple) else (k,): v for k, v in few.groupby(keys, sort=False).indices.items()}
+        matrix = unit_rows(few[vec]) if len(few) else np.zeros((0, 0))
+        hits = sent_search(stored, few.drop(columns=vec), matrix, asked_by, keys, base_id, vec, reach, min_score, schema)
+        return _ranked(asked, hits, on, keys, query_id, base_id, k, reach, exclude_self)
+
     copies = top_per(stored, [*keys, "_bv"], [F.col(base_id)], reach, "_copy")
     reps = copies.groupBy(*keys, "_bv").agg(
         F.first(vec).alias(vec), F.sort_array(F.collect_list(base_id)).alias("_ids")
     )
-    asked_once = asked.groupBy(*keys, "_qv").agg(F.first(vec).alias(vec))
 
     reps, asked_once = stage(reps), stage(asked_once)
     rest = reps.where(F.size("_ids") > 1).select(
@@ -144,8 +207,6 @@ def nearest(
     lone = rest.isEmpty()
     reps = reps.withColumn("_low", F.col("_ids")[0]).drop("_ids")
     reps, asked_once, on_cell = _cells(reps, asked_once, keys, vec, reach, min_score, chunk_rows)
-    key_fields = "".join(f"{c} {asked_once.schema[c].dataType.simpleString()}, " for c in keys)
-    schema = f"{key_fields}_qv string, {base_id} {id_type}, score double"
 
     def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         scores = np.round(unit_rows(q[vec]) @ unit_rows(b[vec]).T, SCORE_DECIMALS) + 0.0
@@ -163,6 +224,17 @@ def nearest(
         hits = hits.join(small_side(rest), [*keys, base_id], "left").select(
             *keys, "_qv", "score", F.explode(F.concat(F.array(base_id), F.coalesce("_rest", none))).alias(base_id)
         )
+    return _ranked(asked, hits, on, keys, query_id, base_id, k, reach, exclude_self)
+
+
+def sendable(asked: DataFrame, stored: DataFrame, keys: Sequence[str]) -> bool:
+    """Keys can be looked up in a task if both sides hold them as the same integers or strings."""
+    kinds = [(asked.schema[c].dataType, stored.schema[c].dataType) for c in keys]
+    return all(a == b and isinstance(a, T.IntegralType | T.StringType) for a, b in kinds)
+
+
+def _ranked(asked, hits, on, keys, query_id, base_id, k, reach, exclude_self) -> DataFrame:
+    """The best hits of each distinct query, given to every query row that asked the same."""
     best_first = [F.col("score").desc(), F.col(base_id)]
     merged = top_per(hits, [*keys, "_qv"], best_first, reach)
     answered = asked.select(*keys, query_id, "_qv").join(merged, [*keys, "_qv"])

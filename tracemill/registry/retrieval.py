@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from tracemill.config import RETRIEVAL
-from tracemill.operators import retrieval
+from tracemill.operators import retrieval, vector_index
 from tracemill.operators.embedding import score_pairs, shared_words
+from tracemill.operators.skew import shared_folder
 from tracemill.operators.vectors import cosine, nearest
 from tracemill.registry import query
 from tracemill.registry.tables import cosine_sql, table
@@ -70,6 +72,19 @@ def top1(spark, sf_dir):
     return retrieval.search_cards(asked(spark, sf_dir), cards(spark, sf_dir), 5, SPEC).select("query_id", "document_id", "score", "rank")
 
 
+@query("top1_indexed_cards", f"""
+WITH {CHUNKS_SQL}, ranked AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round({cosine_sql('q.e', 'c.e')}, 6) AS score,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY round({cosine_sql('q.e', 'c.e')}, 6) DESC, c.vec_id) AS rank FROM v q, v c)
+SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 5
+""")
+def top1_indexed(spark, sf_dir):
+    """Through a stored index with small cells, so that the cells are pruned on any table."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    vector_index.build(chunks(spark, sf_dir).select("chunk_id", "embedding"), path, "chunk_id", "embedding", cell_rows=64)
+    return vector_index.search(spark, path, asked(spark, sf_dir), 5, "chunk_id", "embedding").select("query_id", "chunk_id", "score", "rank")
+
+
 TWO_TIER_SQL = f"""
 {CHUNKS_SQL}, matched AS (SELECT query_id, document_id FROM (
   SELECT q.vec_id AS query_id, c.document_id,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,13 +10,13 @@ from pyspark.sql import functions as F
 
 from tracemill.config import ARTICLES, Articles
 from tracemill.operators import articles as article_steps
+from tracemill.operators.skew import shared_folder
 from tracemill.sources.readers import decode_articles
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder (a temporary one only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tracemill-")
-    return f"{base.rstrip('/')}/flow-{uuid.uuid4().hex}"
+    """A new folder under the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/flow-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, folder: str) -> DataFrame:
