@@ -194,6 +194,15 @@ def test_nested_call_fingerprints(spark):
     assert flat.select(keys.call_fingerprint(F.col("tool"), F.col("args")).alias("v")).first().v == got[0]
 
 
+def test_fingerprint_six_levels_down(spark):
+    deep = lambda inner: f'{{"a": [{{"b": [{{"c": {inner}}}, 7]}}]}}'
+    rows = [(deep('{"y": " x ", "x": 2.000049}'), deep('{"x":2.00001,"y":"x"}'), True), (deep('{"x": 1}'), deep('{"x": 2}'), False)]
+    df = spark.createDataFrame(rows, "a string, b string, same boolean")
+    got = df.select("a", "same", keys.call_fingerprint(F.lit("t"), F.col("a")).alias("x"), keys.call_fingerprint(F.lit("t"), F.col("b")).alias("y")).collect()
+    assert all(r.same == (r.x == r.y) for r in got)
+    assert got[0].x == hashlib.sha256(("t:" + json.dumps(reference_form(json.loads(got[0].a)), sort_keys=True)).encode()).hexdigest()
+
+
 def test_correction_without_a_tool_name(spark):
     from tracemill.operators import agents
 

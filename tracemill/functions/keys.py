@@ -45,11 +45,12 @@ def _bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def canonical_json(value: Column, depth: int = 4) -> Column:
+def canonical_json(value: Column, depth: int = 6) -> Column:
     """One text for every spelling of a JSON value (a variant column), by built-ins alone.
 
     Object keys are sorted, strings trimmed, fractions rounded to four places, and lists of plain values sorted by their
-    text. Values nested deeper than ``depth`` keep their own spelling.
+    text. Objects and lists become the same kind of entries, so each level holds the next one once and the expression
+    grows with ``depth`` in proportion; deeper values keep their own spelling.
     """
     return _bound(value, lambda v: _canonical(v, depth))
 
@@ -64,27 +65,27 @@ def _canonical(value: Column, depth: int) -> Column:
     plain = F.when(kind == "STRING", _escaped(_trimmed(value))).when(kind.rlike("^(DECIMAL\\(\\d+,[^0]|DOUBLE|FLOAT)"), fraction).otherwise(F.to_json(value))
     if not depth:
         return plain
-
-    def entry(item: Column, place: Column) -> Column:
-        own = F.schema_of_variant(item)
-        text = F.when(own == "BOOLEAN", F.initcap(item.cast("string"))).when(own == "STRING", _trimmed(item))
-        return _bound(_canonical(item, depth - 1), lambda made: F.struct(
-            F.coalesce(text, made).alias("by"), place.alias("place"), made.alias("made"), own.rlike("^(OBJECT|ARRAY|VOID)").alias("nested"),
+    is_object = kind.startswith("OBJECT")
+    fields = _bound(value.try_cast("map<string,variant>"), lambda held: F.transform(
+        F.array_sort(F.map_keys(held)), lambda k: F.struct(k.alias("name"), F.element_at(held, k).alias("value"), F.lit(0).alias("place")),
+    ))
+    items = F.transform(value.try_cast("array<variant>"), lambda x, i: F.struct(F.lit(None).cast("string").alias("name"), x.alias("value"), i.cast("int").alias("place")))
+
+    def spell(entry: Column) -> Column:
+        own = F.schema_of_variant(entry["value"])
+        order = F.when(own == "BOOLEAN", F.initcap(entry["value"].cast("string"))).when(own == "STRING", _trimmed(entry["value"]))
+        return _bound(_canonical(entry["value"], depth - 1), lambda made: F.struct(
+            F.coalesce(order, made).alias("by"), entry["place"].alias("place"), own.rlike("^(OBJECT|ARRAY|VOID)").alias("nested"),
+            F.coalesce(F.concat(_escaped(entry["name"]), F.lit(": "), made), made).alias("made"),
         ))
 
-    def fields(held: Column) -> Column:
-        names = F.array_sort(F.map_keys(held))
-        values = F.transform(names, lambda k: F.element_at(held, k))
-        return F.array_join(F.zip_with(names, values, lambda k, v: F.concat(_escaped(k), F.lit(": "), _canonical(v, depth - 1))), ", ")
-
-    def items(held: Column) -> Column:
-        return F.array_join(F.transform(F.when(F.exists(held, lambda x: x["nested"]), held).otherwise(F.array_sort(held)), lambda x: x["made"]), ", ")
+    def joined(held: Column) -> Column:
+        in_order = F.when(is_object | F.exists(held, lambda x: x["nested"]), held).otherwise(F.array_sort(held))
+        body = F.array_join(F.transform(in_order, lambda x: x["made"]), ", ")
+        return F.concat(F.when(is_object, "{").otherwise("["), body, F.when(is_object, "}").otherwise("]"))
 
-    return (
-        F.when(kind.startswith("OBJECT"), F.concat(F.lit("{"), _bound(value.try_cast("map<string,variant>"), fields), F.lit("}")))
-        .when(kind.startswith("ARRAY"), F.concat(F.lit("["), _bound(F.transform(value.try_cast("array<variant>"), entry), items), F.lit("]")))
-        .otherwise(plain)
-    )
+    held = _bound(F.transform(F.when(is_object, fields).otherwise(items), spell), joined)
+    return F.when(kind.rlike("^(OBJECT|ARRAY)"), held).otherwise(plain)
 
 
 def call_fingerprint(tool: Column, args_json: Column) -> Column:
