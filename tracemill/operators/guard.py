@@ -118,9 +118,10 @@ def intent_gap(df: DataFrame, request_vec: str, action_vec: str, request: str, c
     )
 
 
-def describe_call(tool: Column, args: Column) -> Column:
-    """``tool(key=value, ...)`` with values cut at 50 characters."""
-    parts = F.transform(F.map_entries(args), lambda e: F.concat(e["key"], F.lit("="), F.substring(e["value"], 1, 50)))
+def describe_call(tool: Column, args: Column, longest: int | None = None) -> Column:
+    """``tool(key=value, ...)`` with whole values, or cut at ``longest`` characters."""
+    value = (lambda e: F.substring(e["value"], 1, longest)) if longest else lambda e: e["value"]
+    parts = F.transform(F.map_entries(args), lambda e: F.concat(e["key"], F.lit("="), value(e)))
     return F.concat(tool, F.lit("("), F.array_join(parts, ", "), F.lit(")"))
 
 

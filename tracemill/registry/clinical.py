@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracemill.config import CLINICAL
 from tracemill.functions import dates, scores, text
 from tracemill.operators import clinical, graph, retrieval
 from tracemill.plans import patients
@@ -296,7 +295,7 @@ def agg13(spark, sf_dir):
 
 @query("set2_merge_evidence", f"""
 WITH {EVIDENCE_SQL}, parts AS (SELECT patient_id, event_id, props, score, CASE WHEN source_type IN ('kg_traversal', 'rxnorm_rules') THEN 0 ELSE 1 END AS part FROM tiered),
-firsts AS (SELECT *, row_number() OVER (PARTITION BY patient_id, substr(props, 1, 100) ORDER BY part, event_id) AS r FROM parts)
+firsts AS (SELECT *, row_number() OVER (PARTITION BY patient_id, props ORDER BY part, event_id) AS r FROM parts)
 SELECT patient_id, event_id, round(score, 6) AS confidence FROM firsts WHERE r = 1
 """)
 def set2(spark, sf_dir):
@@ -491,14 +490,14 @@ def dec15(spark, sf_dir):
 
 
 @query("dec15_hybrid_warnings", f"""
-WITH {ACTIVE_SQL}, {ALIAS_SQL}, {RULES_SQL}, taken AS (SELECT DISTINCT patient_id, replace(replace(lower(name), '-', '_'), ' ', '_') AS name FROM active WHERE rank <= 20),
+WITH {ACTIVE_SQL}, {ALIAS_SQL}, {RULES_SQL}, taken AS (SELECT DISTINCT patient_id, replace(replace(lower(name), '-', '_'), ' ', '_') AS name FROM active),
 classes AS (SELECT patient_id, name AS drug_class FROM taken UNION SELECT patient_id, drug_class FROM taken JOIN aliases USING (name)),
 newest AS (SELECT patient_id, max_by(value, struct_pack(date, node_id)) AS egfr FROM lab_nodes WHERE name = 'eGFR' GROUP BY 1)
 SELECT DISTINCT c.patient_id, r.rule_id FROM classes c JOIN rules r ON r.drug_a = c.drug_class LEFT JOIN newest n ON n.patient_id = c.patient_id
 WHERE CASE WHEN metric = '' THEN EXISTS (SELECT 1 FROM classes o WHERE o.patient_id = c.patient_id AND o.drug_class = r.drug_b) ELSE coalesce(n.egfr < threshold, false) END
 """)
 def dec15_warnings(spark, sf_dir):
-    return hybrid(spark, sf_dir, CLINICAL.active_drugs)[1].select("patient_id", "rule_id")  # as its SQL
+    return hybrid(spark, sf_dir)[1].select("patient_id", "rule_id")
 
 
 @query("dec13_ingest_patients", f"""

@@ -164,10 +164,9 @@ def agg5(spark, sf_dir):
 
 RESULTS_SQL = f"""
 {OUTPUTS_SQL}, {RUNS_SQL}, {JUDGED_SQL}, {hashed_vectors_sql('ov', 'logs', 'id', 'old_output')}, {hashed_vectors_sql('nv', 'outputs', 'id', 'output')},
-sample AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_type ORDER BY md5(id || '|42'), id) AS r FROM weighted) WHERE r <= 100),
 pairs AS (
   SELECT s.*, trim(s.old_output) <> '' AND trim(coalesce(o.output, '')) <> '' AND coalesce({cosine_sql('ov.e', 'nv.e')}, 0) >= 0.95 AS skip
-  FROM sample s LEFT JOIN outputs o USING (id) LEFT JOIN ov USING (id) LEFT JOIN nv USING (id)),
+  FROM weighted s LEFT JOIN outputs o USING (id) LEFT JOIN ov USING (id) LEFT JOIN nv USING (id)),
 joined AS (
   SELECT p.*, CASE WHEN NOT skip AND conv_id % 4 > 0 AND task_type <> 'code_explanation' THEN coalesce(ro.passed / (ro.passed + ro.failed + ro.errors), 0) END AS old_rate,
          CASE WHEN NOT skip AND conv_id % 4 > 0 AND task_type <> 'code_explanation' THEN coalesce(rn.passed / (rn.passed + rn.failed + rn.errors), 0) END AS new_rate,
@@ -248,8 +247,13 @@ def dec9(spark, sf_dir):
     return card.select("decision", F.array_join("reasons", ";").alias("reasons"))
 
 
+#: The same over a sample of each task type.
+SAMPLED_SHIP_SQL = SHIP_SQL.replace("FROM weighted s", """FROM (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_type ORDER BY md5(id || '|42'), id) AS r FROM weighted) WHERE r <= 100) s""")
+
+
 @query("dec18_evaluate", f"""
-WITH {SHIP_SQL} SELECT total, regressions, improvements, CASE WHEN holds <> '' THEN 'hold' WHEN regressions = 0 THEN 'ship' ELSE 'review' END AS decision,
+WITH {SAMPLED_SHIP_SQL} SELECT total, regressions, improvements, CASE WHEN holds <> '' THEN 'hold' WHEN regressions = 0 THEN 'ship' ELSE 'review' END AS decision,
   CASE WHEN holds <> '' THEN -1 WHEN regressions = 0 THEN 1 ELSE 0 END AS decision_gauge FROM reasons
 """)
 def dec18(spark, sf_dir):
