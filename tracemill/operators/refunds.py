@@ -36,6 +36,7 @@ def candidates(
 
 def rejection(as_of: Column, owner: Column, days: int = REFUNDS.refund_days) -> Column:
     """First failing rule of a transaction, null when it is eligible."""
+    # The texts of the reasons.
     return (
         F.when(F.col("user_id") != owner, "not owned by this account")
         .when(F.col("refunded"), "already refunded")
