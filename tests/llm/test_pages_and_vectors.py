@@ -31,7 +31,7 @@ def test_pages(spark):
     found = [(r.page_id, r.text) for r in got.collect()]
     by_id = dict(found)
     assert len(found) == len(rows) and by_id[1] == TEXT and by_id[2] == TEXT and by_id[3] == TEXT
-    assert by_id[4] == "x"  # the container that wins on the host, not the page's longest text
+    assert by_id[4] == " ".join(("long other text " * 60).split())  # the host's container holds next to nothing here
     assert by_id[5] == TEXT + " tail" and by_id[7] == "" and by_id[8] == "" and by_id[None] == "plain words <"
     assert sorted(t for i, t in found if i == 9) == ["", "deep"] and by_id[10] == "a bc<"
     assert all(r.n_chars == len(r.text) for r in got.collect()) and html_extract.extract(pages.limit(0)).count() == 0
@@ -63,6 +63,52 @@ def test_a_page_of_a_second_template_keeps_its_text(spark):
     assert got == {i: " ".join(f"{long} {i}".split()) for i, _, _ in first + second}
 
 
+SHAPES = {
+    "article": "<article>{}</article>",
+    "main": "<main>{}</main>",
+    "main article": "<main id=main><article class=post>{}</article></main>",
+    "div": "<div class=content>{}</div>",
+    "nested": "<div id=page class=has-sidebar><div class='wrap'><section class='entry-content'>{}</section></div></div>",
+    "cell": "<table><tr><td class=left><a href=x>l</a></td><td class=text>{}</td></tr></table>",
+    "body": "{}",
+}
+BESIDE = [
+    "post-comments", "article-comments", "user-comments", "comment-list", "entry-share", "site-footer", "article-footer", "post-nav", "main-nav",
+    "left-sidebar", "inline-ad", "google-ads", "site-header", "related-posts", "newsletter-box", "cookie-notice", "share_buttons", "post-pagination",
+]
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize("name", BESIDE)
+def test_noise_inside_and_beside_the_container_goes(shape, name):
+    lines = [f"Line {i} of the article with some words in it." for i in range(8)]
+    noise = f"<div class='{name}'><p>text that is no part of it</p><ul><li><a href=y>more</a></ul></div>"
+    inner = "<h1>The title</h1>" + "".join(f"<p>{x}</p>" + (noise if i in (2, 7) else "") for i, x in enumerate(lines))
+    source = f"<html><body><nav>n</nav>{noise}{SHAPES[shape].format(inner)}{noise}<footer>f</footer></body></html>"
+    got = html_extract.Page(source).text(None)
+    assert got == " ".join(["The title", *lines])
+
+
+def test_titles_leads_and_halves_beside_the_container_stay():
+    text = "words of the text in its container " * 10
+    for body in (f"<h1>Title</h1><p>A lead.</p><div class=content><p>{text}</p></div>", f"<div class=page><h1>Title</h1><p>A lead.</p><article><p>{text}</p></article></div>"):
+        assert html_extract.Page(f"<body><p>above</p>{body}<div class=menu>m</div></body>").text(None) == f"Title A lead. {text.strip()}"
+    for open_, close in (("<body>", "</body>"), ("", ""), ("<body><div class=page>", "</div>")):
+        halves = f"<div class=start><p>{text}</p></div><div class=rest><p>{text[:-70]}</p></div>"
+        assert html_extract.Page(f"{open_}{halves}{close}").text(None) == f"{text.strip()} {text[:-70].strip()}"
+    two = f"<h1>Site</h1><h1>Other</h1><div class=content><p>{text}</p></div>"
+    assert html_extract.Page(f"<body>{two}</body>").text(None) == text.strip()
+    assert html_extract.Page(f"<body class=no-comments><div class='no-comments post'><p>{text}</div></body>").text(None) == text.strip()
+
+
+def test_a_page_alone_with_its_template_keeps_its_text(spark):
+    long = "words of the template " * 20
+    rows = [page("t.example", i, f"<body><div class=story><p>{long} {i}</div>") for i in range(5)]
+    rows.append(page("t.example", 9, f"<body><div class=story>box</div><section class=text><p>{long} nine</section>"))
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(f"{long} {'nine' if i == 9 else i}".split()) for i, _, _ in rows}
+
+
 def test_given_pages_keep_their_article(spark):
     import html
     import re

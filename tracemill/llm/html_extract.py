@@ -3,7 +3,7 @@
 Each page's containers are scored; the best one votes for its generalised path (tags with their class words, without
 numbers). Votes are summed per host in Spark, and every page is cut again with the path that won on its host; a page
 without such a container keeps its own best one, and so does a page of another template: one whose containers of the
-winning path hold little beside its best one, whose path other pages of the host voted for too.
+winning path hold little beside its best one. A title and a standfirst before the container belong to it.
 """
 
 from __future__ import annotations
@@ -36,9 +36,18 @@ NOISE = re.compile(
     r"pagination|pager|toolbar|copyright|legal|disclaimer|alert)(?:$|[-_ ])"
 )
 READERS = re.compile(r"(?:^| )(?:comments?|respond|replies|disqus)(?:$|[-_ ])")
+#: Names that count after other parts of a class word too (``post-comments``), unless the part before only says whether there is one.
+PREFIX = r"(?:^| )(?:(?!(?:no|has|have|with|without|hide|show|allow)[-_])[a-z0-9]+[-_]+)+"
+INNER_READERS = re.compile(PREFIX + r"(?:comments?|respond|replies|disqus)(?:$|[-_ ])")
+INNER_NOISE = re.compile(
+    PREFIX + r"(?:ads?|adverts?|advertisement|promos?|sponsors?|nav|navigation|menu|breadcrumbs?|sidebar|footer|newsletter|subscribe|signup|login|share|sharing|"
+    r"social|related|pagination|pager|toolbar|popup|modal|copyright|disclaimer)(?:$|[-_ ])|(?:^| )(?:site|page|global|top|main)[-_]header(?:$| )"
+)
 DEPTH = 100
 #: Containers of the winning path worth less than this share of the page's best one hardly hold its text.
 FAIR = 0.25
+#: A best container without this share of the page's text outside links gives way to the next one around it.
+MOST = 0.75
 TITLE_HEADER = ("article", "main")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -74,9 +83,10 @@ def general(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
     found = {name.lower(): a or b or c for name, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
     classes = [re.sub(r"[-_]?\d+", "", x.lower()) for x in html.unescape(found.get("class", "")).split()]
     named = " ".join([*classes, found.get("id", "").lower()])
-    noise = bool(NOISE.search(named)) or found.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert")
+    readers = (READERS.search(named) or INNER_READERS.search(named)) is not None
+    noise = readers or (NOISE.search(named) or INNER_NOISE.search(named)) is not None or found.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert")
     hidden = "hidden" in found or re.search(r"(?:^|\s)hidden(?:\s|$)", ATTRIBUTE.sub("", attributes)) is not None or "display:none" in found.get("style", "").replace(" ", "").lower()
-    return ".".join([tag, *sorted(set(filter(None, classes)))]), noise, READERS.search(named) is not None, hidden
+    return ".".join([tag, *sorted(set(filter(None, classes)))]), noise, readers, hidden
 
 
 def wrappers(named: list[Node], articles: list[Node], chars: int) -> frozenset[int]:
@@ -119,6 +129,7 @@ class Page:
     def _read(self, source: str, kept: frozenset[int]) -> frozenset[int]:
         """Read the page with the noise at the ``kept`` places; the places of what should be kept."""
         self.nodes: list[Node] = []
+        self.leads: list[tuple[Node, Node, str]] = []  # (element, container right around it, text) of first headings and paragraphs
         self.root = Node("", "", False, None)
         stack, quiet, buffer, links, at = [self.root], 0, [], 0, 0
         holders = [self.root]  # open containers; beyond DEPTH of them a container counts as part of its parent
@@ -128,6 +139,11 @@ class Page:
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
+                for n in reversed(stack):
+                    if n.tag in ("h1", "p"):
+                        self.leads.append((n, holders[-1], text))
+                    if n.tag in CONTAINERS or n.tag in ("h1", "p"):
+                        break
                 for n in holders:
                     n.blocks.append(text)
                     n.chars += len(text)
@@ -208,27 +224,47 @@ class Page:
         return wrappers(named, articles, chars) if named else frozenset()
 
     def best(self) -> Node:
-        """The container with the most text outside links; the deepest of equals."""
-        return max(self.nodes, key=lambda n: (_worth(n), n.path.count("/")), default=self.root)
+        """The container with the most text outside links, the deepest of equals.
+
+        If much of the page's text lies beside it and it is no article or main, the least container around it that holds most.
+        """
+        node = max(self.nodes, key=lambda n: (_worth(n), n.path.count("/")), default=self.root)
+        most, places = MOST * _plain(self.root), {id(n) for n in self.nodes}
+        while node is not self.root and node.tag not in TITLE_HEADER and _plain(node) < most:
+            node = node.parent
+            while node is not self.root and id(node) not in places:
+                node = node.parent
+        return node
 
     def text(self, path: str | None) -> str:
-        """Blocks of all containers with the path, in page order; of the page's own best one without a match."""
-        return self.texts(path)[0]
+        """Blocks of all containers with the path, in page order, after the title and standfirst before them.
 
-    def texts(self, path: str | None) -> tuple[str, str | None, str | None]:
-        """The text of :meth:`text`; path and text of the own best container if that one holds too little beside it."""
+        The page's own best container is used without a match, and where the matches hold too little beside it and it is
+        not in something named as noise that they are not in.
+        """
+        best = self.best()
         chosen = [n for n in self.nodes if n.path == path and n.blocks]
         outer = [n for n in chosen if not any(m is not n and _within(n, m) for m in chosen)]
-        best = self.best()
-        text = " ".join(" ".join(n.blocks) for n in (outer or [best]))
-        if not outer or sum(map(_worth, outer)) >= FAIR * _worth(best):
-            return text, None, None
-        return text, best.path, self.text(best.path)
+        if not outer or (sum(map(_worth, outer)) < FAIR * _worth(best) and not _noisy(best, outer)):
+            outer = [best]
+        return " ".join([*self.before(outer), *(" ".join(n.blocks) for n in outer)])
+
+    def before(self, chosen: list[Node]) -> list[str]:
+        """The page's only h1, if it lies before the chosen containers in one around them, and the paragraphs from there to them."""
+        titles = {n.begin for n, _, _ in self.leads if n.tag == "h1"}
+        if len(titles) != 1 or chosen == [self.root]:
+            return []
+        title, first = min(titles), min(n.begin for n in chosen)
+        return [text for n, around, text in self.leads if title <= n.begin < first and (around is self.root or all(_within(c, around) for c in chosen))]
+
+
+def _plain(node: Node) -> int:
+    return max(0, node.chars - 2 * node.linked)
 
 
 def _worth(node: Node) -> float:
     """Text outside links; semantic containers count double."""
-    return max(0, node.chars - 2 * node.linked) * (2.0 if node.tag == "article" else 1.5 if node.tag == "main" else 0.5 if node.tag == "body" else 1.0)
+    return _plain(node) * (2.0 if node.tag == "article" else 1.5 if node.tag == "main" else 0.5 if node.tag == "body" else 1.0)
 
 
 def _within(node: Node, other: Node) -> bool:
@@ -239,6 +275,14 @@ def _within(node: Node, other: Node) -> bool:
     return False
 
 
+def _noisy(node: Node, others: list[Node]) -> bool:
+    while node is not None:
+        if node.noise and not any(_within(o, node) for o in others):
+            return True
+        node = node.parent
+    return False
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One vote per page, summed per task."""
     for batch in batches:
@@ -255,11 +299,8 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [Page(source or "").texts(path) for source, path in zip(batch["html"].to_pylist(), batch["path"].to_pylist(), strict=True)]
-        out = batch.drop_columns(["html", "path"])
-        for name, column in zip(("text", "path", "other"), zip(*texts, strict=True) if texts else ((), (), ()), strict=True):
-            out = out.append_column(name, pa.array(column, pa.string()))
-        yield out
+        texts = [Page(source or "").text(path) for source, path in zip(batch["html"].to_pylist(), batch["path"].to_pylist(), strict=True)]
+        yield batch.drop_columns(["html", "path"]).append_column("text", pa.array(texts, pa.string()))
 
 
 def host_of(url):
@@ -270,8 +311,7 @@ def host_of(url):
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page, with the container path that wins on its host.
 
-    A page on which that path holds under FAIR of its own best container is cut with the path of that one instead, if
-    at least two pages of the host voted for it.
+    A page on which that path holds under FAIR of its own best container keeps that one instead.
 
     A null or empty page has an empty text. Pages without a host share one vote of their own. Equal votes: the first
     path. Repeated rows and null ids stay rows of their own. An empty table gives an empty result. The winners (one row
@@ -279,15 +319,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"), host_of(pages[url_col]).alias("host"))
     votes = rows.select("host", "html").mapInArrow(_votes, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    votes = common.stored(votes, "host-votes")
     winners = common.stored(votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("path")), "host-paths")
-    schema = rows.select("page_id", "url", "host").schema.add("text", "string").add("path", "string").add("other", "string")
-    cut = rows.join(winners, "host", "left").select("page_id", "url", "html", "path", "host").mapInArrow(_texts, schema)
-    # pages without another path are spread over names that no path has
-    cut = cut.withColumn("path", F.coalesce("path", F.pmod(F.xxhash64("page_id", "url"), F.lit(4096)).cast("string")))
-    shared = votes.where("votes >= 2").select("host", "path", F.lit(True).alias("shared"))
-    text = F.when(F.col("shared"), F.col("other")).otherwise(F.col("text"))
-    return cut.join(shared, ["host", "path"], "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    schema = rows.select("page_id", "url").schema.add("text", "string")
+    cut = rows.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(_texts, schema)
+    return cut.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op2_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
