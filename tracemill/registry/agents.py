@@ -12,6 +12,8 @@ from tracemill.operators import agents, metrics
 from tracemill.operators.skew import number_rows
 from tracemill.registry import query
 from tracemill.registry.tables import STEPS_SQL, steps, table
+from tracemill.sources import sinks
+from tracemill.streaming import flows
 
 # Vectors of the given table are random, so the threshold is lowered for the query to find pairs.
 VECTOR_CFG = replace(AGENTS, semantic_threshold=0.25)
@@ -208,7 +210,10 @@ FROM named
 def snk8(spark, sf_dir):
     rows = agents.signal_rows(agents.detect(fingerprinted(spark, sf_dir)))
     pairs = F.transform(F.map_entries("metadata"), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return rows.withColumn("metadata", F.array_join(pairs, ";"))
+    folder = flows.work_folder(spark)
+    for _ in range(2):  # signals that are sent again add nothing
+        sinks.append_once(rows.withColumn("metadata", F.array_join(pairs, ";")), folder, "detection")
+    return sinks.committed(spark, folder)
 
 
 @query("txt21_correction", f"""

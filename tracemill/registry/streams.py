@@ -216,7 +216,7 @@ def snk5(spark, sf_dir):
     folder = flows.work_folder(spark)
     entries = stream(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_id", "event_type", "value")
     flows.each_batch(entries, sinks.two_sinks(f"{folder}/messages", f"{folder}/rows"), folder)
-    sent = spark.read.parquet(f"{folder}/messages").select(
+    sent = sinks.committed(spark, f"{folder}/messages").select(
         F.get_json_object("value", "$.event_id").cast("bigint").alias("event_id"), F.lit("message").alias("sink")
     )
-    return sent.unionByName(spark.read.parquet(f"{folder}/rows").select("event_id", F.lit("table").alias("sink")))
+    return sent.unionByName(sinks.committed(spark, f"{folder}/rows").select("event_id", F.lit("table").alias("sink")))
