@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.operators.skew import stage
+
 GENESIS = "0" * 64
 
 
@@ -94,6 +96,63 @@ def verify_chain(log: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     return found.unionAll(ends.select("patient_id", "sequence", kind.alias("kind")).where("kind IS NOT NULL"))
 
 
+def merkle_tree(heads: DataFrame, depth: int = 4) -> DataFrame:
+    """(level, node, hash): one tree over the heads of all patients; its root seals the whole log.
+
+    A patient lies under the first hex digits of the sha256 of its id: ``depth`` digits name a lowest node, each level up
+    drops one, the root is the empty name on level 0. Nodes hash their sorted content, so the tree does not hang on row
+    order. A lowest node holds 1 / 16^depth of the patients; see :func:`merkle_depth`. No heads, no nodes.
+    """
+    low = _leaves(heads, depth).groupBy("node").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("key", "leaf"))), ""), 256).alias("hash"))
+    level = stage(low)
+    tree = level.select(F.lit(depth).alias("level"), "node", "hash")
+    for up in range(depth - 1, -1, -1):
+        parts = F.array_sort(F.collect_list(F.concat("node", "hash")))
+        level = level.groupBy(F.substring("node", 1, up).alias("parent")).agg(F.sha2(F.array_join(parts, ""), 256).alias("hash")).withColumnRenamed("parent", "node")
+        tree = tree.unionAll(level.select(F.lit(up).alias("level"), "node", "hash"))
+    return tree
+
+
+def merkle_depth(heads: DataFrame, per_node: int = 64) -> int:
+    """Levels at which a lowest node has some ``per_node`` patients. Trees are compared at the depth of the older one."""
+    nodes, depth = heads.count() / per_node, 1
+    while 16 ** depth < nodes:
+        depth += 1
+    return depth
+
+
+def _leaves(heads: DataFrame, depth: int) -> DataFrame:
+    key = F.sha2(F.col("patient_id").cast("string"), 256)
+    leaf = F.sha2(F.concat_ws("|", F.col("patient_id").cast("string"), F.col("sequence").cast("string"), "head"), 256)
+    return heads.select("patient_id", key.alias("key"), F.substring(key, 1, depth).alias("node"), leaf.alias("leaf"))
+
+
+def changed_patients(tree: DataFrame, heads: DataFrame, tree_now: DataFrame, heads_now: DataFrame, depth: int = 4) -> DataFrame:
+    """(patient_id, kind) of patients whose head changed, that are missing or that are new since ``tree`` was stored.
+
+    The trees are walked from the root: each level looks only under nodes that differ, and only patients of differing
+    lowest nodes are compared. Equal roots end the walk at once. ``heads`` may be null when only the old tree was kept:
+    all patients of now under the differing nodes are then reported as "suspect".
+    """
+    under = None
+    for level in range(depth + 1):
+        sides = [t.where(F.col("level") == level).select("node", "hash") for t in (tree, tree_now)]
+        if under is not None:
+            parents = under.withColumnRenamed("node", "parent")
+            sides = [s.withColumn("parent", F.substring("node", 1, level - 1)).join(parents, "parent", "left_semi").drop("parent") for s in sides]
+        old, now = sides
+        joined = old.withColumnRenamed("hash", "old").join(now, "node", "full")
+        under = stage(joined.where(~F.col("old").eqNullSafe(F.col("hash"))).select("node"))
+        if under.isEmpty():
+            break
+    current = _leaves(heads_now, depth).join(under, "node", "left_semi").select("patient_id", "leaf")
+    if heads is None:
+        return current.select("patient_id", F.lit("suspect").alias("kind"))
+    stored = _leaves(heads, depth).join(under, "node", "left_semi").select("patient_id", F.col("leaf").alias("stored"))
+    kind = F.when(F.col("leaf").isNull(), "missing").when(F.col("stored").isNull(), "new").when(F.col("leaf") != F.col("stored"), "changed")
+    return stored.join(current, "patient_id", "full").select("patient_id", kind.alias("kind")).where("kind IS NOT NULL")
+
+
 def list_entries(log: DataFrame, patient=None, limit: int = 100) -> DataFrame:
     """Newest entries with a shortened chain hash."""
     rows = log.where(F.col("patient_id") == patient) if patient is not None else log

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.operators import audit
+from tracemill.operators.skew import stage
 from tracemill.registry import query
 from tracemill.registry.tables import STEPS_SQL, steps
 
@@ -55,6 +56,32 @@ def win10(spark, sf_dir):
     return audit.verify_chain(tampered)
 
 
+@query("win10_global_tree", f"""
+WITH RECURSIVE {CHAIN_SQL}, heads AS (SELECT patient_id, max(sequence) AS sequence, max_by(chain_hash, sequence) AS head FROM chained GROUP BY 1),
+leaves AS (SELECT sha256(patient_id::VARCHAR) AS key, sha256(patient_id || '|' || sequence || '|' || head) AS leaf FROM heads),
+l2 AS (SELECT substr(key, 1, 2) AS node, sha256(string_agg(key || leaf, '' ORDER BY key)) AS hash FROM leaves GROUP BY 1),
+l1 AS (SELECT substr(node, 1, 1) AS node, sha256(string_agg(node || hash, '' ORDER BY node)) AS hash FROM l2 GROUP BY 1)
+SELECT 2 AS level, node, hash FROM l2 UNION ALL SELECT 1, node, hash FROM l1 UNION ALL SELECT 0, '', sha256(string_agg(node || hash, '' ORDER BY node)) FROM l1
+""")
+def win10_tree(spark, sf_dir):
+    return audit.merkle_tree(audit.chain_heads(audit.chain(entries(spark, sf_dir))), depth=2)
+
+
+@query("win10_changed_patients", f"""
+WITH {STEPS_SQL}
+SELECT DISTINCT session_id AS patient_id, CASE session_id % 10 WHEN 3 THEN 'missing' WHEN 4 THEN 'changed' ELSE 'new' END AS kind
+FROM steps WHERE session_id % 10 IN (3, 5) OR (session_id % 10 = 4 AND step = 2)
+""")
+def win10_changed(spark, sf_dir):
+    whole = stage(audit.chain_heads(audit.chain(entries(spark, sf_dir))))
+    patient = F.col("patient_id") % 10
+    # Planted: patients that came later, that were deleted whole, and whose second entry was forged with its chain rebuilt.
+    stored = whole.where(patient != 5)
+    forged = entries(spark, sf_dir).where((patient == 4)).withColumn("payload_json", F.when(F.col("sequence") == 2, F.lit("{}")).otherwise(F.col("payload_json")))
+    now = whole.where(~patient.isin(3, 4)).unionByName(audit.chain_heads(audit.chain(forged)))
+    return audit.changed_patients(audit.merkle_tree(stored, 2), stored, audit.merkle_tree(now, 2), now, 2)
+
+
 @query("top7_audit_entries", f"""
 WITH RECURSIVE {CHAIN_SQL} SELECT patient_id, sequence, substr(chain_hash, 1, 16) || '...' AS chain_hash FROM chained ORDER BY sequence DESC, entry_id LIMIT 100
 """)
