@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.config import RETRIEVAL, Retrieval
@@ -31,12 +31,55 @@ def entity_rows(docs: DataFrame, key: str, body: str, gazetteer: DataFrame, cand
     return docs.select(key, F.explode(names).alias("name")).join(known, "name").select(key, "name", "label")
 
 
-def with_entities(docs: DataFrame, key: str, body: str, gazetteer: DataFrame, **options) -> DataFrame:
+#: A word of any script, or a mark that ends a clause; names hold the same tokens, so none reaches over such a mark unseen.
+TOKEN = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*|[.!?;:,\n]"
+
+
+def tokens(body: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
+def named_spans(docs: DataFrame, key: str, body: str, gazetteer: DataFrame, capital: bool = True) -> DataFrame:
+    """(key, name, label, start, length): places, in tokens, of names of one or more words, in any case of letters.
+
+    A name found inside a longer one is left out (``Reserve`` in ``Federal Reserve``); names that only overlap both
+    stay. With ``capital`` a place begins with an upper-case letter. A text is cut once into tokens; only word runs as
+    long as some name leave it, so no text is shuffled. The gazetteer (name, label) is broadcast only when it is counted
+    to be small; a name may have several labels. Null texts and names without a word have no place; an empty gazetteer finds nothing.
+    """
+    known = gazetteer.where(F.col("label").isin(*text.ENTITY_LABELS)).select(tokens(F.col("name")).alias("_t"), "label").where(F.size("_t") > 0)
+    known = known.groupBy(F.lower(F.array_join("_t", " ")).alias("name"), F.size("_t").alias("length")).agg(F.collect_set("label").alias("labels"))
+    lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # as many as there are lengths of names
+    if not lengths:
+        return docs.select(key, *[F.lit(None).cast(t).alias(n) for n, t in (("name", "string"), ("label", "string"), ("start", "int"), ("length", "int"))]).limit(0)
+
+    def runs(found: Column) -> Column:
+        places = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
+        begins = F.filter(places, lambda i: F.get(found, i).rlike(r"^\p{Lu}" if capital else r"^[\p{L}\p{N}]"))
+        return F.flatten(F.transform(begins, lambda i: F.filter(
+            F.array(*[F.struct(i.alias("start"), F.lit(n).alias("length"), F.lower(F.array_join(F.slice(found, i + 1, n), " ")).alias("name")) for n in lengths]),
+            lambda run: i + run["length"] <= F.size(found),
+        )))
+
+    spans = docs.select(key, F.explode(text.bind(tokens(F.col(body)), runs)).alias("_r")).select(key, "_r.*")
+    hits = spans.join(small_side(known), ["name", "length"])
+    before = Window.partitionBy(key).orderBy("start", F.col("length").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("start") + F.col("length")
+    outer = hits.withColumn("_end", F.max(end).over(before)).where(F.col("_end").isNull() | (F.col("_end") < end))
+    return outer.select(key, "name", F.explode("labels").alias("label"), "start", "length")
+
+
+def phrase_rows(docs: DataFrame, key: str, body: str, gazetteer: DataFrame, capital: bool = True) -> DataFrame:
+    """(key, name, label) of :func:`named_spans`, each once: the finder of :func:`with_entities` for names of several words."""
+    return named_spans(docs, key, body, gazetteer, capital).select(key, "name", "label").distinct()
+
+
+def with_entities(docs: DataFrame, key: str, body: str, gazetteer: DataFrame, find=entity_rows, **options) -> DataFrame:
     """Documents with their entity array and its fingerprint (empty when there are none).
 
     The array of a document is bounded by the distinct names in its own text.
     """
-    grouped = entity_rows(docs, key, body, gazetteer, **options).groupBy(key).agg(
+    grouped = find(docs, key, body, gazetteer, **options).groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct(F.col("name").alias("text"), "label"))).alias("entities")
     )
     none = F.array().cast("array<struct<text:string,label:string>>")

@@ -173,6 +173,39 @@ def txt10(spark, sf_dir):
     return found.select("doc_id", "name", "label")
 
 
+PHRASES_SQL = r"""
+words AS (SELECT regexp_extract_all(text, '[\p{L}\p{N}][\p{L}\p{M}\p{N}]*|[.!?;:,\n]') AS t FROM benchmark),
+lengths AS (SELECT unnest([1, 2, 3]) AS n),
+names AS (
+  SELECT DISTINCT lower(array_to_string(t[i:i + n - 1], ' ')) AS name, n
+  FROM (SELECT t, unnest(list_filter(range(1, len(t) + 1), lambda i: regexp_matches(t[i], '^\p{Lu}'))) AS i FROM words), lengths WHERE i + n - 1 <= len(t)),
+phrases AS (SELECT name, n, ['PERSON', 'ORG', 'GPE', 'NORP', 'EVENT', 'FAC', 'LOC', 'DATE'][length(name) % 8 + 1] AS label FROM names WHERE NOT regexp_matches(name, '[.!?;:,\n]')),
+cut AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}][\p{L}\p{M}\p{N}]*|[.!?;:,\n]') AS t FROM documents),
+runs AS (
+  SELECT doc_id, i - 1 AS start, n, lower(array_to_string(t[i:i + n - 1], ' ')) AS name
+  FROM (SELECT doc_id, t, unnest(list_filter(range(1, len(t) + 1), lambda i: regexp_matches(t[i], '^\p{Lu}'))) AS i FROM cut), lengths WHERE i + n - 1 <= len(t)),
+hits AS (
+  SELECT doc_id, start, n, name, label, max(start + n) OVER (PARTITION BY doc_id ORDER BY start, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM runs JOIN phrases USING (name, n))
+"""
+
+
+def phrase_gazetteer(spark, sf_dir):
+    """Names of one to three words: runs of the benchmark texts that begin with a capital, with a label by length."""
+    labels = F.array(*[F.lit(name) for name in text.ENTITY_LABELS])
+    words = table(spark, sf_dir, "benchmark").select(documents.tokens(F.col("text")).alias("t"))
+    placed = words.select("t", F.posexplode("t").alias("i", "w")).where(F.col("w").rlike(r"^\p{Lu}"))
+    runs = F.explode(F.array(*[F.when(F.col("i") + n <= F.size("t"), F.slice("t", F.col("i") + 1, n)) for n in (1, 2, 3)]))
+    names = placed.select(runs.alias("r")).select(F.lower(F.array_join("r", " ")).alias("name")).where("name IS NOT NULL").where(~F.col("name").rlike(r"[.!?;:,\n]"))
+    return names.distinct().withColumn("label", F.element_at(labels, (F.length("name") % 8 + 1).cast("int")))
+
+
+@query("txt10_named_phrases", f"WITH {PHRASES_SQL} SELECT doc_id, start, name, label FROM hits WHERE coalesce(before, 0) < start + n")
+def txt10_phrases(spark, sf_dir):
+    found = documents.named_spans(table(spark, sf_dir, "documents"), "doc_id", "text", phrase_gazetteer(spark, sf_dir))
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), "name", "label")
+
+
 @query("txt11_fingerprint", f"WITH {GAZETTEER_SQL} SELECT doc_id, fingerprint FROM prints")
 def txt11(spark, sf_dir):
     return documents.with_entities(
