@@ -171,6 +171,15 @@ def test_the_driver_gets_no_vectors_of_labels_of_one_shard_and_few_of_others(spa
     assert len(seen) == 1 and 5 <= seen[0] < 500
 
 
+def test_thousands_of_labels_and_labels_of_text(spark):
+    vectors = np.random.default_rng(6).normal(size=(2000, 6))
+    rows = [(2 * i + k, (v * (k + 1)).tolist(), f"label {i}") for i, v in enumerate(vectors) for k in (0, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    found, audit = near_vectors.link(table)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found.collect()}
+    assert got == {i: (1, i - i % 2, i % 2 == 0) for i in range(4000)} and audit.first().recall == 1.0
+
+
 def test_pruned_lists_keep_no_neighbour_behind_a_closer_one():
     vectors = near_vectors.unit(np.random.default_rng(1).normal(size=(300, 8)))
     lists = near_vectors.pruned_lists(vectors)
