@@ -35,8 +35,8 @@ def test_language(spark, odd):
 
 def test_out_of_place_distance():
     symbol = langid._symbols([ord("a"), ord("b")])
-    codes, counts = langid.ngrams(langid.letters_of("ab, AB!"), symbol)
-    base = langid.BASE
+    base = 4
+    codes, counts = langid.ngrams(langid.letters_of("ab, AB!"), symbol, base)
     assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == {
         1: 2, 2: 2, base + 1: 2, base + base + 2: 2, base + 2 * base: 2, base + base ** 2 + base + 2: 2, base + base ** 2 + (base + 2) * base: 2,
     }
@@ -109,3 +109,20 @@ def test_words_of_blocks_match_plain_python():
                 starts, ends, bounds = words.spans(data, offsets, table)
                 got = [[bytes(data[a:b]).decode().lower() for a, b in zip(starts[x:y], ends[x:y], strict=True)] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 assert got == [[w.lower() for w in plain(t.as_py())] for t in texts[begin:end]]
+
+
+def test_languages_of_several_scripts(spark):
+    rng = np.random.default_rng(8)
+    scripts = {"cyrillic-a": (0x430, 30), "cyrillic-b": (0x430, 30), "greek-a": (0x3B1, 24), "greek-b": (0x3B1, 24), "han-a": (0x4E00, 900), "han-b": (0x4E00, 900), "latin": (0x61, 26)}
+    shares = {name: rng.dirichlet(np.full(n, 0.5)) for name, (_, n) in scripts.items()}
+
+    def text(name):
+        first, n = scripts[name]
+        return " ".join("".join(chr(first + i) for i in rng.choice(n, rng.integers(2, 8), p=shares[name])) for _ in range(80))
+
+    rows = [(i * 10 + k, text(name), name) for k, name in enumerate(scripts) for i in range(40)]
+    profiles = langid.learn(spark.createDataFrame(rows[::2], "doc_id long, text string, lang string"))
+    assert len(profiles.alphabet) > 300
+    got = langid.identify(spark.createDataFrame(rows[1::2], "doc_id long, text string, lang string").drop("lang"), profiles).collect()
+    want = {i: name for i, _, name in rows}
+    assert sum(r.lang_pred == want[r.doc_id] for r in got) >= 0.97 * len(got)

@@ -14,13 +14,13 @@ from tracemill.llm import common, memory
 
 #: N-grams in a profile, of a language or a document.
 PROFILE = 400
-LETTERS = 62
-OTHER = LETTERS + 1
-BASE = OTHER + 1
+#: Letters with at least this share of the letters of some language are symbols of their own; all others share one.
+RARE = 1e-4
 #: Labelled documents per language that profiles are learned from (about; drawn by a hash of the id).
 SAMPLE = 1500
 UNKNOWN = "und"
-SIZE = BASE + BASE ** 2 + BASE ** 3
+#: Up to this many possible n-grams are counted in a table of all, more by sorting; the counts are the same.
+DENSE = 1 << 19
 
 
 def letters_of(text: str) -> np.ndarray:
@@ -39,16 +39,16 @@ def _letter_table() -> np.ndarray:
     return _tables[0]
 
 
-def ngrams(points: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the n-grams of one to three symbols; words are padded with one blank on either side."""
+def ngrams(points: np.ndarray, symbol: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the n-grams of one to three of ``base`` symbols; words are padded with one blank on either side."""
     s = symbol[np.concatenate([[0], points, [0]])].astype(np.int64)
     s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
     a, b, c = s[:-2], s[1:-1], s[2:]
     inner = b != 0
-    codes = np.concatenate([b[inner], BASE + s[:-1] * BASE + s[1:], BASE + BASE ** 2 + (a[inner] * BASE + b[inner]) * BASE + c[inner]])
-    if len(codes) < 4000:
+    codes = np.concatenate([b[inner], base + s[:-1] * base + s[1:], base + base ** 2 + (a[inner] * base + b[inner]) * base + c[inner]])
+    if len(codes) < 4000 or base ** 3 > DENSE:
         return np.unique(codes, return_counts=True)
-    counts = np.bincount(codes, minlength=SIZE)
+    counts = np.bincount(codes)
     found = np.flatnonzero(counts)
     return found, counts[found]
 
@@ -59,7 +59,7 @@ def ranked(codes: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.nda
 
 
 def _symbols(alphabet: list[int]) -> np.ndarray:
-    table = np.where(_letter_table(), OTHER, 0).astype(np.uint8)
+    table = np.where(_letter_table(), len(alphabet) + 1, 0).astype(np.int32)
     table[alphabet] = np.arange(1, len(alphabet) + 1)
     return table
 
@@ -70,23 +70,29 @@ class Profiles:
     def __init__(self, alphabet: list[int], profiles: dict[str, np.ndarray], size: int = PROFILE):
         self.alphabet, self.size, self.languages = alphabet, size, sorted(profiles)
         self.profiles = [profiles[x] for x in self.languages]
-        self.ranks = self.symbol = None
+        self.base = len(alphabet) + 2
+        self.codes = self.ranks = self.symbol = None
 
     def prepare(self) -> None:
-        """Tables over all n-grams; made once per task, not sent."""
+        """The symbol of each letter, and the ranks of the n-grams of all profiles; made once per task, not sent."""
         self.symbol = _symbols(self.alphabet)
-        self.ranks = np.full((SIZE, len(self.languages)), self.size, np.int16)
+        self.codes = np.unique(np.concatenate([np.zeros(0, np.int64), *self.profiles]))
+        self.ranks = np.full((len(self.codes) + 1, len(self.languages)), self.size, np.int64)  # the last row: in no profile
         for column, codes in enumerate(self.profiles):
-            self.ranks[codes, column] = np.arange(len(codes))
+            self.ranks[np.searchsorted(self.codes, codes), column] = np.arange(len(codes))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language with the least distance (ties: first by name) and one minus its distance as part of the greatest."""
         points = letters_of(text or "")
         if not points.any() or not self.languages:
             return UNKNOWN, 0.0
-        top = ranked(*ngrams(points, self.symbol), self.size)
-        away = np.abs(self.ranks[top].astype(np.int64) - np.arange(len(top))[:, None])
-        away[self.ranks[top] == self.size] = self.size
+        top = ranked(*ngrams(points, self.symbol, self.base), self.size)
+        at = np.searchsorted(self.codes, top)
+        known = at < len(self.codes)
+        known[known] = self.codes[at[known]] == top[known]
+        ranks = self.ranks[np.where(known, at, len(self.codes))]
+        away = np.abs(ranks - np.arange(len(top))[:, None])
+        away[ranks == self.size] = self.size
         total = away.sum(axis=0)
         best = int(np.argmin(total))
         return self.languages[best], 1.0 - float(total[best]) / (self.size * len(top))
@@ -107,13 +113,10 @@ def _ngram_counts(alphabet: list[int]):
         for batch in batches:
             lang = batch["lang"].to_pylist()
             for name in sorted(set(lang)):
-                total = np.zeros(SIZE, np.int64)
-                for text, x in zip(batch["text"].to_pylist(), lang, strict=True):
-                    if x == name:
-                        found, counts = ngrams(letters_of(text), symbol)
-                        total[found] += counts
-                found = np.flatnonzero(total)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(found), pa.string()), "code": pa.array(found, pa.int64()), "n": pa.array(total[found], pa.int64())})
+                own = [ngrams(letters_of(t), symbol, len(alphabet) + 2) for t, x in zip(batch["text"].to_pylist(), lang, strict=True) if x == name]
+                found, place = np.unique(np.concatenate([c for c, _ in own]), return_inverse=True)
+                total = np.bincount(place, np.concatenate([n for _, n in own]), len(found)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(found), pa.string()), "code": pa.array(found, pa.int64()), "n": pa.array(total, pa.int64())})
 
     return count
 
@@ -122,6 +125,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> Pro
     """Profiles from (doc_id, text, lang) rows. Counts are summed in Spark; the driver sees the finished profiles.
 
     About ``sample`` documents a language are used, drawn by a hash of the id. Without labelled text there are none.
+    The alphabet grows with the scripts learned: each letter that is not RARE in some language (1 / RARE of them a language at most).
     """
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     drawn = common.stored(common.drawn(labelled, "lang", sample).select("text", "lang"), "language-sample")
@@ -130,8 +134,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> Pro
     kinds = "lang string, code long, n long"
     totals = drawn.mapInArrow(_letter_counts, kinds).groupBy("lang", "code").agg(F.sum("n").alias("n"))
     part = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
-    common_letters = totals.withColumn("part", part).groupBy("code").agg(F.max("part").alias("part")).orderBy(F.desc("part"), "code").limit(LETTERS)
-    alphabet = sorted(r["code"] for r in common_letters.collect())
+    alphabet = sorted(r["code"] for r in totals.withColumn("part", part).where(F.col("part") >= RARE).select("code").distinct().collect())
     counts = drawn.mapInArrow(_ngram_counts(alphabet), kinds).groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     rows = counts.withColumn("rank", order).where(F.col("rank") <= size).orderBy("lang", "rank").collect()
