@@ -82,8 +82,9 @@ FEED_SCHEMA = (
 
 
 def read_feed_files(spark: SparkSession, paths: str) -> DataFrame:
-    """Items of feed files (``<item>`` rows of XML)."""
-    return spark.read.format("xml").option("rowTag", "item").schema(FEED_SCHEMA).load(paths)
+    """Items of feed files (``<item>`` rows of XML) with their file and where in it their block begins."""
+    items = spark.read.format("xml").option("rowTag", "item").schema(FEED_SCHEMA).load(paths)
+    return items.select("*", F.col("_metadata.file_path").alias("feed_file"), F.col("_metadata.file_block_start").alias("feed_block"))
 
 
 def feed_articles(items: DataFrame, source: Column, ingest_time: Column, seen: DataFrame | None = None,
@@ -91,16 +92,20 @@ def feed_articles(items: DataFrame, source: Column, ingest_time: Column, seen: D
     """Articles from feed items: no link or no text is skipped, a URL counts once, seen URLs are skipped.
 
     Content comes before the description. The URL is used up by its first
-    item even when that item has no text.
+    item even when that item has no text. Items of :func:`read_feed_files` are
+    in the order of file name and place in the file, however the files are
+    split over tasks; others are in the order of the rows.
     """
+    place = [F.col(c).alias(f"_{c}") for c in ("feed_file", "feed_block") if c in items.columns]
     rows = items.where(F.coalesce("link", F.lit("")) != "").select(
         F.col("link").alias("url"), source.alias("source"), F.coalesce("title", F.lit("")).alias("title"),
         html_to_text(F.coalesce(F.when(F.col("content") != "", F.col("content")), "description", F.lit("")), max_chars).alias("body"),
         parse_published(F.col("pubDate"), F.col("updated"), ingest_time).alias("published_at"),
         F.coalesce("category", F.array().cast("array<string>")).alias("raw_tags"),
-        F.monotonically_increasing_id().alias("_position"),
+        *place, F.monotonically_increasing_id().alias("_position"),
     )
-    firsts = latest_per(rows, ["url"], [F.col("_position")], newest=False).drop("_position")
+    order = [c for c in rows.columns if c in ("_feed_file", "_feed_block", "_position")]
+    firsts = latest_per(rows, ["url"], [F.col(c) for c in order], newest=False).drop(*order)
     if seen is not None:
         firsts = firsts.join(seen.select("url"), "url", "left_anti")
     return firsts.where(F.col("body") != "")
