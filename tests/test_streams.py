@@ -1,5 +1,7 @@
 """Streams fed file by file give what their batch counterparts give on the whole table."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,9 +27,10 @@ def in_files(spark, df, order, folder, parts=3):
 def test_velocity_stream_equals_batch(spark):
     folder = flows.work_folder(spark)
     events = table(spark, SF_DIR, "events").select((F.col("user_id") % 4).alias("user_id"), "event_id", "ts", F.unix_timestamp("ts").cast("double").alias("o"))
-    got = flows.drain(processors.velocity_stream(in_files(spark, events, "o", folder)), folder)
+    got = flows.drain(processors.velocity_stream(in_files(spark, events, "o", folder)), folder, by_clock=True)
     want = refunds.velocity_gate(events.drop("o"))
-    assert sorted(got.collect()) == sorted(want.select("user_id", "event_id", "admitted").collect())
+    assert not got.where("late").count()
+    assert sorted(got.drop("late").collect()) == sorted(want.select("user_id", "event_id", "admitted").collect())
 
 
 def test_loop_stream_equals_batch(spark):
@@ -35,7 +38,7 @@ def test_loop_stream_equals_batch(spark):
     rows = steps(spark, SF_DIR).withColumn("args_hash", keys.call_fingerprint(F.col("tool_name"), F.col("tool_args")))
     rows = rows.withColumn("session_id", F.lit(1).cast("long")).withColumn("o", F.unix_timestamp("ts").cast("double"))
     feed = rows.select("session_id", "event_id", "ts", "args_hash", "observation", "tokens_used", "o")
-    got = flows.drain(processors.loop_stream(in_files(spark, feed, "o", folder)), folder)
+    got = flows.drain(processors.loop_stream(in_files(spark, feed, "o", folder)), folder, by_clock=True)
     from tracemill.operators.skew import number_rows
     numbered = number_rows(rows.drop("step", "o"), ["session_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("day", "ts"))
     want = agents.detect(numbered, block_rows=64).select(
@@ -50,7 +53,7 @@ def test_seen_gate_expires_and_renews(spark):
     df = spark.createDataFrame(rows, "article_id long, fingerprint string, s long").select(
         "article_id", "fingerprint", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("published_at"), F.col("s").cast("double").alias("o")
     )
-    got = flows.drain(processors.seen_gate(in_files(spark, df, "o", folder)), folder)
+    got = flows.drain(processors.seen_gate(in_files(spark, df, "o", folder)), folder, by_clock=True)
     assert {r.article_id: r.seen for r in got.collect()} == {1: False, 2: True, 3: True, 4: False, 5: True, 6: False, 7: True}
 
 
@@ -60,7 +63,7 @@ def test_once_stream_replays_and_forgets(spark):
     df = spark.createDataFrame(rows, "request_id long, idempotency_key string, amount double, s long").select(
         "request_id", "idempotency_key", "amount", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("requested_at"), F.col("s").cast("double").alias("o")
     )
-    got = flows.drain(processors.once_stream(in_files(spark, df, "o", folder, 2)), folder)
+    got = flows.drain(processors.once_stream(in_files(spark, df, "o", folder, 2)), folder, by_clock=True)
     assert {r.request_id: (r.result_request, r.replayed) for r in got.collect()} == {
         1: (1, False), 2: (1, True), 3: (1, True), 4: (4, False), 5: (4, True)}
 
@@ -74,6 +77,51 @@ def test_stall_stream_signals_once(spark):
     assert [r.exec_id for r in got.collect()] == ["a"]
 
 
+def test_stall_stream_sees_a_finish_past_the_timeout_in_the_same_batch(spark):
+    folder = flows.work_folder(spark)
+    rows = [("a", "t", "start", 0, 10.0), ("a", "", "finish", 11, 0.0), ("b", "t", "start", 0, 10.0), ("b", "", "finish", 10, 0.0), ("c", "t", "start", 5, 10.0), ("c", "", "finish", 5, 0.0)]
+    df = spark.createDataFrame(rows, "exec_id string, tool_name string, event string, s long, timeout_seconds double").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000))
+    df = df.drop("s")
+    df.coalesce(1).write.parquet(f"{folder}/in")
+    got = flows.drain(processors.stall_stream(spark.readStream.schema(df.schema).parquet(f"{folder}/in")), folder)
+    assert [(r.exec_id, r.tool_name) for r in got.collect()] == [("a", "t")]
+
+
+def late_files(spark, rows, schema, at, folder):
+    """One file a row, in the order given, whatever the times say."""
+    df = spark.createDataFrame([(*row, float(i)) for i, row in enumerate(rows)], f"{schema}, o double")
+    return in_files(spark, df.withColumn(at, F.timestamp_seconds(F.col(at) + 1_700_000_000)), "o", folder, len(rows))
+
+
+def test_late_rows_are_judged_not_dropped(spark):
+    day = 86_400
+    folder = flows.work_folder(spark)
+    feed = late_files(spark, [(1, "f", 30 * day), (2, "f", 2 * day), (3, None, 0), (4, "", 0), (5, "g", 0)], "article_id long, fingerprint string, published_at long", "published_at", folder)
+    got = flows.drain(processors.seen_gate(feed), folder, by_clock=True)
+    assert {r.article_id: (r.seen, r.late) for r in got.collect()} == {
+        1: (False, False), 2: (True, True), 3: (True, False), 4: (True, False), 5: (False, False)}
+    folder = flows.work_folder(spark)
+    feed = late_files(spark, [(7, i, s) for i, s in enumerate([5 * day] * 4 + [0, 0, 6 * day])], "user_id long, event_id long, ts long", "ts", folder)
+    got = flows.drain(processors.velocity_stream(feed), folder, by_clock=True)
+    assert {r.event_id: (r.admitted, r.late) for r in got.collect()} == {
+        **{i: (True, False) for i in range(4)}, 4: (True, True), 5: (False, True), 6: (True, False)}
+
+
+def test_once_stream_keeps_decimals_and_late_requests(spark):
+    folder = flows.work_folder(spark)
+    feed = late_files(spark, [(1, "k", Decimal("0.10"), 900_000), (2, "k", Decimal("0.20"), 0), (3, "j", Decimal("0.30"), 0)], "request_id long, idempotency_key string, amount decimal(12,2), requested_at long", "requested_at", folder)
+    got = flows.drain(processors.once_stream(feed), folder, by_clock=True)
+    assert {r.request_id: (r.result_request, r.result_amount, r.replayed, r.late) for r in got.collect()} == {
+        1: (1, Decimal("0.10"), False, False), 2: (1, Decimal("0.10"), True, True), 3: (3, Decimal("0.30"), False, False)}
+
+
+def test_loop_stream_frees_quiet_sessions(spark):
+    folder = flows.work_folder(spark)
+    feed = late_files(spark, [(s, i, i, "a", "o", 1) for i, s in enumerate([1, 2, 1])], "session_id long, event_id long, ts long, args_hash string, observation string, tokens_used long", "ts", folder)
+    got = flows.drain(processors.loop_stream(feed, idle_seconds=0), folder, by_clock=True)
+    assert sorted((r.session_id, r.step) for r in got.collect()) == [(1, 1), (1, 1), (2, 1)]
+
+
 def test_supersede_batches_equal_one_run(spark):
     folder = flows.work_folder(spark)
     rows = vector_articles(spark, SF_DIR).select("article_id", "fingerprint", "published_at", "tier", "stale", "embedding").where("not stale")

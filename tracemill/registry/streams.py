@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import keys
 from tracemill.operators.skew import previous_row
 from tracemill.registry import query
-from tracemill.registry.agents import CALLS_SQL, DETECT_SQL
+from tracemill.registry.agents import CALLS_SQL, DETECT_SQL, calls
 from tracemill.registry.articles import ARTICLES_SQL, SIMILAR_SQL, plain_articles, vector_articles
 from tracemill.registry.guard import LAYERS_SQL, layered
 from tracemill.registry.refunds import VELOCITY_SQL
@@ -55,7 +55,7 @@ SELECT article_id, fingerprint = '' OR coalesce(gap < 604800, false) AS seen FRO
 def str2(spark, sf_dir):
     folder = flows.work_folder(spark)
     rows = plain_articles(spark, sf_dir).select("article_id", "fingerprint", "published_at")
-    found = flows.drain(processors.seen_gate(replay(spark, rows, f"{folder}/in")), folder)
+    found = flows.drain(processors.seen_gate(replay(spark, rows, f"{folder}/in")), folder, by_clock=True)
     return found.select("article_id", "seen")
 
 
@@ -75,7 +75,7 @@ def str2_batch(spark, sf_dir):
 @query("str3_velocity_stream", f"WITH RECURSIVE {VELOCITY_SQL} SELECT user_id, event_id, admitted FROM gate")
 def str3(spark, sf_dir):
     requests = stream(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-    return flows.drain(processors.velocity_stream(requests), flows.work_folder(spark))
+    return flows.drain(processors.velocity_stream(requests), flows.work_folder(spark), by_clock=True).select("user_id", "event_id", "admitted")
 
 
 @query("str4_attempt_windows", """
@@ -111,7 +111,8 @@ def str5(spark, sf_dir):
         F.col("event_id").alias("request_id"), F.concat_ws(":", F.col("user_id").cast("string"), "event_type", "props").alias("idempotency_key"),
         F.col("value").alias("amount"), F.col("ts").alias("requested_at"),
     )
-    return flows.drain(processors.once_stream(requests), flows.work_folder(spark))
+    found = flows.drain(processors.once_stream(requests), flows.work_folder(spark), by_clock=True)
+    return found.select("request_id", "result_request", "result_amount", "replayed")
 
 
 @query("str6_resume", """
@@ -125,19 +126,25 @@ def str6(spark, sf_dir):
 
 
 @query("str7_stall_stream", f"""
-WITH {CALLS_SQL}, starts AS (SELECT * FROM calls WHERE event = 'start' QUALIFY row_number() OVER (PARTITION BY exec_id ORDER BY ts) = 1), mark AS (SELECT max(ts) - INTERVAL 1 MINUTE AS w FROM starts)
-SELECT exec_id, tool_name FROM starts, mark WHERE epoch_us(w) // 1000 >= CAST(floor((epoch_us(ts) + timeout_seconds * 1000000) / 1000) AS BIGINT) + 1
+WITH {CALLS_SQL}, starts AS (SELECT * FROM calls WHERE event = 'start' QUALIFY row_number() OVER (PARTITION BY exec_id ORDER BY ts, tool_name, timeout_seconds) = 1),
+ends AS (SELECT exec_id, min(f.ts) AS done FROM calls f JOIN starts s USING (exec_id) WHERE f.event = 'finish' AND f.ts >= s.ts GROUP BY 1),
+mark AS (SELECT greatest((SELECT max(ts) FROM starts), (SELECT max(done) FROM ends)) - INTERVAL 1 MINUTE AS w)
+SELECT exec_id, tool_name FROM starts LEFT JOIN ends USING (exec_id), mark
+WHERE CASE WHEN done IS NOT NULL THEN epoch_us(done) - epoch_us(ts) > timeout_seconds * 1000000
+           ELSE epoch_us(w) // 1000 >= CAST(floor((epoch_us(ts) + timeout_seconds * 1000000) / 1000) AS BIGINT) + 1 END
 """)
 def str7(spark, sf_dir):
     folder = flows.work_folder(spark)
-    kind = F.col("event_type")
-    # One start per call and no finishes: each call that is old enough gives one signal.
-    starts = table(spark, sf_dir, "events").where(kind.isin("click", "view", "error")).groupBy(
-        F.concat_ws(":", F.col("user_id").cast("string"), F.get_json_object("props", "$.k")).alias("exec_id")
-    ).agg(F.min_by(F.struct("event_type", "ts", "value"), "ts").alias("s")).select(
-        "exec_id", F.col("s.event_type").alias("tool_name"), F.lit("start").alias("event"), F.col("s.ts").alias("ts"), (F.col("s.value") * 3600).alias("timeout_seconds")
+    # The first start of each call and the first finish after it.
+    given = calls(spark, sf_dir)
+    starts = given.where("event = 'start'").groupBy("exec_id").agg(F.min(F.struct("ts", "tool_name", "timeout_seconds")).alias("s")).select(
+        "exec_id", "s.tool_name", F.lit("start").alias("event"), "s.ts", "s.timeout_seconds"
     )
-    found = flows.drain(processors.stall_stream(replay(spark, starts, f"{folder}/in")), folder)
+    ends = given.where("event = 'finish'").join(starts.select("exec_id", F.col("ts").alias("since")), "exec_id").where("ts >= since")
+    ends = ends.groupBy("exec_id").agg(F.min("ts").alias("ts")).select(
+        "exec_id", F.lit("").alias("tool_name"), F.lit("finish").alias("event"), "ts", F.lit(0.0).alias("timeout_seconds")
+    )
+    found = flows.drain(processors.stall_stream(replay(spark, starts.unionByName(ends), f"{folder}/in")), folder)
     return found.select("exec_id", "tool_name")
 
 
@@ -149,7 +156,7 @@ def str8_stream(spark, sf_dir):
         F.col("user_id").alias("session_id"), "event_id", "ts", keys.call_fingerprint(F.col("event_type"), F.col("props")).alias("args_hash"),
         F.col("props").alias("observation"), F.floor(F.col("value") * 50).cast("bigint").alias("tokens_used"),
     )
-    return flows.drain(processors.loop_stream(steps), flows.work_folder(spark))
+    return flows.drain(processors.loop_stream(steps), flows.work_folder(spark), by_clock=True)
 
 
 @query("str9_supersede_stream", f"""

@@ -19,12 +19,24 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/flow-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, folder: str) -> DataFrame:
-    """Run a stream over what is available now, resumable from its checkpoint, and read its output."""
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def drain(stream: DataFrame, folder: str, by_clock: bool = False) -> DataFrame:
+    """Run a stream over what is available now, resumable from its checkpoint, and read its output.
+
+    ``by_clock`` is for streams whose state expires by the wall clock: Spark
+    would go on with batches without rows for ever, since a timer may yet run.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(NO_DATA_BATCHES)
+    conf.set(NO_DATA_BATCHES, str(not by_clock).lower())
     running = (
         stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out")
         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
+    # The running stream keeps the settings it was started with.
+    conf.set(NO_DATA_BATCHES, before)
     running.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 

@@ -1,8 +1,13 @@
 """Keyed state machines for streams. Each gives the rows its batch counterpart gives on ordered input.
 
 Rows of one key inside one micro-batch are put in order first; micro-batches
-are bounded by the source's trigger options. Expiry compares event times, and
-an event-time timer frees the state of keys that stay quiet.
+are bounded by the source's trigger options. Decisions compare event times.
+No row is dropped as late: a row older than what its key has seen is judged at
+the newest time of the key, as a service that gets it then would judge it, and
+is marked ``late``. The state of a key that stays quiet is freed by the wall
+clock, a day after it could last matter on a stream that keeps up; a stream
+that stands still for longer forgets as the wall clock does. Only
+``stall_stream`` waits for event time and so needs a watermark.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tracemill.config import AGENTS, ARTICLES, REFUNDS, Agents, Articles, Refunds
 from tracemill.operators.refunds import admit
 
+SLACK_MS = 86_400_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -26,11 +32,11 @@ def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable")
 
 
-def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, timed: bool) -> DataFrame:
+def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "ProcessingTime") -> DataFrame:
     # Timers and composite state need the RocksDB state store.
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return df.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime" if timed else "None"
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode
     )
 
 
@@ -43,42 +49,38 @@ class _SeenGate(StatefulProcessor):
         self.life = life
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "at long")
+        self.last = handle.getValueState("last", "at long", self.life // 1_000 + SLACK_MS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _ordered(rows, ["at", "article_id"])
         last = self.last.get()[0] if self.last.exists() else None
-        seen = []
+        seen, late = [], []
         for at in pdf["at"].tolist():
-            seen.append(key[0] == "" or (last is not None and at - last < self.life))
+            late.append(last is not None and at < last)
+            at = max(at, last) if last is not None else at
+            seen.append(last is not None and at - last < self.life)
             last = at
         self.last.update((last,))
-        self.handle.registerTimer((last + self.life) // 1_000)
-        yield pd.DataFrame({"article_id": pdf["article_id"], "fingerprint": key[0], "seen": seen})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # A later row may have renewed the key since this timer was set.
-        if self.last.exists() and (self.last.get()[0] + self.life) // 1_000 <= expiredTimerInfo.getExpiryTimeInMs():
-            self.last.clear()
-        yield pd.DataFrame()
+        yield pd.DataFrame({"article_id": pdf["article_id"], "fingerprint": key[0], "seen": seen, "late": late})
 
     def close(self) -> None:
         pass
 
 
-def seen_gate(articles: DataFrame, delay: str = "1 hour", cfg: Articles = ARTICLES) -> DataFrame:
-    """(article_id, fingerprint, seen): whether a fingerprint was written within its lifetime.
+def seen_gate(articles: DataFrame, cfg: Articles = ARTICLES) -> DataFrame:
+    """(article_id, fingerprint, seen, late): whether a fingerprint was written within its lifetime.
 
     ``articles``: (article_id, fingerprint, published_at). Every write renews
-    the lifetime; an empty fingerprint always goes on to the full check.
+    the lifetime. An empty or null fingerprint always counts as seen, so that
+    it goes on to the full check; such rows pass beside the state, however many.
     """
-    rows = _micros(articles, "published_at").withWatermark("published_at", delay)
     kind = articles.schema["article_id"].dataType.simpleString()
-    return _stateful(
-        rows, "fingerprint", _SeenGate(cfg.fingerprint_ttl_seconds * 1_000_000),
-        f"article_id {kind}, fingerprint string, seen boolean", True,
+    empty = F.coalesce(F.col("fingerprint"), F.lit("")) == ""
+    kept = _stateful(
+        _micros(articles.where(~empty), "published_at"), "fingerprint", _SeenGate(cfg.fingerprint_ttl_seconds * 1_000_000),
+        f"article_id {kind}, fingerprint string, seen boolean, late boolean",
     )
+    return kept.unionByName(articles.where(empty).select("article_id", "fingerprint", F.lit(True).alias("seen"), F.lit(False).alias("late")))
 
 
 class _Velocity(StatefulProcessor):
@@ -86,73 +88,64 @@ class _Velocity(StatefulProcessor):
         self.limit, self.window = limit, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.live = handle.getValueState("live", "admitted string")
+        self.live = handle.getValueState("live", "newest long, admitted string", self.window * 1_000 + SLACK_MS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _ordered(rows, ["second", "event_id"])
-        state = json.loads(self.live.get()[0]) if self.live.exists() else []
-        granted, state = admit(state, pdf["second"], pd.Series(1, index=pdf.index), self.limit, self.window)
-        self.live.update((json.dumps(state),))
-        self.handle.registerTimer((int(pdf["second"].iloc[-1]) + self.window) * 1_000)
-        yield pd.DataFrame({"user_id": key[0], "event_id": pdf["event_id"], "admitted": [g == 1 for g in granted]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.live.get()[0]) if self.live.exists() else []
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1_000
-        if all(second <= now - self.window for second, _ in state):
-            self.live.clear()
-        yield pd.DataFrame()
+        newest, state = self.live.get() if self.live.exists() else (int(pdf["second"].iloc[0]), "[]")
+        seconds = pdf["second"].clip(lower=newest)
+        granted, state = admit(json.loads(state), seconds, pd.Series(1, index=pdf.index), self.limit, self.window)
+        self.live.update((int(seconds.iloc[-1]), json.dumps(state)))
+        yield pd.DataFrame({
+            "user_id": key[0], "event_id": pdf["event_id"], "admitted": [g == 1 for g in granted], "late": pdf["second"] < newest,
+        })
 
     def close(self) -> None:
         pass
 
 
-def velocity_stream(requests: DataFrame, delay: str = "1 hour", cfg: Refunds = REFUNDS) -> DataFrame:
-    """(user_id, event_id, admitted) of refund requests (user_id, event_id, ts)."""
-    rows = requests.withColumn("second", F.unix_timestamp("ts")).withWatermark("ts", delay)
+def velocity_stream(requests: DataFrame, cfg: Refunds = REFUNDS) -> DataFrame:
+    """(user_id, event_id, admitted, late) of refund requests (user_id, event_id, ts)."""
     user, event = (requests.schema[c].dataType.simpleString() for c in ("user_id", "event_id"))
     return _stateful(
-        rows, "user_id", _Velocity(cfg.max_per_window, cfg.window_seconds), f"user_id {user}, event_id {event}, admitted boolean", True
+        requests.withColumn("second", F.unix_timestamp("ts")), "user_id", _Velocity(cfg.max_per_window, cfg.window_seconds),
+        f"user_id {user}, event_id {event}, admitted boolean, late boolean",
     )
 
 
 class _Once(StatefulProcessor):
-    def __init__(self, life: int):
-        self.life = life
+    def __init__(self, life: int, amount: str):
+        self.life, self.amount = life, amount
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.first = handle.getValueState("first", "request_id long, amount double, at long")
+        self.first = handle.getValueState("first", f"request_id long, amount {self.amount}, at long, newest long", self.life // 1_000 + SLACK_MS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _ordered(rows, ["at", "request_id"])
         first = tuple(self.first.get()) if self.first.exists() else None
         results = []
         for request, amount, at in zip(pdf["request_id"].tolist(), pdf["amount"].tolist(), pdf["at"].tolist()):
-            replayed = first is not None and at - first[2] < self.life
-            if not replayed:
-                first = (request, amount, at)
-                self.handle.registerTimer((at + self.life) // 1_000)
-            results.append((request, first[0], first[1], replayed))
+            late = first is not None and at < first[3]
+            newest = max(at, first[3]) if first is not None else at
+            replayed = first is not None and newest - first[2] < self.life
+            first = (*first[:3], newest) if replayed else (request, amount, newest, newest)
+            results.append((request, first[0], first[1], replayed, late))
         self.first.update(first)
-        yield pd.DataFrame(results, columns=["request_id", "result_request", "result_amount", "replayed"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.first.exists() and (self.first.get()[2] + self.life) // 1_000 <= expiredTimerInfo.getExpiryTimeInMs():
-            self.first.clear()
-        yield pd.DataFrame()
+        yield pd.DataFrame(results, columns=["request_id", "result_request", "result_amount", "replayed", "late"])
 
     def close(self) -> None:
         pass
 
 
-def once_stream(requests: DataFrame, delay: str = "1 hour", cfg: Refunds = REFUNDS) -> DataFrame:
-    """Result per request (request_id long, idempotency_key, amount double, requested_at): a known key replays its first result."""
-    rows = _micros(requests, "requested_at").withWatermark("requested_at", delay)
+def once_stream(requests: DataFrame, cfg: Refunds = REFUNDS) -> DataFrame:
+    """Result per request (request_id long, idempotency_key, amount, requested_at): a known key replays its first result.
+
+    The amount keeps its type, decimals included.
+    """
+    amount = requests.schema["amount"].dataType.simpleString()
     return _stateful(
-        rows, "idempotency_key", _Once(cfg.key_memory_seconds * 1_000_000),
-        "request_id long, result_request long, result_amount double, replayed boolean", True,
+        _micros(requests, "requested_at"), "idempotency_key", _Once(cfg.key_memory_seconds * 1_000_000, amount),
+        f"request_id long, result_request long, result_amount {amount}, replayed boolean, late boolean",
     )
 
 
@@ -162,15 +155,22 @@ class _Stall(StatefulProcessor):
         self.started = handle.getValueState("started", "tool_name string, at long, timeout double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, ["at"])
+        # At one time a start comes before its finish.
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["at", "event"], ascending=[True, False], kind="stable")
+        found = []
         for event, tool, at, timeout in zip(pdf["event"], pdf["tool_name"], pdf["at"].tolist(), pdf["timeout_seconds"].tolist()):
             if event == "finish":
+                # A finish past the timeout comes too late, whether or not the timer has run by then.
+                if self.started.exists():
+                    known, since, allowed = self.started.get()
+                    if at - since > allowed * 1_000_000:
+                        found.append((key[0], known, "tool_timeout"))
                 self.started.clear()
             else:
                 self.started.update((tool, at, timeout))
                 # The first millisecond at which the age is over the timeout.
                 self.handle.registerTimer(int((at + timeout * 1_000_000) // 1_000) + 1)
-        yield pd.DataFrame()
+        yield pd.DataFrame(found, columns=["exec_id", "tool_name", "signal_type"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
@@ -189,17 +189,20 @@ class _Stall(StatefulProcessor):
 def stall_stream(calls: DataFrame, delay: str = "1 minute") -> DataFrame:
     """One signal per call whose age passed its timeout before it finished; then the call is forgotten.
 
-    ``calls``: (exec_id, tool_name, event start or finish, ts, timeout_seconds), one start per exec_id.
+    ``calls``: (exec_id, tool_name, event start or finish, ts, timeout_seconds), one start per exec_id, a finish in
+    the batch of its start or a later one. Signals wait for event time, so rows more than ``delay`` behind are left out.
     """
     rows = _micros(calls, "ts").withWatermark("ts", delay)
-    return _stateful(rows, "exec_id", _Stall(), "exec_id string, tool_name string, signal_type string", True)
+    return _stateful(rows, "exec_id", _Stall(), "exec_id string, tool_name string, signal_type string", "EventTime")
 
 
 class _Loops(StatefulProcessor):
-    def __init__(self, cfg: Agents):
-        self.cfg = cfg
+    def __init__(self, cfg: Agents, idle: int):
+        self.cfg, self.idle = cfg, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.timer = handle.getValueState("timer", "at long")
         self.short = handle.getValueState("short", "state string")
         self.first = handle.getMapState("first", "hash string", "step long")
 
@@ -234,20 +237,32 @@ class _Loops(StatefulProcessor):
                 strategy = "human_checkpoint" if s["row"] >= cfg.checkpoint_after else "force_summarize" if spent else "inject_correction"
             out.append((key[0], s["step"], ",".join(signals), s["row"], strategy))
         self.short.update((json.dumps(s),))
+        # One timer a session, moved on by every batch that has steps of it.
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+        at = timerValues.getCurrentProcessingTimeInMs() + self.idle
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
         yield pd.DataFrame(out, columns=["session_id", "step", "signals", "consecutive", "strategy"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.short, self.first, self.timer):
+            state.clear()
+        yield pd.DataFrame()
+
     def close(self) -> None:
         pass
 
 
-def loop_stream(steps: DataFrame, cfg: Agents = AGENTS) -> DataFrame:
+def loop_stream(steps: DataFrame, cfg: Agents = AGENTS, idle_seconds: int = 86_400) -> DataFrame:
     """(session_id, step, signals, consecutive, strategy) of agent steps (session_id, event_id, ts, args_hash, observation, tokens_used).
 
     Steps are numbered as they arrive. The state of a session is a few recent
-    values and the first step of each distinct output.
+    values and the first step of each distinct output; it is freed, and the
+    session begun anew, when no step came for ``idle_seconds`` of wall clock.
     """
     kind = steps.schema["session_id"].dataType.simpleString()
     return _stateful(
-        _micros(steps, "ts"), "session_id", _Loops(cfg),
-        f"session_id {kind}, step long, signals string, consecutive long, strategy string", False,
+        _micros(steps, "ts"), "session_id", _Loops(cfg, idle_seconds * 1_000),
+        f"session_id {kind}, step long, signals string, consecutive long, strategy string",
     )
