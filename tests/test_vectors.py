@@ -1,10 +1,13 @@
 """Vector search in tiny chunks and pivot cells against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.operators import articles, vector_index, vectors
+from tracemill.operators import articles, retrieval, vector_index, vectors
 
 
 def clustered(count=260, dims=12, seed=5):
@@ -109,3 +112,65 @@ def test_index_of_nothing(spark, tmp_path):
     vector_index.build(df, str(tmp_path / "index"), "id", "vec")
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vec array<double>")
     assert vector_index.search(spark, str(tmp_path / "index"), asked, 5, "id", "vec").count() == 0
+
+
+@pytest.mark.parametrize("floor", [None, 0.85])
+@pytest.mark.parametrize("chunk_rows", [1, 3, 4096])
+def test_blocks_of_any_size_equal_brute_force(spark, monkeypatch, chunk_rows, floor):
+    monkeypatch.setattr(vectors, "SENT_QUERIES", 0)
+    monkeypatch.setattr(vectors, "STRIP", 7)
+    monkeypatch.setattr(vectors, "COLUMNS", 11)
+    monkeypatch.setattr(vectors, "PIVOT_ROWS", 5)
+    data = clustered()
+    rows = [(i, data[i].tolist()) for i in range(len(data))]
+    df = spark.createDataFrame(rows, "query_id long, vec array<float>")
+    got = vectors.nearest(df, df.withColumnRenamed("query_id", "base_id"), 4, floor, exclude_self=True, chunk_rows=chunk_rows).collect()
+    found = {i: [] for i in range(len(data))}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        found[r.query_id].append((r.base_id, pytest.approx(r.score, abs=2e-6)))
+    assert brute(data, list(range(len(data))), 4, floor, self_ok=False) == found
+
+
+@pytest.mark.parametrize("floor", [None, 0.3])
+def test_a_block_holds_no_scores_of_all_its_pairs(floor):
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(24_000, 16))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    tracemalloc.start()
+    rows, cols, _ = vectors.block_best(data[:2_000], data, np.arange(len(data)), 5, floor)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # all scores would be 384 MB
+    scores = np.round(data[:50] @ data.T, 6)
+    for i in range(50):
+        assert cols[rows == i].tolist() == np.lexsort((np.arange(len(data)), -scores[i]))[:5].tolist()
+
+
+@pytest.mark.parametrize("sent", [0, 50_000])
+def test_best_chunks_over_the_documents_of_a_query(spark, monkeypatch, sent):
+    monkeypatch.setattr(vectors, "SENT_QUERIES", sent)
+    data = clustered(120)
+    df = spark.createDataFrame([(i, f"D{i % 7}", v.tolist()) for i, v in enumerate(data)], "chunk_id long, document_id string, embedding array<float>")
+    asked = df.select(F.col("chunk_id").alias("query_id"), "embedding")
+    matched = asked.select("query_id", F.explode(F.array(*[F.concat(F.lit("D"), (F.col("query_id") + i) % 7) for i in range(3)])).alias("document_id"))
+    scores = np.round(vectors.unit_rows(pd.Series(list(data))) @ vectors.unit_rows(pd.Series(list(data))).T, 6)
+    got = {}
+    for r in sorted(retrieval.search_in_documents(asked, matched, df, 6, chunk_rows=2).collect(), key=lambda r: (r.query_id, r["rank"])):
+        assert r.document_id == f"D{r.chunk_id % 7}"
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    for q in range(120):
+        mine = [c for c in range(120) if (c - q) % 7 < 3]
+        assert got[q] == sorted(mine, key=lambda c: (-scores[q, c], c))[:6]
+
+
+@pytest.mark.parametrize(("floor", "probes"), [(None, None), (0.85, None), (None, 2)])
+def test_index_takes_any_number_of_queries(spark, monkeypatch, tmp_path, floor, probes):
+    data = clustered()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, vec array<float>")
+    vector_index.build(df, str(tmp_path / "index"), "id", "vec", 8)
+    asked = df.withColumnRenamed("id", "query_id")
+    want = vector_index.search(spark, str(tmp_path / "index"), asked, 7, "id", "vec", min_score=floor, probes=probes).collect()
+    monkeypatch.setattr(vectors, "SENT_QUERIES", 3)
+    monkeypatch.setattr(vector_index, "CHUNK_ROWS", 2)
+    got = vector_index.search(spark, str(tmp_path / "index"), asked, 7, "id", "vec", min_score=floor, probes=probes).collect()
+    assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))

@@ -16,13 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.operators.vectors import CHUNK_ROWS, SENT_QUERIES, few_queries, sent_search, top_per, unit_rows
+from tracemill.operators.skew import top_per
+from tracemill.operators.vectors import BLOCK_CHUNKS, CHUNK_ROWS, SENT_HITS, STRIP, few_queries, nearest_over, sent_search, unit_rows
 
 #: Vectors from which centres are learned: on the driver for the coarse ones, per coarse centre in a task for the fine ones.
 SAMPLE = 16_384
 #: Most cells of an index; beyond that cells hold more rows, and a search prunes less.
 MOST_CELLS = 32_768
 ROUNDS = 6
+#: Most queries times cells that the driver looks at.
+SENT_ANGLES = 8_000_000
 
 
 def centres_of(vectors: np.ndarray, count: int) -> np.ndarray:
@@ -112,17 +115,17 @@ def search(
 ) -> DataFrame:
     """Top ``k`` by cosine per query from a stored index: query_id, base_id, score, rank; exact unless ``probes`` is given.
 
-    The queries go to every task as one matrix, so there may be at most SENT_QUERIES; more belong to ``nearest``. Scores
-    are rounded to six decimals and ties go to the lower id. An empty index or no query gives no rows.
+    Few queries go to every task as one matrix; more meet the cells in blocks (``_search_blocks``). Scores are rounded to
+    six decimals and ties go to the lower id. An empty index or no query gives no rows.
     """
-    asked = few_queries(queries.select(query_id, F.col(vec).alias("_vec")).distinct(), "_vec")
-    if asked is None:
-        raise ValueError(f"more than {SENT_QUERIES} queries: search them in parts or with nearest()")
+    cells = spark.read.parquet(f"{path}/cells").orderBy("cell").toPandas()
+    asked = few_queries(queries.select(query_id, F.col(vec).alias("_vec")).distinct(), "_vec", max(k, -(-SENT_HITS * len(cells) // SENT_ANGLES)))
     stored = stored_vectors(spark, path)
+    if asked is None and len(cells):
+        return _search_blocks(stored, cells, queries.select(query_id, vec).distinct(), k, base_id, vec, query_id, min_score, probes)
     kind = {n: stored.schema[n].dataType.simpleString() for n in (base_id,)} | {query_id: queries.schema[query_id].dataType.simpleString()}
     schema = f"{query_id} {kind[query_id]}, {base_id} {kind[base_id]}, score double"
-    cells = spark.read.parquet(f"{path}/cells").orderBy("cell").toPandas()
-    if not len(asked) or not len(cells):
+    if not len(cells) or not len(asked):
         return spark.createDataFrame([], schema + ", rank int")
     matrix = unit_rows(asked["_vec"])
     angle = np.arccos(np.clip(matrix @ np.vstack(cells["centre"]).T, -1.0, 1.0))
@@ -155,3 +158,49 @@ def search(
         if worst and min(worst.values()) <= 0:  # a vector without length scores 0 wherever it lies
             visit[limit >= np.pi / 2 - 1e-5] = True
     return top_per(scan(visit), [query_id], [F.col("score").desc(), F.col(base_id)], k)
+
+
+def _search_blocks(
+    stored: DataFrame, cells: pd.DataFrame, queries: DataFrame, k: int, base_id: str, vec: str, query_id: str,
+    min_score: float | None, probes: int | None,
+) -> DataFrame:
+    """The same search for any number of queries: each goes once to every block of neighbouring cells that can hold a match.
+
+    A task looks at one strip of queries and all centres. The nearest cells that hold ``k`` rows together, and their radii,
+    bound the angle of the ``k``-th best without a scan. With ``probes`` a cell is a block.
+    """
+    centres, radius, size = np.vstack(cells["centre"]), cells["radius"].to_numpy(), cells["n"].to_numpy()
+    number = np.unique(np.arange(len(cells)) if probes is not None else (np.cumsum(size) - size) // (BLOCK_CHUNKS * CHUNK_ROWS), return_inverse=True)[1]
+    first = np.flatnonzero(np.diff(number, prepend=-1))
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for begin in range(0, len(pdf), STRIP):
+                some = pdf.iloc[begin:begin + STRIP]
+                asked = unit_rows(some[vec])
+                angle = np.arccos(np.clip(asked @ centres.T, -1.0, 1.0))
+                if probes is not None:
+                    wanted = np.zeros(angle.shape, bool)
+                    np.put_along_axis(wanted, np.argsort(angle, axis=1, kind="stable")[:, :probes], True, axis=1)
+                else:
+                    if min_score is not None:
+                        limit = np.full(len(some), np.arccos(min(1.0, min_score)))
+                    else:
+                        far = angle + radius
+                        order = np.argsort(far, axis=1, kind="stable")
+                        enough = np.cumsum(size[order], axis=1) >= k
+                        last = np.take_along_axis(far, np.take_along_axis(order, enough.argmax(axis=1)[:, None], axis=1), axis=1)[:, 0]
+                        # scores are rounded, hence the margin; cosines are no finer than this near an angle of zero
+                        limit = np.where(enough[:, -1], np.minimum(last + 2e-3, np.pi), np.pi)
+                        limit[~asked.any(axis=1)] = np.pi
+                    wanted = angle - radius <= limit[:, None] + 1e-5
+                    wanted[limit >= np.pi / 2 - 1e-5] = True  # a vector without length scores 0 wherever it lies
+                    wanted = np.logical_or.reduceat(wanted, first, axis=1)
+                rows, blocks = np.nonzero(wanted)
+                yield some.iloc[rows].assign(_block=blocks)
+
+    kinds = T.StructType([*queries.schema.fields, T.StructField("_block", T.LongType())])
+    by_cell = queries.sparkSession.createDataFrame(pd.DataFrame({"cell": cells["cell"], "_block": number}), "cell long, _block long")
+    placed = stored.select("cell", base_id, vec).join(F.broadcast(by_cell), "cell").drop("cell")
+    found = nearest_over(queries.mapInPandas(visit, kinds), placed, k, min_score, ("_block",), query_id, base_id, vec)
+    return found.select(query_id, base_id, "score", "rank")
