@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import text
 from tracemill.operators import articles, documents, gate, relational
 from tracemill.operators.embedding import embed
+from tracemill.operators.skew import stage
 from tracemill.plans import ingest
 from tracemill.registry import query
 from tracemill.registry.tables import hashed_vectors_sql, table
@@ -298,7 +299,7 @@ WITH {SIMILAR_SQL}, ranked AS (
 SELECT query_id, tier, base_id, score, rank FROM ranked WHERE rank <= 5
 """)
 def joi1(spark, sf_dir):
-    rows = vector_articles(spark, sf_dir)
+    rows = stage(vector_articles(spark, sf_dir).select("article_id", "tier", "embedding"))
     return articles.similar(rows, rows).select("query_id", "tier", "base_id", "score", "rank")
 
 
@@ -308,7 +309,7 @@ WITH {SIMILAR_SQL}, ranked AS (
 SELECT query_id, base_id, score, rank FROM ranked WHERE rank <= 20
 """)
 def joi2(spark, sf_dir):
-    rows = vector_articles(spark, sf_dir)
+    rows = stage(vector_articles(spark, sf_dir).select("article_id", "fingerprint", "embedding"))
     asked = rows.select(F.col("article_id").alias("query_id"), F.array("fingerprint").alias("fingerprints"), "embedding")
     return articles.similar_by_entities(asked, rows, min_score=0.3).select("query_id", "base_id", "score", "rank")
 
