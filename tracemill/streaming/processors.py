@@ -17,7 +17,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,6 +27,10 @@ from tracemill.operators.refunds import admit
 SLACK_MS = 86_400_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Rows that the processors give, by name.
+SEEN = Row("article_id", "fingerprint", "seen", "late")
+STALL = Row("exec_id", "tool_name", "signal_type")
+
 
 def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable")
@@ -40,6 +44,12 @@ def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str
     )
 
 
+def _stateful_rows(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "ProcessingTime") -> DataFrame:
+    """For many keys of a few rows each: rows instead of tables, which cost more to make than to judge."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return df.groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode)
+
+
 def _micros(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn("at", F.unix_micros(ts))
 
@@ -51,17 +61,14 @@ class _SeenGate(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "at long", self.life // 1_000 + SLACK_MS)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, ["at", "article_id"])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         last = self.last.get()[0] if self.last.exists() else None
-        seen, late = [], []
-        for at in pdf["at"].tolist():
-            late.append(last is not None and at < last)
-            at = max(at, last) if last is not None else at
-            seen.append(last is not None and at - last < self.life)
+        for row in sorted(rows, key=lambda r: (r["at"], r["article_id"])):
+            late = last is not None and row["at"] < last
+            at = max(row["at"], last) if last is not None else row["at"]
+            yield SEEN(row["article_id"], key[0], last is not None and at - last < self.life, late)
             last = at
         self.last.update((last,))
-        yield pd.DataFrame({"article_id": pdf["article_id"], "fingerprint": key[0], "seen": seen, "late": late})
 
     def close(self) -> None:
         pass
@@ -76,8 +83,8 @@ def seen_gate(articles: DataFrame, cfg: Articles = ARTICLES) -> DataFrame:
     """
     kind = articles.schema["article_id"].dataType.simpleString()
     empty = F.coalesce(F.col("fingerprint"), F.lit("")) == ""
-    kept = _stateful(
-        _micros(articles.where(~empty), "published_at"), "fingerprint", _SeenGate(cfg.fingerprint_ttl_seconds * 1_000_000),
+    kept = _stateful_rows(
+        _micros(articles.where(~empty), "published_at").select("fingerprint", "article_id", "at"), "fingerprint", _SeenGate(cfg.fingerprint_ttl_seconds * 1_000_000),
         f"article_id {kind}, fingerprint string, seen boolean, late boolean",
     )
     return kept.unionByName(articles.where(empty).select("article_id", "fingerprint", F.lit(True).alias("seen"), F.lit(False).alias("late")))
@@ -154,33 +161,31 @@ class _Stall(StatefulProcessor):
         self.handle = handle
         self.started = handle.getValueState("started", "tool_name string, at long, timeout double")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        started, now = self.started.get() if self.started.exists() else None, False
         # At one time a start comes before its finish.
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["at", "event"], ascending=[True, False], kind="stable")
-        found = []
-        for event, tool, at, timeout in zip(pdf["event"], pdf["tool_name"], pdf["at"].tolist(), pdf["timeout_seconds"].tolist()):
-            if event == "finish":
+        for row in sorted(rows, key=lambda r: (r["at"], r["event"] == "finish")):
+            if row["event"] == "finish":
                 # A finish past the timeout comes too late, whether or not the timer has run by then.
-                if self.started.exists():
-                    known, since, allowed = self.started.get()
-                    if at - since > allowed * 1_000_000:
-                        found.append((key[0], known, "tool_timeout"))
-                self.started.clear()
+                if started is not None and row["at"] - started[1] > started[2] * 1_000_000:
+                    yield STALL(key[0], started[0], "tool_timeout")
+                started = None
             else:
-                self.started.update((tool, at, timeout))
+                started, now = (row["tool_name"], row["at"], row["timeout_seconds"]), True
                 # The first millisecond at which the age is over the timeout.
-                self.handle.registerTimer(int((at + timeout * 1_000_000) // 1_000) + 1)
-        yield pd.DataFrame(found, columns=["exec_id", "tool_name", "signal_type"])
+                self.handle.registerTimer(int((row["at"] + row["timeout_seconds"] * 1_000_000) // 1_000) + 1)
+        if started is None:
+            self.started.clear()
+        elif now:
+            self.started.update(started)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        found = []
         if self.started.exists():
             tool, at, timeout = self.started.get()
             if now * 1_000 - at > timeout * 1_000_000:
-                found.append((key[0], tool, "tool_timeout"))
                 self.started.clear()
-        yield pd.DataFrame(found, columns=["exec_id", "tool_name", "signal_type"])
+                yield STALL(key[0], tool, "tool_timeout")
 
     def close(self) -> None:
         pass
@@ -193,7 +198,7 @@ def stall_stream(calls: DataFrame, delay: str = "1 minute") -> DataFrame:
     the batch of its start or a later one. Signals wait for event time, so rows more than ``delay`` behind are left out.
     """
     rows = _micros(calls, "ts").withWatermark("ts", delay)
-    return _stateful(rows, "exec_id", _Stall(), "exec_id string, tool_name string, signal_type string", "EventTime")
+    return _stateful_rows(rows, "exec_id", _Stall(), "exec_id string, tool_name string, signal_type string", "EventTime")
 
 
 class _Loops(StatefulProcessor):
