@@ -115,6 +115,14 @@ def test_once_stream_keeps_decimals_and_late_requests(spark):
         1: (1, Decimal("0.10"), False, False), 2: (1, Decimal("0.10"), True, True), 3: (3, Decimal("0.30"), False, False)}
 
 
+def test_once_stream_takes_requests_without_time_in_any_batch(spark):
+    folder = flows.work_folder(spark)
+    feed = late_files(spark, [(1, "k", 1.0, None), (2, "k", 2.0, None), (3, "k", 3.0, 0), (4, "k", 4.0, 5)], "request_id long, idempotency_key string, amount double, requested_at long", "requested_at", folder)
+    got = flows.drain(processors.once_stream(feed), folder, by_clock=True)
+    assert {r.request_id: (r.result_request, r.replayed, r.late) for r in got.collect()} == {
+        1: (1, False, False), 2: (2, False, False), 3: (3, False, False), 4: (3, True, False)}
+
+
 def test_loop_stream_frees_quiet_sessions(spark):
     folder = flows.work_folder(spark)
     feed = late_files(spark, [(s, i, i, "a", "o", 1) for i, s in enumerate([1, 2, 1])], "session_id long, event_id long, ts long, args_hash string, observation string, tokens_used long", "ts", folder)

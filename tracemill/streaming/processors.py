@@ -30,12 +30,21 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 #: Rows that the processors give, by name.
 SEEN = Row("article_id", "fingerprint", "seen", "late")
 STALL = Row("exec_id", "tool_name", "signal_type")
+ONCE = Row("request_id", "result_request", "result_amount", "replayed", "late")
 
 
 def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable")
 
 
+def _in_order(rows: Iterator[Row], *columns: str) -> list[tuple]:
+    """The given columns of rows, sorted by the first two (time and id), nulls last."""
+    def place(row: tuple) -> tuple:
+        return row[0] is None, row[0] or 0, row[1] is None, row[1] or 0
+
+    return sorted((tuple(r[c] for c in columns) for r in rows), key=place)
+
+
 def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "ProcessingTime") -> DataFrame:
     # Timers and composite state need the RocksDB state store.
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
@@ -127,18 +136,17 @@ class _Once(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("first", f"request_id long, amount {self.amount}, at long, newest long", self.life // 1_000 + SLACK_MS)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, ["at", "request_id"])
-        first = tuple(self.first.get()) if self.first.exists() else None
-        results = []
-        for request, amount, at in zip(pdf["request_id"].tolist(), pdf["amount"].tolist(), pdf["at"].tolist()):
-            late = first is not None and at < first[3]
-            newest = max(at, first[3]) if first is not None else at
-            replayed = first is not None and newest - first[2] < self.life
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first = tuple(self.first.get() or ()) or None
+        for at, request, amount in _in_order(rows, "at", "request_id", "amount"):
+            # A request without time comes last, replays nothing, and what it leaves is replayed by none.
+            timed = first is not None and first[2] is not None and at is not None
+            late = timed and at < first[3]
+            newest = max(at, first[3]) if timed else at
+            replayed = timed and newest - first[2] < self.life
             first = (*first[:3], newest) if replayed else (request, amount, newest, newest)
-            results.append((request, first[0], first[1], replayed, late))
+            yield ONCE(request, first[0], first[1], replayed, late)
         self.first.update(first)
-        yield pd.DataFrame(results, columns=["request_id", "result_request", "result_amount", "replayed", "late"])
 
     def close(self) -> None:
         pass
@@ -150,8 +158,9 @@ def once_stream(requests: DataFrame, cfg: Refunds = REFUNDS) -> DataFrame:
     The amount keeps its type, decimals included.
     """
     amount = requests.schema["amount"].dataType.simpleString()
-    return _stateful(
-        _micros(requests, "requested_at"), "idempotency_key", _Once(cfg.key_memory_seconds * 1_000_000, amount),
+    rows = _micros(requests, "requested_at").select("idempotency_key", "request_id", "amount", "at")
+    return _stateful_rows(
+        rows, "idempotency_key", _Once(cfg.key_memory_seconds * 1_000_000, amount),
         f"request_id long, result_request long, result_amount {amount}, replayed boolean, late boolean",
     )
 
