@@ -1,5 +1,6 @@
 """Streams fed file by file give what their batch counterparts give on the whole table."""
 
+import json
 from decimal import Decimal
 
 import pytest
@@ -123,6 +124,54 @@ def test_once_stream_takes_requests_without_time_in_any_batch(spark):
         1: (1, False, False), 2: (2, False, False), 3: (3, False, False), 4: (3, True, False)}
 
 
+class CountedState:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.rows[key] = value
+
+
+def test_first_steps_cost_few_state_calls(spark):
+    state, want, at = CountedState(), {}, (1, 0)
+    digests = [f"{i * 0x9E3779B97F4A7C15 % 2**64:016x}" for i in range(2_000)]
+    for begin in range(0, 3_000, 500):
+        firsts = processors._Firsts(state, *at)
+        for step in range(begin, begin + 500):
+            digest = digests[step * 7 % 2_000]
+            assert firsts.step(digest, step) == want.get(digest)
+            want.setdefault(digest, step)
+        at = firsts.write()
+    assert at[1] == len(want) == 2_000 and max(len(json.loads(v[0])) for v in state.rows.values()) < 3 * processors.PART_ROWS
+    assert state.calls < 500
+    before = state.calls
+    firsts = processors._Firsts(state, *at)
+    assert firsts.step(digests[7], 9_000) == 1 and firsts.step("f" * 16, 9_001) is None
+    firsts.write()
+    assert state.calls - before == 3
+
+
+def test_loop_stream_equals_batch_on_many_outputs(spark):
+    folder = flows.work_folder(spark)
+    rows = spark.range(900).select(
+        F.lit("s").alias("session_id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"),
+        (F.col("id") % 31).cast("string").alias("args_hash"), (F.col("id") % 401).cast("string").alias("observation"), F.lit(1).cast("long").alias("tokens_used"),
+    )
+    feed = in_files(spark, rows.withColumn("o", F.col("event_id").cast("double")), "o", folder)
+    got = flows.drain(processors.loop_stream(feed), folder, by_clock=True)
+    want = agents.detect(rows.withColumn("step", F.col("event_id") + 1)).select(
+        "session_id", "step", F.array_join("signals", ",").alias("signals"), "consecutive", F.coalesce("strategy", F.lit("")).alias("strategy")
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_loop_stream_frees_quiet_sessions(spark):
     folder = flows.work_folder(spark)
     feed = late_files(spark, [(s, i, i, "a", "o", 1) for i, s in enumerate([1, 2, 1])], "session_id long, event_id long, ts long, args_hash string, observation string, tokens_used long", "ts", folder)

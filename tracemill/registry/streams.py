@@ -27,6 +27,12 @@ def stream(spark, sf_dir, name):
     return df
 
 
+def dealt(df):
+    """Rows of a stream dealt out to all cores: for work on single rows that costs more than to move them, when a file is read in few pieces."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def replay(spark, df, folder):
     """A derived table written once and read back as a stream."""
     df.write.mode("overwrite").parquet(folder)
@@ -152,7 +158,7 @@ def str7(spark, sf_dir):
 WITH RECURSIVE {DETECT_SQL} SELECT session_id, step, signals, CAST(consecutive AS BIGINT) AS consecutive, strategy FROM detected
 """)
 def str8_stream(spark, sf_dir):
-    steps = stream(spark, sf_dir, "events").select(
+    steps = dealt(stream(spark, sf_dir, "events")).select(
         F.col("user_id").alias("session_id"), "event_id", "ts", keys.call_fingerprint(F.col("event_type"), F.col("props")).alias("args_hash"),
         F.col("props").alias("observation"), F.floor(F.col("value") * 50).cast("bigint").alias("tokens_used"),
     )

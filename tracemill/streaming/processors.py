@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,6 +32,10 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 SEEN = Row("article_id", "fingerprint", "seen", "late")
 STALL = Row("exec_id", "tool_name", "signal_type")
 ONCE = Row("request_id", "result_request", "result_amount", "replayed", "late")
+LOOP = Row("session_id", "step", "signals", "consecutive", "strategy")
+
+#: Distinct outputs of a session that lie under one state value.
+PART_ROWS = 64
 
 
 def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -210,24 +215,67 @@ def stall_stream(calls: DataFrame, delay: str = "1 minute") -> DataFrame:
     return _stateful_rows(rows, "exec_id", _Stall(), "exec_id string, tool_name string, signal_type string", "EventTime")
 
 
+class _Firsts:
+    """First step of each distinct output of a session, about PART_ROWS of them under one state value.
+
+    Outputs are dealt by hash to a number of parts that doubles as the session grows, so a batch reads and writes each
+    part once that its outputs fall in, and a part stays small however long the session.
+    """
+
+    def __init__(self, state, parts: int, count: int):
+        self.state, self.parts, self.count = state, parts, count
+        self.held: dict[int, dict[str, int]] = {}
+        self.changed: set[int] = set()
+        self.stored = parts if count else 0
+
+    def _part(self, number: int) -> dict[str, int]:
+        if number not in self.held:
+            found = self.state.getValue((number,)) if number < self.stored else None
+            self.held[number] = json.loads(found[0]) if found else {}
+        return self.held[number]
+
+    def step(self, digest: str, step: int) -> int | None:
+        """The first step of this output; where there is none, ``step`` becomes it."""
+        number = int(digest[:15], 16) % self.parts
+        part = self._part(number)
+        known = part.get(digest)
+        if known is None:
+            part[digest] = step
+            self.count += 1
+            self.changed.add(number)
+        return known
+
+    def write(self) -> tuple[int, int]:
+        """Store the changed parts; (parts, count) for the next batch."""
+        if self.count > PART_ROWS * self.parts:
+            steps = {d: n for number in range(self.parts) for d, n in self._part(number).items()}
+            while self.count > PART_ROWS * self.parts:
+                self.parts *= 2
+            self.held, self.changed = {n: {} for n in range(self.parts)}, set(range(self.parts))
+            for digest, step in steps.items():
+                self.held[int(digest[:15], 16) % self.parts][digest] = step
+        for number in self.changed:
+            self.state.updateValue((number,), (json.dumps(self.held[number]),))
+        return self.parts, self.count
+
+
 class _Loops(StatefulProcessor):
     def __init__(self, cfg: Agents, idle: int):
         self.cfg, self.idle = cfg, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.timer = handle.getValueState("timer", "at long")
         self.short = handle.getValueState("short", "state string")
-        self.first = handle.getMapState("first", "hash string", "step long")
+        self.first = handle.getMapState("first", "part long", "steps string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         cfg = self.cfg
-        pdf = _ordered(rows, ["at", "event_id"])
-        s = json.loads(self.short.get()[0]) if self.short.exists() else {"step": 0, "tokens": 0, "kept": [], "novel": [], "row": 0}
-        out = []
-        for args, observation, tokens in zip(pdf["args_hash"], pdf["observation"], pdf["tokens_used"].tolist()):
+        before = self.short.get()
+        s = json.loads(before[0]) if before else {"step": 0, "tokens": 0, "kept": [], "novel": [], "row": 0, "parts": 1, "count": 0, "timer": None}
+        firsts = _Firsts(self.first, s["parts"], s["count"])
+        for _, _, args, observation, tokens in _in_order(rows, "at", "event_id", "args_hash", "observation", "tokens_used"):
             s["step"] += 1
-            s["tokens"] += tokens
+            s["tokens"] += math.nan if tokens is None else tokens
             signals = []
             if args in s["kept"]:
                 signals.append("exact_duplicate")
@@ -235,34 +283,30 @@ class _Loops(StatefulProcessor):
                 s["kept"] = [*s["kept"], args][-cfg.fingerprint_window:]
             if s["step"] >= cfg.max_steps or s["tokens"] >= cfg.max_tokens:
                 signals.append("budget_exhausted")
-            place = (hashlib.sha256(observation.encode()).hexdigest(),)
-            known = self.first.containsKey(place)
-            s["novel"] = [*s["novel"], 0.0 if known else 1.0][-cfg.progress_window:]
+            known = firsts.step(hashlib.sha256(observation.encode()).hexdigest(), s["step"])
+            s["novel"] = [*s["novel"], 1.0 if known is None else 0.0][-cfg.progress_window:]
             if len(s["novel"]) == cfg.progress_window and sum(s["novel"]) / cfg.progress_window < cfg.progress_threshold:
                 signals.append("no_progress")
-            if known and s["step"] - self.first.getValue(place)[0] >= cfg.cycle_length:
+            if known is not None and s["step"] - known >= cfg.cycle_length:
                 signals.append("causal_cycle")
-            if not known:
-                self.first.updateValue(place, (s["step"],))
             s["row"] = s["row"] + 1 if signals else 0
             strategy = ""
             if signals:
                 spent = "budget_exhausted" in signals
                 strategy = "human_checkpoint" if s["row"] >= cfg.checkpoint_after else "force_summarize" if spent else "inject_correction"
-            out.append((key[0], s["step"], ",".join(signals), s["row"], strategy))
-        self.short.update((json.dumps(s),))
+            yield LOOP(key[0], s["step"], ",".join(signals), s["row"], strategy)
         # One timer a session, moved on by every batch that has steps of it.
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
-        at = timerValues.getCurrentProcessingTimeInMs() + self.idle
-        self.handle.registerTimer(at)
-        self.timer.update((at,))
-        yield pd.DataFrame(out, columns=["session_id", "step", "signals", "consecutive", "strategy"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        for state in (self.short, self.first, self.timer):
+        if s["timer"] is not None:
+            self.handle.deleteTimer(s["timer"])
+        s["timer"] = timerValues.getCurrentProcessingTimeInMs() + self.idle
+        self.handle.registerTimer(s["timer"])
+        s["parts"], s["count"] = firsts.write()
+        self.short.update((json.dumps(s),))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        for state in (self.short, self.first):
             state.clear()
-        yield pd.DataFrame()
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -276,7 +320,8 @@ def loop_stream(steps: DataFrame, cfg: Agents = AGENTS, idle_seconds: int = 86_4
     session begun anew, when no step came for ``idle_seconds`` of wall clock.
     """
     kind = steps.schema["session_id"].dataType.simpleString()
-    return _stateful(
-        _micros(steps, "ts"), "session_id", _Loops(cfg, idle_seconds * 1_000),
+    rows = _micros(steps, "ts").select("session_id", "event_id", "at", "args_hash", "observation", "tokens_used")
+    return _stateful_rows(
+        rows, "session_id", _Loops(cfg, idle_seconds * 1_000),
         f"session_id {kind}, step long, signals string, consecutive long, strategy string",
     )
