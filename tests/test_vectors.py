@@ -174,3 +174,18 @@ def test_index_takes_any_number_of_queries(spark, monkeypatch, tmp_path, floor,
     monkeypatch.setattr(vector_index, "CHUNK_ROWS", 2)
     got = vector_index.search(spark, str(tmp_path / "index"), asked, 7, "id", "vec", min_score=floor, probes=probes).collect()
     assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_only_articles_that_can_supersede_meet(spark, monkeypatch):
+    met = []
+
+    def meet(left, right, *rest):
+        met.append((sorted(r.article_id for r in left.collect()), sorted(r.article_id for r in right.collect())))
+        return vectors.grid_join(left, right, *rest)
+
+    monkeypatch.setattr(articles, "grid_join", meet)
+    rows = [(1, "alone", 0), (2, "at once", 0), (3, "at once", 299), (4, "pair", 0), (5, "pair", 200), (6, "pair", 300), (7, "pair", None), (8, "", 0), (9, "", 900)]
+    df = spark.createDataFrame([(i, f, s, False, [1.0, 0.0]) for i, f, s in rows], "article_id long, fingerprint string, s long, stale boolean, embedding array<float>")
+    got = articles.supersede(df.withColumn("published_at", F.timestamp_seconds(F.col("s") + 1_700_000_000)).drop("s")).collect()
+    assert met == [([4], [6])]
+    assert [tuple(r) for r in got] == [(4, 6, 1.0)]
