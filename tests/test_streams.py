@@ -1,13 +1,17 @@
 """Streams fed file by file give what their batch counterparts give on the whole table."""
 
 import json
+import pickle
+import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tracemill.functions import keys
 from tracemill.operators import agents, articles, refunds
+from tracemill.registry import streams
 from tracemill.registry.articles import vector_articles
 from tracemill.registry.tables import steps, table
 from tracemill.streaming import flows, processors
@@ -138,6 +142,10 @@ class CountedState:
         self.calls += 1
         self.rows[key] = value
 
+    def removeKey(self, key):
+        self.calls += 1
+        del self.rows[key]
+
 
 def test_first_steps_cost_few_state_calls(spark):
     state, want, at = CountedState(), {}, (1, 0)
@@ -158,6 +166,105 @@ def test_first_steps_cost_few_state_calls(spark):
     assert state.calls - before == 3
 
 
+class CountedValue:
+    """A value state that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+
+class Handle:
+    """States of one group, timers and the two clocks, without a stream."""
+
+    def __init__(self):
+        self.states, self.timers, self.now, self.mark = {}, set(), 0, 0
+
+    def getValueState(self, name, schema, ttl=None):
+        return self.states.setdefault(name, CountedValue())
+
+    def getMapState(self, name, key, schema, ttl=None):
+        return self.states.setdefault(name, CountedState())
+
+    def calls(self):
+        return sum(s.calls for s in self.states.values())
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+
+def test_once_judges_many_keys_with_few_state_calls(spark):
+    handle, once = Handle(), processors._Once(604_800_000_000)
+    once.init(handle)
+
+    def judged(first, keys, at):
+        rows = [Row(request_id=first + i, idempotency_key=f"k{k}", amount=1.0, at=at) for i, k in enumerate(keys)]
+        return {r.request_id: (r.result_request, r.replayed) for r in once.handleInputRows((0,), iter(rows), handle)}
+
+    assert judged(0, range(5_000), 0) == {i: (i, False) for i in range(5_000)}
+    assert handle.calls() < 500
+    handle.now = 1_000_000
+    assert judged(5_000, range(5_000), 1) == {5_000 + i: (i, True) for i in range(5_000)}
+    assert handle.calls() < 1_500 and max(len(pickle.loads(v[0])) for v in handle.states["first"].rows.values()) < 3 * processors.PART_ROWS
+    before = handle.calls()
+    assert judged(10_000, [7], 2) == {10_000: (7, True)}
+    assert handle.calls() - before == 4
+    # A day after its lifetime a key is forgotten by the wall clock, whatever else lies in its part.
+    handle.now += 604_800_000 + processors.SLACK_MS
+    assert judged(10_001, [7, 8], 3) == {10_001: (10_001, False), 10_002: (10_002, False)}
+    parts, count = handle.states["size"].value
+    assert count < 5_000
+
+
+def test_once_stream_equals_a_serial_run_over_many_keys(spark):
+    day, draw = 86_400, random.Random(7)
+    rows = [(i, draw.choice([None, "", *"abcdefgh"]), Decimal(i), i * day // 8) for i in range(400)]
+    folder = flows.work_folder(spark)
+    df = spark.createDataFrame(rows, "request_id long, idempotency_key string, amount decimal(12,2), s long").select(
+        "request_id", "idempotency_key", "amount", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("requested_at"), F.col("s").cast("double").alias("o")
+    )
+    got = flows.drain(processors.once_stream(in_files(spark, df, "o", folder)), folder, by_clock=True)
+    want, first = {}, {}
+    for request, key, amount, at in rows:
+        replayed = key in first and at - first[key][2] < 7 * day
+        if not replayed:
+            first[key] = (request, amount, at)
+        want[request] = (*first[key][:2], replayed, False)
+    assert {r.request_id: (r.result_request, r.result_amount, r.replayed, r.late) for r in got.collect()} == want
+
+
+def test_a_stream_reads_a_table_in_several_files(spark):
+    folder = flows.work_folder(spark)
+    spark.range(50).repartition(3).write.parquet(f"{folder}/one/events.parquet")
+    spark.range(5).write.parquet(f"{folder}/one/other.parquet")
+    got = flows.drain(streams.stream(spark, f"{folder}/one", "events"), f"{folder}/run")
+    assert sorted(r.id for r in got.collect()) == list(range(50))
+
+
 def test_loop_stream_equals_batch_on_many_outputs(spark):
     folder = flows.work_folder(spark)
     rows = spark.range(900).select(

@@ -17,10 +17,11 @@ from tracemill.streaming import flows, processors
 
 
 def stream(spark, sf_dir, name):
-    """A given table as a stream; times without zone become UTC instants."""
+    """A given table as a stream, whether it is one file or a folder of files; times without zone become UTC instants."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    df = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # A stream takes a single file only by a pattern.
+    df = spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
     for column, kind in df.dtypes:
         if kind == "timestamp_ntz":
             df = df.withColumn(column, F.col(column).cast("timestamp"))

@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,9 +36,12 @@ STALL = Row("exec_id", "tool_name", "signal_type")
 ONCE = Row("request_id", "result_request", "result_amount", "replayed", "late")
 LOOP = Row("session_id", "step", "signals", "consecutive", "strategy")
 
-#: Distinct outputs of a session that lie under one state value.
+#: Values (first steps of a session, requests of a group) that lie under one state value.
 PART_ROWS = 64
 
+#: Groups that keys of a few rows each are dealt to by hash. Part of the state: a checkpoint belongs to one number.
+GROUPS = 16_384
+
 
 def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable")
@@ -68,6 +73,70 @@ def _micros(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn("at", F.unix_micros(ts))
 
 
+def _grouped(df: DataFrame, key: str) -> DataFrame:
+    """With the group of each key: a call of the processor, and each state call, costs more than many rows."""
+    return df.withColumn("group", F.pmod(F.xxhash64(key), F.lit(GROUPS)))
+
+
+class _Parts:
+    """Values by key, about PART_ROWS of them under one state value.
+
+    Keys are dealt by hash to a number of parts that doubles as there are more of them, so a batch reads and writes each
+    part once that its keys fall in, and a part stays small however many keys there are.
+    """
+
+    def __init__(self, state, parts: int, count: int):
+        self.state, self.parts, self.count = state, parts, count
+        self.held: dict[int, dict] = {}
+        self.changed: set[int] = set()
+        self.stored = parts if count else 0
+
+    pack, unpack = staticmethod(pickle.dumps), staticmethod(pickle.loads)
+
+    def _place(self, key) -> int:
+        return zlib.crc32(str(key).encode()) % self.parts
+
+    def _part(self, number: int) -> dict:
+        if number not in self.held:
+            found = self.state.getValue((number,)) if number < self.stored else None
+            self.held[number] = self.unpack(found[0]) if found else {}
+        return self.held[number]
+
+    def get(self, key):
+        return self._part(self._place(key)).get(key)
+
+    def put(self, key, value) -> None:
+        number = self._place(key)
+        part = self._part(number)
+        self.count += key not in part
+        part[key] = value
+        self.changed.add(number)
+
+    def drop(self, key) -> None:
+        number = self._place(key)
+        if self._part(number).pop(key, None) is not None:
+            self.count -= 1
+            self.changed.add(number)
+
+    def write(self) -> tuple[int, int]:
+        """Store the changed parts; (parts, count) for the next batch."""
+        if self.count > PART_ROWS * self.parts:
+            values = {k: v for number in range(self.parts) for k, v in self._part(number).items()}
+            # Parts whose time was over had gone by themselves.
+            self.count = len(values)
+            while self.count > PART_ROWS * self.parts:
+                self.parts *= 2
+            self.held, self.changed = {n: {} for n in range(self.parts)}, set(range(self.parts))
+            for key, value in values.items():
+                self.held[self._place(key)][key] = value
+        for number in self.changed:
+            if self.held[number]:
+                self.state.updateValue((number,), (self.pack(self.held[number]),))
+            elif number < self.stored:
+                self.state.removeKey((number,))
+        return self.parts, self.count
+
+
 class _SeenGate(StatefulProcessor):
     def __init__(self, life: int):
         self.life = life
@@ -134,24 +203,46 @@ def velocity_stream(requests: DataFrame, cfg: Refunds = REFUNDS) -> DataFrame:
     )
 
 
+class _Requests(_Parts):
+    """First requests by key, the time of their last write at the end; each is forgotten by itself."""
+
+    def __init__(self, state, parts: int, count: int, since: int):
+        super().__init__(state, parts, count)
+        self.since = since
+
+    def _part(self, number: int) -> dict:
+        if number not in self.held:
+            part = super()._part(number)
+            live = {k: v for k, v in part.items() if v[-1] > self.since}
+            if len(live) < len(part):
+                self.held[number] = live
+                self.count -= len(part) - len(live)
+                self.changed.add(number)
+        return self.held[number]
+
+
 class _Once(StatefulProcessor):
-    def __init__(self, life: int, amount: str):
-        self.life, self.amount = life, amount
+    def __init__(self, life: int):
+        self.life, self.keep = life, life // 1_000 + SLACK_MS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", f"request_id long, amount {self.amount}, at long, newest long", self.life // 1_000 + SLACK_MS)
+        self.size = handle.getValueState("size", "parts long, count long", self.keep)
+        self.first = handle.getMapState("first", "part long", "requests binary", self.keep)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first = tuple(self.first.get() or ()) or None
-        for at, request, amount in _in_order(rows, "at", "request_id", "amount"):
+        now = timerValues.getCurrentProcessingTimeInMs()
+        firsts = _Requests(self.first, *(self.size.get() or (1, 0)), now - self.keep)
+        for at, request, known, amount in _in_order(rows, "at", "request_id", "idempotency_key", "amount"):
+            first = firsts.get(known)
             # A request without time comes last, replays nothing, and what it leaves is replayed by none.
             timed = first is not None and first[2] is not None and at is not None
             late = timed and at < first[3]
             newest = max(at, first[3]) if timed else at
             replayed = timed and newest - first[2] < self.life
-            first = (*first[:3], newest) if replayed else (request, amount, newest, newest)
+            first = (*first[:3], newest, now) if replayed else (request, amount, newest, newest, now)
+            firsts.put(known, first)
             yield ONCE(request, first[0], first[1], replayed, late)
-        self.first.update(first)
+        self.size.update(firsts.write())
 
     def close(self) -> None:
         pass
@@ -160,12 +251,12 @@ class _Once(StatefulProcessor):
 def once_stream(requests: DataFrame, cfg: Refunds = REFUNDS) -> DataFrame:
     """Result per request (request_id long, idempotency_key, amount, requested_at): a known key replays its first result.
 
-    The amount keeps its type, decimals included.
+    The amount keeps its type, decimals included. Keys are judged in groups: most have one request or two.
     """
     amount = requests.schema["amount"].dataType.simpleString()
-    rows = _micros(requests, "requested_at").select("idempotency_key", "request_id", "amount", "at")
+    rows = _grouped(_micros(requests, "requested_at"), "idempotency_key").select("group", "idempotency_key", "request_id", "amount", "at")
     return _stateful_rows(
-        rows, "idempotency_key", _Once(cfg.key_memory_seconds * 1_000_000, amount),
+        rows, "group", _Once(cfg.key_memory_seconds * 1_000_000),
         f"request_id long, result_request long, result_amount {amount}, replayed boolean, late boolean",
     )
 
@@ -215,49 +306,21 @@ def stall_stream(calls: DataFrame, delay: str = "1 minute") -> DataFrame:
     return _stateful_rows(rows, "exec_id", _Stall(), "exec_id string, tool_name string, signal_type string", "EventTime")
 
 
-class _Firsts:
-    """First step of each distinct output of a session, about PART_ROWS of them under one state value.
+class _Firsts(_Parts):
+    """First step of each distinct output of a session, by the digest of the output."""
 
-    Outputs are dealt by hash to a number of parts that doubles as the session grows, so a batch reads and writes each
-    part once that its outputs fall in, and a part stays small however long the session.
-    """
+    pack, unpack = staticmethod(json.dumps), staticmethod(json.loads)
 
-    def __init__(self, state, parts: int, count: int):
-        self.state, self.parts, self.count = state, parts, count
-        self.held: dict[int, dict[str, int]] = {}
-        self.changed: set[int] = set()
-        self.stored = parts if count else 0
-
-    def _part(self, number: int) -> dict[str, int]:
-        if number not in self.held:
-            found = self.state.getValue((number,)) if number < self.stored else None
-            self.held[number] = json.loads(found[0]) if found else {}
-        return self.held[number]
+    def _place(self, digest: str) -> int:
+        return int(digest[:15], 16) % self.parts
 
     def step(self, digest: str, step: int) -> int | None:
         """The first step of this output; where there is none, ``step`` becomes it."""
-        number = int(digest[:15], 16) % self.parts
-        part = self._part(number)
-        known = part.get(digest)
+        known = self.get(digest)
         if known is None:
-            part[digest] = step
-            self.count += 1
-            self.changed.add(number)
+            self.put(digest, step)
         return known
 
-    def write(self) -> tuple[int, int]:
-        """Store the changed parts; (parts, count) for the next batch."""
-        if self.count > PART_ROWS * self.parts:
-            steps = {d: n for number in range(self.parts) for d, n in self._part(number).items()}
-            while self.count > PART_ROWS * self.parts:
-                self.parts *= 2
-            self.held, self.changed = {n: {} for n in range(self.parts)}, set(range(self.parts))
-            for digest, step in steps.items():
-                self.held[int(digest[:15], 16) % self.parts][digest] = step
-        for number in self.changed:
-            self.state.updateValue((number,), (json.dumps(self.held[number]),))
-        return self.parts, self.count
-
 
 class _Loops(StatefulProcessor):
     def __init__(self, cfg: Agents, idle: int):
