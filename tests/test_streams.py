@@ -240,6 +240,53 @@ def test_once_judges_many_keys_with_few_state_calls(spark):
     assert count < 5_000
 
 
+def test_stall_judges_many_calls_with_few_state_calls_and_one_timer(spark):
+    handle, stall = Handle(), processors._Stall()
+    stall.init(handle)
+
+    def judged(event, calls, at, timeout=None):
+        rows = [Row(exec_id=f"c{c}", tool_name=f"t{c}", event=event, at=at, timeout_seconds=timeout) for c in calls]
+        return [tuple(r) for r in stall.handleInputRows((0,), iter(rows), handle)]
+
+    def expired(mark):
+        handle.mark, found = mark, []
+        for timer in sorted(t for t in handle.timers if t <= mark):
+            found += [r.exec_id for r in stall.handleExpiredTimer((0,), handle, None)]
+            handle.deleteTimer(timer)
+        return sorted(found)
+
+    assert judged("start", range(5_000), 0, 10.0) == []
+    assert judged("start", range(5_000, 5_100), 0, 20.0) == []
+    assert handle.calls() < 700 and handle.timers == {10_001}
+    # In time, and too late before the watermark has come that far.
+    assert judged("finish", range(2_400), 10_000_000) == []
+    assert judged("finish", range(2_400, 2_500), 10_000_001) == [(f"c{c}", f"t{c}", "tool_timeout") for c in range(2_400, 2_500)]
+    assert expired(10_000) == [] and expired(10_001) == sorted(f"c{c}" for c in range(2_500, 5_000))
+    assert handle.timers == {20_001}
+    # A row without time, a start without timeout and a finish of an unknown call change nothing.
+    assert judged("finish", [5_001], None) == [] and judged("start", [9], None, 1.0) == [] and judged("start", [9], 5, None) == []
+    assert judged("finish", [1], 99_000_000) == []
+    assert expired(30_000) == sorted(f"c{c}" for c in range(5_000, 5_100))
+    assert not handle.timers and not handle.states["open"].rows and handle.states["size"].value is None
+
+
+def test_stall_stream_equals_a_serial_run_over_many_calls(spark):
+    draw, rows = random.Random(3), []
+    for i in range(300):
+        start, wait = draw.randrange(1_000), draw.randrange(1, 60)
+        rows.append((f"c{i}", f"t{i % 5}", "start", start, 30.0))
+        if i % 3:
+            rows.append((f"c{i}", "", "finish", start + wait, 0.0))
+    mark = max(r[3] for r in rows) - 60
+    times = {(r[0], r[2]): r[3] for r in rows}
+    want = {c for c, e in times if e == "start" and (times[c, "finish"] - times[c, e] > 30 if (c, "finish") in times else mark > times[c, e] + 30)}
+    folder = flows.work_folder(spark)
+    df = spark.createDataFrame(rows, "exec_id string, tool_name string, event string, s long, timeout_seconds double")
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000)).withColumn("o", F.col("s").cast("double")).drop("s")
+    got = flows.drain(processors.stall_stream(in_files(spark, df, "o", folder)), folder).collect()
+    assert len(got) == len(want) and {r.exec_id for r in got} == want
+
+
 def test_once_stream_equals_a_serial_run_over_many_keys(spark):
     day, draw = 86_400, random.Random(7)
     rows = [(i, draw.choice([None, "", *"abcdefgh"]), Decimal(i), i * day // 8) for i in range(400)]

@@ -261,36 +261,77 @@ def once_stream(requests: DataFrame, cfg: Refunds = REFUNDS) -> DataFrame:
     )
 
 
+class _Calls(_Parts):
+    """Open calls by exec_id (tool, time, timeout, due), and when the first call of each part is due."""
+
+    def __init__(self, state, parts: int, count: int, due: list[int | None]):
+        super().__init__(state, parts, count)
+        self.due = due
+
+    def expired(self, mark: int) -> Iterator[tuple[str, tuple]]:
+        """Calls that are due, which are forgotten."""
+        for number, due in enumerate(self.due):
+            if due is not None and due <= mark:
+                for key, call in [(k, c) for k, c in self._part(number).items() if c[3] <= mark]:
+                    self.drop(key)
+                    yield key, call
+
+    def write(self) -> tuple[int, int]:
+        size = super().write()
+        self.due += [None] * (self.parts - len(self.due))
+        for number in self.changed:
+            self.due[number] = min((call[3] for call in self.held[number].values()), default=None)
+        return size
+
+
 class _Stall(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.started = handle.getValueState("started", "tool_name string, at long, timeout double")
+        self.size = handle.getValueState("size", "state string")
+        self.open = handle.getMapState("open", "part long", "calls binary")
+
+    def _read(self) -> tuple[_Calls, int | None]:
+        parts, count, due, timer = json.loads(self.size.get()[0]) if self.size.exists() else (1, 0, [None], None)
+        return _Calls(self.open, parts, count, due), timer
+
+    def _write(self, calls: _Calls, timer: int | None) -> None:
+        """Store the calls; one timer a group, for the first that is due."""
+        size = calls.write()
+        due = min((d for d in calls.due if d is not None), default=None)
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
+        if calls.count:
+            self.size.update((json.dumps([*size, calls.due, due]),))
+        elif calls.stored:
+            self.size.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        started, now = self.started.get() if self.started.exists() else None, False
+        calls, timer = self._read()
+        found = [(r["at"], r["event"] == "finish", r["exec_id"], r["tool_name"], r["timeout_seconds"]) for r in rows if r["at"] is not None]
         # At one time a start comes before its finish.
-        for row in sorted(rows, key=lambda r: (r["at"], r["event"] == "finish")):
-            if row["event"] == "finish":
-                # A finish past the timeout comes too late, whether or not the timer has run by then.
-                if started is not None and row["at"] - started[1] > started[2] * 1_000_000:
-                    yield STALL(key[0], started[0], "tool_timeout")
-                started = None
+        for at, finish, call, tool, timeout in sorted(found, key=lambda r: r[:2]):
+            if finish:
+                started = calls.get(call)
+                if started is not None:
+                    calls.drop(call)
+                    # A finish past the timeout comes too late, whether or not the timer has run by then.
+                    if at - started[1] > started[2] * 1_000_000:
+                        yield STALL(call, started[0], "tool_timeout")
+            elif timeout is None:
+                calls.drop(call)
             else:
-                started, now = (row["tool_name"], row["at"], row["timeout_seconds"]), True
-                # The first millisecond at which the age is over the timeout.
-                self.handle.registerTimer(int((row["at"] + row["timeout_seconds"] * 1_000_000) // 1_000) + 1)
-        if started is None:
-            self.started.clear()
-        elif now:
-            self.started.update(started)
+                # Due at the first millisecond at which the age is over the timeout.
+                calls.put(call, (tool, at, timeout, int((at + timeout * 1_000_000) // 1_000) + 1))
+        self._write(calls, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if self.started.exists():
-            tool, at, timeout = self.started.get()
-            if now * 1_000 - at > timeout * 1_000_000:
-                self.started.clear()
-                yield STALL(key[0], tool, "tool_timeout")
+        calls, _ = self._read()
+        for call, (tool, *_) in calls.expired(timerValues.getCurrentWatermarkInMs()):
+            yield STALL(call, tool, "tool_timeout")
+        # The timer that has run is taken away by Spark.
+        self._write(calls, None)
 
     def close(self) -> None:
         pass
@@ -301,9 +342,10 @@ def stall_stream(calls: DataFrame, delay: str = "1 minute") -> DataFrame:
 
     ``calls``: (exec_id, tool_name, event start or finish, ts, timeout_seconds), one start per exec_id, a finish in
     the batch of its start or a later one. Signals wait for event time, so rows more than ``delay`` behind are left out.
+    A row without time, and a start without timeout, has no signal. Calls are judged in groups.
     """
-    rows = _micros(calls, "ts").withWatermark("ts", delay)
-    return _stateful_rows(rows, "exec_id", _Stall(), "exec_id string, tool_name string, signal_type string", "EventTime")
+    rows = _grouped(_micros(calls, "ts"), "exec_id").withWatermark("ts", delay)
+    return _stateful_rows(rows, "group", _Stall(), "exec_id string, tool_name string, signal_type string", "EventTime")
 
 
 class _Firsts(_Parts):
