@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,7 +86,7 @@ def exact_repeat(
     """(session_id, step, exact_repeat): fingerprint among the last kept ones; a flagged step is not kept."""
     size = cfg.fingerprint_window
 
-    def advance(kept: list, rows: pd.DataFrame) -> tuple[list, list]:
+    def advance(kept: list, rows: dict[str, list]) -> tuple[list, list]:
         recent, flags = deque(kept, maxlen=size), []
         for mark in rows[fingerprint]:
             repeated = mark in recent

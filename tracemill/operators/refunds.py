@@ -6,9 +6,9 @@ created_at, refunded, refund_eligible).
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,10 +152,10 @@ def attempts(requests: DataFrame, cfg: Refunds = REFUNDS, user: str = "user_id",
     )
 
 
-def admit(state: list, seconds: pd.Series, requests: pd.Series, limit: int, window: int) -> tuple[list, list]:
+def admit(state: list, seconds: Iterable[int], requests: Iterable[int], limit: int, window: int) -> tuple[list, list]:
     """Admitted requests per second; ``state`` holds the admitted (second, count) pairs still in the window."""
     live, admitted = [list(p) for p in state], []
-    for second, asked in zip(seconds.tolist(), requests.tolist()):
+    for second, asked in zip(seconds, requests):
         live = [p for p in live if p[0] > second - window]
         room = max(0, limit - sum(p[1] for p in live))
         granted = min(room, asked)
@@ -176,7 +176,7 @@ def velocity_gate(requests: DataFrame, cfg: Refunds = REFUNDS, user: str = "user
     )
     limit, window = cfg.max_per_window, cfg.window_seconds
 
-    def advance(state: list, rows: pd.DataFrame) -> tuple[list, list]:
+    def advance(state: list, rows: dict[str, list]) -> tuple[list, list]:
         return admit(state, rows["second"], rows["requests"], limit, window)
 
     granted = ordered_fold(seconds, user, "step", ["second", "requests"], [], advance, "granted", "long", block_rows)
