@@ -287,6 +287,14 @@ def test_stall_stream_equals_a_serial_run_over_many_calls(spark):
     assert len(got) == len(want) and {r.exec_id for r in got} == want
 
 
+def test_stalled_calls_begin_with_the_first_start_that_has_a_time(spark):
+    folder = flows.work_folder(spark)
+    rows = [(0, None, 1, "click", 0.001, '{"k": 1}'), (1, 0, 1, "view", 0.001, '{"k": 1}'), (2, 3_600, 2, "click", 0.001, '{"k": 1}'), (3, 0, 3, "view", None, '{"k": 1}')]
+    df = spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.timestamp_seconds(F.col("ts") + 1_700_000_000)).write.parquet(f"{folder}/events.parquet")
+    assert [(r.exec_id, r.tool_name) for r in streams.str7(spark, folder).collect()] == [("1:1", "view")]
+
+
 def test_once_stream_equals_a_serial_run_over_many_keys(spark):
     day, draw = 86_400, random.Random(7)
     rows = [(i, draw.choice([None, "", *"abcdefgh"]), Decimal(i), i * day // 8) for i in range(400)]

@@ -144,7 +144,7 @@ def str7(spark, sf_dir):
     folder = flows.work_folder(spark)
     # The first start of each call and the first finish after it.
     given = calls(spark, sf_dir)
-    starts = given.where("event = 'start'").groupBy("exec_id").agg(F.min(F.struct("ts", "tool_name", "timeout_seconds")).alias("s")).select(
+    starts = given.where("event = 'start' and ts is not null").groupBy("exec_id").agg(F.min(F.struct("ts", "tool_name", "timeout_seconds")).alias("s")).select(
         "exec_id", "s.tool_name", F.lit("start").alias("event"), "s.ts", "s.timeout_seconds"
     )
     ends = given.where("event = 'finish'").join(starts.select("exec_id", F.col("ts").alias("since")), "exec_id").where("ts >= since")
